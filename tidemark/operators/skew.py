@@ -80,7 +80,7 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", sh
     """
     counts = left.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"))
-    hot = counts.join(F.broadcast(total), F.col("_n") >= F.col("_all") * share).select(on).limit(int(1 / share) + 1)
+    hot = counts.join(F.broadcast(total), F.col("_n") >= F.col("_all") * share).select(on)
     hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     others = [c for c in left.columns if c != on]
     l2 = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*others) if others else F.xxhash64(on), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
