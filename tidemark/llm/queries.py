@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.overlap import cross_side_classes, evidence, record_pairs
 from tidemark.llm.splits import assigned_windows, family_key, grouped_splits, related_groups, torn_groups, valid_manifest
 from tidemark.llm.topn import top_n
 from tidemark.session import cut
@@ -47,7 +48,40 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("window_id", "pipeline_name", F.col("rank_no").alias("hit_rank"), "issue_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_folds": p1_folds, "p3_found": p3_found}
+def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    windows = table(spark, sf_dir, "telemetry_windows")
+    texts = windows.select(F.col("window_id").alias("id"), evidence(F.col("triage_evidence_text")).alias("text"))
+    sides = assigned_windows(table(spark, sf_dir, "split_manifest")).select(F.col("window_id").alias("id"), (F.col("split") != "train").alias("is_eval"))
+    return cross_side_classes(texts, sides, threshold=0.6, n=3, least=20)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a validation or test window and a train window with nearly the same evidence."""
+    pairs = record_pairs(*_overlaps(spark, sf_dir)).filter("eval_id <> train_id")
+    return pairs.select(F.least("eval_id", "train_id").alias("window_id_a"), F.greatest("eval_id", "train_id").alias("window_id_b")).distinct()
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split, source and expected_in_memory: leaking evaluation windows, their pairs, and the mean best containment.
+
+    The containment of an evaluation window in a train window is the share of
+    its word 3-grams that the train window holds. Counts are by class, so copies
+    are not expanded into pairs. A window's source is that of its row received
+    last, its expected_in_memory that of its decision recorded last.
+    """
+    members, pairs = _overlaps(spark, sf_dir)
+    members = cut(members)
+    trains = members.filter("not is_eval").groupBy("rep").agg(F.count(F.lit(1)).alias("n_train")).withColumnRenamed("rep", "rep_b")
+    best = pairs.join(trains, "rep_b").groupBy("rep_a").agg(F.sum("n_train").alias("n_pairs"), F.max(F.col("shared") / F.col("size_a")).alias("containment"))
+    leaks = members.filter("is_eval").join(best, F.col("rep") == F.col("rep_a")).select("id", "n_pairs", "containment")
+    split = assigned_windows(table(spark, sf_dir, "split_manifest")).filter("split <> 'train'").withColumnRenamed("window_id", "id")
+    source = table(spark, sf_dir, "telemetry_windows").groupBy(F.col("window_id").alias("id")).agg(F.max_by("source", "ingested_at").alias("source"))
+    memory = table(spark, sf_dir, "window_states").groupBy(F.col("window_id").alias("id")).agg(F.max_by("expected_in_memory", "recorded_at").alias("expected_in_memory"))
+    rows = leaks.join(split, "id").join(source, "id", "left").join(memory, "id", "left")
+    return rows.groupBy("split", "source", "expected_in_memory").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n_pairs").alias("n_pairs"), F.round(F.avg("containment"), 6).alias("containment"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p1_found": p1_found, "p1_splits": p1_splits, "p1_folds": p1_folds, "p3_found": p3_found}
 
 SQL = {
     "p3_found": """

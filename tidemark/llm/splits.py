@@ -105,15 +105,38 @@ def split_of(component: Column, shares: Sequence[tuple[str, float]], seed: str =
     return F.lit(shares[-1][0]) if out is None else out.otherwise(shares[-1][0])
 
 
-def grouped_splits(records: DataFrame, key: str, entities: Sequence[Column], shares: Sequence[tuple[str, float]] = (("train", 0.7), ("validation", 0.15), ("test", 0.15)), seed: str = "") -> DataFrame:
+def _balance(heavy: Sequence[tuple[str, int]], n: int, shares: Sequence[tuple[str, float]]) -> tuple[dict[str, str], list[tuple[str, float]]]:
+    """Splits of the heavy components (largest first, each to the split that lacks most), and what the splits still lack."""
+    total = sum(s for _, s in shares)
+    lack = {name: n * s / total for name, s in shares}
+    placed = {}
+    for component, size in sorted(heavy, key=lambda x: (-x[1], x[0])):
+        name = max(lack, key=lambda k: (lack[k], k))
+        placed[component] = name
+        lack[name] -= size
+    left = [(name, max(0.0, lack[name])) for name, _ in shares]
+    return placed, left if sum(x for _, x in left) > 0 else list(shares)
+
+
+def grouped_splits(records: DataFrame, key: str, entities: Sequence[Column], shares: Sequence[tuple[str, float]] = (("train", 0.7), ("validation", 0.15), ("test", 0.15)), seed: str = "", heavy: float = 0.01) -> DataFrame:
     """(key, group_key, split): every record with its group's smallest key and the group's split.
 
-    A group never lies in two splits, so shares hold for groups on average; one
-    group that holds most records takes them all into its split.
+    The component's hash falls into ranges proportional to the shares. A hash
+    spreads many small groups well but not a few large ones, so components with
+    at least `heavy` of all records (1 / heavy of them at most) are placed
+    first, largest first, and the ranges of the others are cut from what the
+    splits still lack. A group never lies in two splits; one that is larger than
+    every split's share takes its split beyond it.
     """
     groups = cut(related_groups(records, key, entities))
-    smallest = groups.groupBy("component").agg(F.min(key).alias("group_key"))
-    return skew_join(groups, smallest, "component").select(key, "group_key", split_of(F.col("component"), shares, seed).alias("split"))
+    sizes = cut(groups.groupBy("component").agg(F.min(key).alias("group_key"), F.count(F.lit(1)).alias("n")))
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    placed, left = _balance([tuple(r) for r in sizes.filter(F.col("n") >= max(1.0, n * heavy)).select("component", "n").collect()] if n * heavy >= 1 else [], n, shares)
+    split = split_of(F.col("component"), left, seed)
+    for component, name in placed.items():
+        split = F.when(F.col("component") == component, name).otherwise(split)
+    named = sizes.select("component", "group_key", split.alias("split"))
+    return skew_join(groups, named, "component").select(key, "group_key", "split")
 
 
 def torn_groups(groups: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
