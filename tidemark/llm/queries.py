@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.overlap import cross_side_classes, evidence, record_pairs
-from tidemark.llm.splits import assigned_windows, family_key, grouped_splits, related_groups, torn_groups, valid_manifest
+from tidemark.llm.runs import collapse_runs, long_sequences
+from tidemark.llm.splits import assigned_windows, family_key, grouped_splits, related_groups, torn_groups, trimmed, valid_manifest
 from tidemark.llm.topn import top_n
+from tidemark.operators.logs import entry_bodies
 from tidemark.session import cut
 from tidemark.tables import table
 
@@ -81,7 +83,30 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("split", "source", "expected_in_memory").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n_pairs").alias("n_pairs"), F.round(F.avg("containment"), 6).alias("containment"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p1_found": p1_found, "p1_splits": p1_splits, "p1_folds": p1_folds, "p3_found": p3_found}
+def _template(c):
+    """Lower-cased, each run that holds a digit as '#', runs of white space as one space, trimmed."""
+    return trimmed(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\s0-9]*[0-9]\S*", "#"), r"(?U)\s+", " "))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two or more alike log entries of a stream, and alike events of a cluster object."""
+    lines, events = table(spark, sf_dir, "log_lines"), table(spark, sf_dir, "k8s_events")
+    kind = lambda k: F.lit(k).alias("seq_kind")
+    entries = entry_bodies(lines, templated=True).select(
+        kind("log"), F.col("stream_id").alias("seq_id"), F.col("first_line").alias("pos"), F.col("first_line").alias("at"), F.lit(0).cast("bigint").alias("at2"), F.col("ts_us").alias("t"), F.xxhash64(F.lit("log"), "level", F.lit("/"), "component", F.lit("/"), "body").alias("sig")
+    )
+    events = events.filter("object_name is not null and event_uid is not null and ts_ns is not null and ts_ns <> 0").dropDuplicates(["object_name", "event_uid", "ts_ns"])
+    events = events.select(
+        kind("k8s"), F.col("object_name").alias("seq_id"), F.col("event_uid").alias("pos"), F.col("ts_ns").alias("at"), F.col("event_uid").alias("at2"), F.col("ts_ns").alias("t"), F.xxhash64(F.lit("k8s"), F.lower(trimmed(F.col("reason"))), F.lit("/"), _template(F.col("message"))).alias("sig")
+    )
+    keys = ["seq_kind", "seq_id"]
+    rows = lines.select(kind("log"), F.col("stream_id").alias("seq_id"), F.col("line_no").alias("at")).unionByName(events.select("seq_kind", "seq_id", "at"))
+    runs = collapse_runs(entries.unionByName(events), keys, long_sequences(rows.filter("seq_id is not null"), keys, "at"), penalty=0.25, least=2)
+    us = F.when(F.col("seq_kind") == "k8s", F.expr("(t_last - t_first) div 1000")).otherwise(F.col("t_last") - F.col("t_first"))
+    return runs.select("seq_kind", "seq_id", "first_pos", "n_events", us.cast("bigint").alias("duration_us"))
+
+
+QUERIES = {"p7_found": p7_found, "p5_found": p5_found, "p5_report": p5_report, "p1_found": p1_found, "p1_splits": p1_splits, "p1_folds": p1_folds, "p3_found": p3_found}
 
 SQL = {
     "p3_found": """
