@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import token_ids
+from tidemark.llm.leakage import leaked_passages
 from tidemark.llm.overlap import cross_side_classes, evidence, record_pairs
 from tidemark.llm.runs import collapse_runs, long_sequences
+from tidemark.llm.setjoin import id_pairs, item_set, similar_sets
 from tidemark.llm.splits import assigned_windows, family_key, grouped_splits, related_groups, torn_groups, trimmed, valid_manifest
 from tidemark.llm.topn import top_n
 from tidemark.operators.logs import entry_bodies
@@ -106,7 +109,47 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("seq_kind", "seq_id", "first_pos", "n_events", us.cast("bigint").alias("duration_us"))
 
 
-QUERIES = {"p7_found": p7_found, "p5_found": p5_found, "p5_report": p5_report, "p1_found": p1_found, "p1_splits": p1_splits, "p1_folds": p1_folds, "p3_found": p3_found}
+_ITEMS = [("c", "components"), ("s", "symptoms"), ("e", "error_classes")]
+
+
+def _entity_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows, tickets = table(spark, sf_dir, "window_entities"), table(spark, sf_dir, "kg_tickets")
+    return windows.select(F.col("window_id").alias("id"), item_set(_ITEMS).alias("items")).unionByName(tickets.select(F.col("ticket_id").alias("id"), item_set(_ITEMS).alias("items")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of windows and tickets whose items overlap with a Jaccard similarity of 0.7 or more."""
+    return id_pairs(*similar_sets(_entity_sets(spark, sf_dir), threshold=0.7, least=5))
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record in a set class: its class, the class's records and its links to other classes."""
+    members, pairs = similar_sets(_entity_sets(spark, sf_dir), threshold=0.7, least=5)
+    members, pairs = cut(members), cut(pairs)
+    ends = pairs.select(F.col("rep_a").alias("rep")).unionByName(pairs.select(F.col("rep_b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n_equal"))
+    return members.join(sizes, "rep").join(ends, "rep", "left").select("id", F.col("rep").alias("class_id"), "n_equal", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return token_ids(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold twelve or more consecutive words of an evaluation item."""
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages")).select("doc_id", "item_id")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaked item: documents, sources and the longest passage found, in words and as a share of the item."""
+    docs = table(spark, sf_dir, "documents")
+    runs = leaked_passages(docs, table(spark, sf_dir, "eval_passages")).join(docs.select("doc_id", "source"), "doc_id")
+    found = runs.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("source").alias("n_sources"), F.max("longest").alias("longest"), F.max("item_words").alias("item_words"))
+    return found.withColumn("share", F.round(F.col("longest") / F.col("item_words"), 6))
+
+
+QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p7_found": p7_found, "p5_found": p5_found, "p5_report": p5_report, "p1_found": p1_found, "p1_splits": p1_splits, "p1_folds": p1_folds, "p3_found": p3_found}
 
 SQL = {
     "p3_found": """
