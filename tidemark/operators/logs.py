@@ -145,13 +145,12 @@ def entry_bodies(lines: DataFrame, templated: bool = True) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("body") != "", line) if templated else line)).alias("lines"),
         F.max(F.when(F.col("is_head"), F.struct("ts_us", "level", "component", "message_len"))).alias("h"),
     )
-    # A piece without a head continues the last head of an earlier block. Only such pieces and blocks' last heads are looked at, a row per block.
-    heads = piece.filter("head is not null").groupBy("stream_id", "block").agg(F.max("head").alias("last_head"))
-    orphans = piece.filter("head is null")
-    marks = heads.select("stream_id", "block", "last_head").unionByName(orphans.select("stream_id", "block", F.lit(None).cast("bigint").alias("last_head")))
-    marks = marks.groupBy("stream_id", "block").agg(F.max("last_head").alias("last_head"))
+    # A piece without a head continues the last head of an earlier block: a row per block says which. It comes from a
+    # second, lighter look at the lines, so that the messages are shuffled once.
+    heads = parse_heads(lines).groupBy("stream_id", "block").agg(F.max("line_no").alias("last_head"))
+    blocks = lines.filter("stream_id is not null and line_no is not null").select(F.col("stream_id").cast("string").alias("stream_id"), _block()).distinct()
     earlier = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = marks.select("stream_id", "block", F.last("last_head", ignorenulls=True).over(earlier).alias("carried"))
+    carry = blocks.join(heads, ["stream_id", "block"], "left").select("stream_id", "block", F.last("last_head", ignorenulls=True).over(earlier).alias("carried"))
     glue = " " if templated else "\n"
     return (
         piece.join(carry, ["stream_id", "block"], "left")
