@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import general
+from tidemark.plans import general, joins, ranking, text
 
-MODULES = (general,)
+MODULES = (general, text, joins, ranking)
 
 
 def queries() -> dict:
