@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import general, joins, ranking, text
+from tidemark.plans import evaluation, general, joins, ranking, telemetry, text
 
-MODULES = (general, text, joins, ranking)
+MODULES = (general, text, joins, ranking, evaluation, telemetry)
 
 
 def queries() -> dict:
