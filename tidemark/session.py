@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -55,6 +57,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table written to the shared folder: smaller on disk than a checkpoint, and columns are pruned when it is read.
+
+    The tables of an application lie in one folder, which is removed when the
+    Python process ends.
+    """
+    spark = df.sparkSession
+    root = f"{checkpoint_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    if not getattr(spark.sparkContext, "_tidemark_kept", False):
+        spark.sparkContext._tidemark_kept = True
+        atexit.register(_remove, spark, root)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, so that their Python workers can import it."""
     sc = spark.sparkContext
