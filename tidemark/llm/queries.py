@@ -10,6 +10,7 @@ from tidemark.llm.leakage import leaked_passages
 from tidemark.llm.overlap import cross_side_classes, evidence, record_pairs
 from tidemark.llm.runs import collapse_runs, long_sequences
 from tidemark.llm.setjoin import id_pairs, item_set, similar_sets
+from tidemark.llm.spam import stuffed_pages
 from tidemark.llm.splits import assigned_windows, family_key, grouped_splits, related_groups, torn_groups, trimmed, valid_manifest
 from tidemark.llm.topn import top_n
 from tidemark.operators.logs import entry_bodies
@@ -55,9 +56,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     windows = table(spark, sf_dir, "telemetry_windows")
-    texts = windows.select(F.col("window_id").alias("id"), evidence(F.col("triage_evidence_text")).alias("text"))
+    texts = windows.select(F.col("window_id").alias("id"), F.col("triage_evidence_text").alias("text"))
     sides = assigned_windows(table(spark, sf_dir, "split_manifest")).select(F.col("window_id").alias("id"), (F.col("split") != "train").alias("is_eval"))
-    return cross_side_classes(texts, sides, threshold=0.6, n=3, least=20)
+    return cross_side_classes(texts, sides, threshold=0.6, n=3, least=20, prepare=evidence)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +150,12 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("share", F.round(F.col("longest") / F.col("item_words"), 6))
 
 
-QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p7_found": p7_found, "p5_found": p5_found, "p5_report": p5_report, "p1_found": p1_found, "p1_splits": p1_splits, "p1_folds": p1_folds, "p3_found": p3_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which more than half of the words are repeated keywords, links or tags."""
+    return stuffed_pages(table(spark, sf_dir, "documents"), "doc_id").select("doc_id")
+
+
+QUERIES = {"p10_found": p10_found, "p2_found": p2_found, "p2_links": p2_links, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p7_found": p7_found, "p5_found": p5_found, "p5_report": p5_report, "p1_found": p1_found, "p1_splits": p1_splits, "p1_folds": p1_folds, "p3_found": p3_found}
 
 SQL = {
     "p3_found": """
