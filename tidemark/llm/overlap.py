@@ -10,18 +10,28 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
+from tidemark.session import cut, keep
 
 #: Cells of the frequency sketch: a fixed size, whatever the data.
 SKETCH = 1 << 20
 _CHUNK = 1 << 14
+#: Bits of the filter that says which ids lie on a side: a fixed size, 4 MB for both sides. What it can't exclude is only work, never a wrong result.
+SIDE_BITS = 1 << 24
+#: The same for the n-grams of the evaluation side's prefixes: 8 MB.
+GRAM_BITS = 1 << 26
+_BIT_CHUNK = 1 << 17
+#: Classes with copies up to which their list is sent to the tasks; beyond it copies leave after the shuffle.
+MAX_COPIED = 200_000
 #: Pairs up to which their list is broadcast to fetch texts; beyond it the join shuffles.
 MAX_BROADCAST_PAIRS = 100_000
 
@@ -29,31 +39,39 @@ _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: ASCII characters that are neither letters nor digits, as spaces.
+_SPACED = {i: " " for i in range(128) if not chr(i).isalnum()}
+#: Texts of a batch that are looked at together; the places of texts and n-grams must fit into one sort key.
+_TOGETHER = 2048
+
+
 def words(text: str) -> list[str]:
     """Runs of letters and digits, in order."""
-    return _WORD.findall(text)
+    return text.translate(_SPACED).split() if text.isascii() else _WORD.findall(text)
 
 
-class WordHashes:
+class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bounded number."""
 
-    def __init__(self, most: int = 200_000):
-        self.seen: dict[str, int] = {}
+    def __init__(self, most: int = 100_000):
+        super().__init__()
         self.most = most
 
-    def of(self, ws: list[str]) -> np.ndarray:
+    def __missing__(self, word: str) -> int:
         import xxhash
 
-        seen, out = self.seen, []
-        for w in ws:
-            h = seen.get(w)
-            if h is None:
-                h = xxhash.xxh3_64_intdigest(w)
-                if len(seen) >= self.most:
-                    seen.clear()
-                seen[w] = h
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def list(self, ws: list[str]) -> list[int]:
+        """The hashes of words, in order."""
+        if len(self) >= self.most:
+            self.clear()
+        return list(map(self.__getitem__, ws))
+
+    def of(self, ws: list[str]) -> np.ndarray:
+        """The hashes of words as an array."""
+        return np.array(self.list(ws), dtype=np.uint64)
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
@@ -68,79 +86,236 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _sets(batch: pa.RecordBatch, hashes: WordHashes, n: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    for i, text in enumerate(batch.column("text").to_pylist()):
+class _Grams(NamedTuple):
+    """Distinct n-grams of the texts of a batch, sorted by text and hash."""
+
+    at: np.ndarray  # places of the texts in the batch
+    offsets: np.ndarray  # where each text's n-grams begin
+    owner: np.ndarray  # the text of each n-gram, an index of `at`
+    gram: np.ndarray
+
+
+def _grams(texts: list[str | None], hashes: WordHashes, n: int, least: int) -> _Grams | None:
+    at, lens, flat = [], [], []
+    for i, text in enumerate(texts):
         ws = words(text) if text else []
         if len(ws) >= max(least, n):
-            yield i, np.unique(ngrams(hashes.of(ws), n))
+            at.append(i)
+            lens.append(len(ws))
+            flat.extend(hashes.list(ws))
+    if not at:
+        return None
+    h, lens = np.array(flat, dtype=np.uint64), np.array(lens)
+    owner = np.repeat(np.arange(len(at)), lens)
+    ends = np.cumsum(lens)
+    start = np.arange(len(h) - n + 1)
+    inside = start + n <= ends[owner[: len(start)]]
+    gram, owner = ngrams(h, n)[inside], owner[: len(start)][inside]
+    # Sorted by text and hash in one key; the hash keeps 50 bits.
+    key = np.sort(owner.astype(np.uint64) << np.uint64(50) | gram >> np.uint64(14))
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    owner, gram = (key >> np.uint64(50)).astype(np.int64), key & np.uint64((1 << 50) - 1)
+    return _Grams(np.array(at), np.searchsorted(owner, np.arange(len(at) + 1)), owner, gram)
+
+
+def _rarest_first(g: _Grams, sketch: np.ndarray) -> np.ndarray:
+    """The n-grams of each text by frequency, then hash, as places in `g.gram`."""
+    seen = np.minimum(sketch[(g.gram & np.uint64(SKETCH - 1)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64)
+    place = (np.arange(len(g.gram)) - g.offsets[g.owner]).astype(np.uint64)
+    key = np.sort(g.owner.astype(np.uint64) << np.uint64(51) | seen << np.uint64(31) | place)
+    return (key & np.uint64((1 << 31) - 1)).astype(np.int64) + g.offsets[(key >> np.uint64(51)).astype(np.int64)]
+
+
+def _parity(g: _Grams, bits: int) -> list[np.ndarray]:
+    """Parity bits of each text's set in words of 64: bit i tells whether an odd number of its n-grams falls on i."""
+    bit = (g.gram >> np.uint64(30)) % np.uint64(bits)
+    one = np.left_shift(np.uint64(1), bit & np.uint64(63))
+    word = bit >> np.uint64(6)
+    return [np.bitwise_xor.reduceat(np.where(word == k, one, np.uint64(0)), g.offsets[:-1]).astype(np.int64) for k in range(bits // 64)]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, _TOGETHER):
+            yield batch.slice(start, _TOGETHER)
 
 
-def _count(batches: Iterator[pa.RecordBatch], n: int, least: int) -> Iterator[pa.RecordBatch]:
-    hashes, cells = WordHashes(), np.zeros(SKETCH, dtype=np.int64)
-    for batch in batches:
-        for _, s in _sets(batch, hashes, n, least):
-            np.add.at(cells, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-    if cells.any():
-        chunks = cells.reshape(-1, _CHUNK)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(chunks)), pa.int32()), "cells": pa.array([c.astype(np.int32).tobytes() for c in chunks], pa.binary())})
+def _packed(cells: np.ndarray, size: int) -> tuple[list[int], list[bytes]]:
+    """The chunks of a vector that are not empty, compressed."""
+    parts = cells.reshape(-1, size)
+    some = np.flatnonzero(parts.any(axis=1))
+    return some.tolist(), [zlib.compress(parts[k].tobytes(), 1) for k in some]
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(batches: Iterator[pa.RecordBatch], kind: str, add: bool) -> Iterator[pa.RecordBatch]:
+    """Chunks of the tasks' vectors, added up or joined by 'or'."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, b in zip(batch.column("chunk").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-            c = np.frombuffer(b, dtype=np.int32).astype(np.int64)
-            total[k] = total[k] + c if k in total else c
+            c = np.frombuffer(zlib.decompress(b), dtype=kind)
+            c = c.astype(np.int64) if add else c
+            total[k] = (total[k] + c if add else total[k] | c) if k in total else c
     if total:
-        clip = [np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in total.values()]
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(total), pa.int32()), "cells": pa.array(clip, pa.binary())})
+        most = np.iinfo(kind).max
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(total), pa.int32()), "cells": pa.array([zlib.compress(np.minimum(v, most).astype(kind).tobytes(), 1) for v in total.values()], pa.binary())})
 
 
-def frequency_sketch(texts: DataFrame, n: int, least: int) -> np.ndarray:
-    """How often each cell of n-gram hashes occurs over all records: SKETCH numbers, 4 MB.
-
-    Every task sends one vector, and the vectors are added up chunk by chunk in
-    the executors; the driver gets the SKETCH sums and nothing that grows.
-    """
-    parts = texts.select("text").mapInArrow(lambda b: _count(b, n, least), "chunk int, cells binary")
-    sums = parts.repartition(SKETCH // _CHUNK, "chunk").mapInArrow(_add, "chunk int, cells binary").collect()
-    out = np.zeros(SKETCH // _CHUNK * _CHUNK, dtype=np.int32)
-    for r in sums:
-        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(bytes(r["cells"]), dtype=np.int32)
+def _gathered(parts: DataFrame, cells: int, size: int, kind: str, add: bool) -> np.ndarray:
+    """One vector of fixed size from the tasks' vectors; merged in the executors, so the driver gets each chunk once."""
+    out = np.zeros(cells, dtype=kind)
+    for r in parts.repartition(min(64, cells // size), "chunk").mapInArrow(lambda b: _merged(b, kind, add), "chunk int, cells binary").collect():
+        out[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(zlib.decompress(bytes(r["cells"])), dtype=kind)
     return out
 
 
+def _digests(g: _Grams) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each text's set."""
+    with np.errstate(over="ignore"):
+        mixed = g.gram * _MIX
+        a = np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), g.offsets[:-1]).astype(np.int64)
+        b = np.add.reduceat((mixed ^ (mixed >> np.uint64(29))) * (g.gram | np.uint64(1)), g.offsets[:-1]).astype(np.int64)
+    return a, b
+
+
+#: Parity bits that travel with every posted n-gram.
+PARITY = 192
+_WORDS = [f"w{i}" for i in range(PARITY // 64)]
+_SETS = "id string, size int, c1 bigint, c2 bigint, chunk int, cells binary"
+
+
+def _sets(batches: Iterator[pa.RecordBatch], prepare: Callable, n: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Size and digests of every set; at the end of the task, how often each cell of the sketch was hit."""
+    hashes, cells = WordHashes(), np.zeros(SKETCH, dtype=np.int32)
+    for batch in _slices(batches):
+        g = _grams([prepare(t) for t in batch.column("text").to_pylist()], hashes, n, least)
+        if g is None:
+            continue
+        cells += np.bincount((g.gram & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32)
+        a, b = _digests(g)
+        none = pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(g.at)), pa.array(np.diff(g.offsets).astype(np.int32)), pa.array(a), pa.array(b), *none], schema=_ARROW_SETS)
+    chunks, packed = _packed(cells, _CHUNK)
+    if chunks:
+        none = [pa.nulls(len(chunks), t) for t in (pa.string(), pa.int32(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())], schema=_ARROW_SETS)
+
+
+_ARROW_SETS = pa.schema([("id", pa.string()), ("size", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("chunk", pa.int32()), ("cells", pa.binary())])
+
+
 def prefix_length(size: int, threshold: float) -> int:
     """How many of the rarest members of a set meet every set with that Jaccard similarity or more."""
     return size - math.ceil(threshold * size - 1e-9) + 1 if size else 0
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, n: int, least: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        at, sizes, a, b, prefixes = [], [], [], [], []
-        for i, s in _sets(batch, hashes, n, least):
-            order = np.lexsort((s, sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))
-            with np.errstate(over="ignore"):
-                digest = np.add.reduce(s * _MIX ^ (s >> np.uint64(31)))
-                digest2 = np.add.reduce((s ^ _MIX) * (s | np.uint64(1)))
-            at.append(i)
-            sizes.append(len(s))
-            a.append(digest.astype(np.int64))
-            b.append(digest2.astype(np.int64))
-            prefixes.append(s[order[: prefix_length(len(s), threshold)]].astype(np.int64))
-        if at:
-            keep = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(keep), "size": pa.array(sizes, pa.int32()), "c1": pa.array(a, pa.int64()), "c2": pa.array(b, pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+def _places(ids: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh3_64_intdigest(x) & (SIDE_BITS - 1) for x in ids], dtype=np.int64)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _side_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cells = np.zeros(2 * SIDE_BITS // 8, dtype=np.uint8)
+    for batch in batches:
+        at = _places(batch.column("id").to_pylist()) + np.where(batch.column("is_eval").to_numpy(zero_copy_only=False), 0, SIDE_BITS)
+        np.bitwise_or.at(cells, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    chunks, packed = _packed(cells, _BIT_CHUNK)
+    if chunks:
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int32()), "cells": pa.array(packed, pa.binary())})
+
+
+class _Vector:
+    """A vector that travels compressed and is unpacked once in each process."""
+
+    def __init__(self, cells: np.ndarray):
+        self.packed, self.kind = zlib.compress(cells.tobytes(), 1), str(cells.dtype)
+
+    @cached_property
+    def cells(self) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(self.packed), dtype=self.kind)
+
+    def __getstate__(self) -> dict:
+        return {"packed": self.packed, "kind": self.kind}
+
+
+class _Sent(NamedTuple):
+    """What every task of the join gets; each part has a fixed or checked size."""
+
+    sketch: _Vector
+    sides: _Vector
+    copied: dict[tuple[int, int, bool], str] | None
+
+
+class _Prefixes(NamedTuple):
+    """Prefixes of the sets of a batch: per n-gram its hash, place and set; per set its size, class and parity bits."""
+
+    gram: np.ndarray
+    place: np.ndarray
+    owner: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+    parity: list[np.ndarray]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], sent: _Sent, is_eval: bool, prepare: Callable, n: int, least: int, threshold: float) -> Iterator[_Prefixes]:
+    """The prefixes of all sets that may lie on a side."""
+    hashes, sides = WordHashes(), sent.sides.cells[: SIDE_BITS // 8] if is_eval else sent.sides.cells[SIDE_BITS // 8 :]
+    for batch in _slices(batches):
+        ids = batch.column("id").to_pylist()
+        at = _places(ids)
+        here = np.flatnonzero(sides[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        if not len(here):
+            continue
+        texts = batch.column("text").take(pa.array(here)).to_pylist()
+        g = _grams([prepare(t) for t in texts], hashes, n, least)
+        if g is None:
+            continue
+        sizes = np.diff(g.offsets)
+        a, b = _digests(g)
+        lengths = np.array([prefix_length(int(x), threshold) for x in sizes])
+        if sent.copied:
+            for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                if sent.copied.get((x, y, is_eval), ids[here[g.at[i]]]) != ids[here[g.at[i]]]:
+                    lengths[i] = 0
+        place = np.arange(len(g.gram)) - g.offsets[g.owner]
+        kept = place < lengths[g.owner]
+        yield _Prefixes(g.gram[_rarest_first(g, sent.sketch.cells)][kept], place[kept], g.owner[kept], sizes, a, _parity(g, PARITY))
+
+
+def _gram_places(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(20)).astype(np.int64) & (GRAM_BITS - 1)
+
+
+def _gram_bits(batches: Iterator[pa.RecordBatch], *args) -> Iterator[pa.RecordBatch]:
+    """Which n-grams the prefixes of the evaluation side hold."""
+    cells = np.zeros(GRAM_BITS // 8, dtype=np.uint8)
+    for p in _prefixes(batches, *args):
+        at = _gram_places(p.gram)
+        np.bitwise_or.at(cells, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    chunks, packed = _packed(cells, _BIT_CHUNK)
+    if chunks:
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int32()), "cells": pa.array(packed, pa.binary())})
+
+
+def _posted(batches: Iterator[pa.RecordBatch], held: _Vector, sent: _Sent, is_eval: bool, *args) -> Iterator[pa.RecordBatch]:
+    """Per n-gram of a prefix: hash, class, size and position, and the parity bits of the whole set. The training side leaves out what no evaluation prefix holds."""
+    for p in _prefixes(batches, sent, is_eval, *args):
+        keep = slice(None)
+        if not is_eval:
+            at = _gram_places(p.gram)
+            keep = np.flatnonzero(held.cells[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        owner = p.owner[keep]
+        columns = [p.gram[keep].astype(np.int64), p.first[owner], p.size[owner].astype(np.int64) << 32 | p.place[keep], *[x[owner] for x in p.parity]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "c", "place", *_WORDS])
+
+
+def _verify(batches: Iterator[pa.RecordBatch], prepare: Callable, n: int, threshold: float) -> Iterator[pa.RecordBatch]:
     memo: dict[str, frozenset] = {}
 
     def grams(text: str) -> frozenset:
         got = memo.get(text)
         if got is None:
-            ws = words(text)
+            ws = words(prepare(text))
             got = frozenset(zip(*[ws[i:] for i in range(n)], strict=False))
             if len(memo) >= 2000:
                 memo.clear()
@@ -166,46 +341,73 @@ def _fetch(keys: DataFrame, key: str, texts: DataFrame, name: str, few: bool) ->
     return t.join(F.broadcast(keys) if few else keys, key)
 
 
-def cross_side_classes(texts: DataFrame, sides: DataFrame, threshold: float = 0.6, n: int = 3, least: int = 20) -> tuple[DataFrame, DataFrame]:
+def _same(text: str | None) -> str | None:
+    return text
+
+
+def cross_side_classes(texts: DataFrame, sides: DataFrame, threshold: float = 0.6, n: int = 3, least: int = 20, prepare: Callable[[str | None], str | None] = _same) -> tuple[DataFrame, DataFrame]:
     """Near-same records of two sides, by classes of equal n-gram sets.
 
-    `texts` is (id, text): text is compared by its words (as given, so
-    lower-case it before), repeated rows of an id count once. `sides` is
-    (id, is_eval); ids without a side are left out, an id may lie on both
-    sides. The two stay apart, so texts are never shuffled for their side. Returns
+    `texts` is (id, text); `prepare` is applied to a text before its words are
+    taken (as given, so it should lower-case them); repeated rows of an id count
+    once. `sides` is (id, is_eval); ids without a side are left out, an id may
+    lie on both sides. The two stay apart, so texts are never shuffled for their
+    side. Returns
       members (id, is_eval, rep): each record with the smallest id of its class
       pairs (rep_a, rep_b, shared, size_a, size_b): an evaluation class and a
       training class whose sets have shared / all >= threshold; a class with
       records on both sides pairs with itself.
     Null and short texts (fewer than `least` words) are in no class. No
-    similar pair is lost: the prefixes are those of the exact filter. Copies are
-    one class, so a text that a third of all records share is compared once.
+    similar pair is lost: prefixes, sizes, positions and parity bits only
+    exclude pairs that can't be similar. Copies are one class, so a text that a
+    third of all records share is compared once.
     """
+    spark = texts.sparkSession
+    send = spark.sparkContext.broadcast
     texts = texts.filter("id is not null and text is not null").select("id", "text")
-    sketch = texts.sparkSession.sparkContext.broadcast(frequency_sketch(texts, n, least))
-    rows = texts.mapInArrow(lambda b: _prefixes(b, sketch.value, n, least, threshold), "id string, size int, c1 bigint, c2 bigint, prefix array<bigint>")
     sides = sides.filter("id is not null and is_eval is not null").select("id", "is_eval").distinct()
-    members = cut(rows.select("id", "c1", "c2", "size").distinct().join(sides, "id"))
+    sets = keep(texts.mapInArrow(lambda b: _sets(b, prepare, n, least), _SETS))
+    sketch = _gathered(sets.filter("chunk is not null").select("chunk", "cells"), SKETCH, _CHUNK, "int32", True)
+    side_bits = _gathered(sides.mapInArrow(_side_bits, "chunk int, cells binary"), 2 * SIDE_BITS // 8, _BIT_CHUNK, "uint8", False)
     key = ["c1", "c2", "size"]
-    flags = members.groupBy(*key).agg(F.min("id").alias("rep"), F.max("is_eval").alias("in_eval"), F.min("is_eval").alias("only_eval"))
-    classes = rows.groupBy(*key).agg(F.first("prefix").alias("prefix")).join(flags, key)
-    posted = classes.select("rep", "size", "in_eval", (~F.col("only_eval")).alias("in_train"), F.posexplode("prefix").alias("pos", "gram"))
-    a = posted.filter("in_eval").select("gram", F.col("rep").alias("rep_a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"))
-    b = posted.filter("in_train").select("gram", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
+    members = keep(sets.filter("id is not null").select("id", *key).distinct().join(sides, "id"))
+    is_eval = F.col("is_eval")
+    classes = members.groupBy(*key).agg(F.min("id").alias("rep"), F.min(F.when(is_eval, F.col("id"))).alias("first_eval"), F.min(F.when(~is_eval, F.col("id"))).alias("first_train"), F.count_if(is_eval).alias("n_eval"), F.count_if(~is_eval).alias("n_train"))
+    classes = keep(classes)
+    copied = classes.filter("n_eval > 1 or n_train > 1")
+    known = copied.count() <= MAX_COPIED
+    first = {(r["c1"], r["c2"], side): r[name] for r in copied.collect() for side, name in ((True, "first_eval"), (False, "first_train"))} if known else None
+    sent = send(_Sent(_Vector(sketch), _Vector(side_bits), first))
+    held = send(_Vector(_gathered(texts.mapInArrow(lambda b: _gram_bits(b, sent.value, True, prepare, n, least, threshold), "chunk int, cells binary"), GRAM_BITS // 8, _BIT_CHUNK, "uint8", False)))
+
+    def posted(is_eval: bool, x: str) -> DataFrame:
+        made = texts.mapInArrow(lambda b: _posted(b, held.value, sent.value, is_eval, prepare, n, least, threshold), "gram bigint, c bigint, place bigint, " + ", ".join(f"{w} bigint" for w in _WORDS))
+        if not known:
+            made = made.repartition("gram").dropDuplicates(["gram", "c", "place"])
+        return made.select("gram", F.col("c").alias(f"c_{x}"), F.shiftright("place", 32).cast("int").alias(f"size_{x}"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias(f"pos_{x}"), *[F.col(w).alias(f"{w}_{x}") for w in _WORDS])
+
     need = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6))
+    met = posted(True, "a").join(posted(False, "b"), "gram").filter(F.col("c_a") != F.col("c_b"))
+    # Members of only one of the two sets are at least as many as the parity bits that differ.
+    differ = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS), F.lit(0))
+    met = met.filter(differ <= F.col("size_a") + F.col("size_b") - 2 * need)
     # A pair must meet within what either set can miss of the overlap it needs.
-    met = a.join(b, "gram").filter(F.col("rep_a") != F.col("rep_b")).filter((F.col("pos_a") <= F.col("size_a") - need) & (F.col("pos_b") <= F.col("size_b") - need))
+    met = met.filter((F.col("pos_a") <= F.col("size_a") - need) & (F.col("pos_b") <= F.col("size_b") - need))
     # The overlap can't exceed the members met plus what follows the last one met.
-    met = met.groupBy("rep_a", "rep_b").agg(F.count(F.lit(1)).alias("m"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
-    rest = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
-    met = cut(met.filter(F.col("m") + rest >= need).select("rep_a", "rep_b"))
+    met = met.groupBy("c_a", "c_b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("m"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
+    rest = F.greatest(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
+    met = cut(met.filter(F.col("m") + rest >= need).select("c_a", "c_b"))
+    # Hashes to representatives; where two classes share a hash, both are looked at.
     few = met.count() <= MAX_BROADCAST_PAIRS
+    of = lambda side, x: classes.filter(side).select(F.col("c1").alias(f"c_{x}"), F.col("rep").alias(f"rep_{x}"))
+    met = of("n_train > 0", "b").join(F.broadcast(of("n_eval > 0", "a").join(F.broadcast(met), "c_a")) if few else of("n_eval > 0", "a").join(met, "c_a"), "c_b")
+    met = cut(met.filter("rep_a <> rep_b").select("rep_a", "rep_b").distinct())
     texts = texts if few else texts.dropDuplicates(["id"])
     with_a = _fetch(met, "rep_a", texts, "text_a", few).dropDuplicates(["rep_a", "rep_b"])
     with_b = _fetch(with_a, "rep_b", texts, "text_b", False) if not few else with_a.join(_fetch(met.select("rep_b").distinct(), "rep_b", texts, "text_b", True).dropDuplicates(["rep_b"]), "rep_b")
-    pairs = with_b.select("rep_a", "rep_b", "text_a", "text_b").mapInArrow(lambda x: _verify(x, n, threshold), "rep_a string, rep_b string, shared int, size_a int, size_b int")
-    reps = members.join(flags.select(*key, "rep"), key).select("id", "is_eval", "rep")
-    own = flags.filter("in_eval and not only_eval").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.col("size").alias("shared"), F.col("size").alias("size_a"), F.col("size").alias("size_b"))
+    pairs = with_b.select("rep_a", "rep_b", "text_a", "text_b").mapInArrow(lambda x: _verify(x, prepare, n, threshold), "rep_a string, rep_b string, shared int, size_a int, size_b int")
+    reps = members.join(classes.select(*key, "rep"), key).select("id", "is_eval", "rep")
+    own = classes.filter("n_eval > 0 and n_train > 0").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.col("size").alias("shared"), F.col("size").alias("size_a"), F.col("size").alias("size_b"))
     return reps, pairs.unionByName(own)
 
 
@@ -216,6 +418,11 @@ def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "rep_a").join(b, "rep_b").select("eval_id", "train_id", "shared", "size_a", "size_b")
 
 
-def evidence(text: Column) -> Column:
+_WINDOW_LINE = re.compile(r"(?<![^\n\r])WINDOW [^\n\r]*")
+
+
+def evidence(text: str | None) -> str | None:
     """Lower-cased text without the lines that start with 'WINDOW '."""
-    return F.lower(F.regexp_replace(text, r"(?<![^\n\r])WINDOW [^\n\r]*", ""))
+    if not text:
+        return text
+    return (_WINDOW_LINE.sub("", text) if "WINDOW " in text else text).lower()
