@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import evaluation, general, joins, ranking, telemetry, text
+from tidemark.plans import evaluation, general, joins, learning, ranking, telemetry, text
 
-MODULES = (general, text, joins, ranking, evaluation, telemetry)
+MODULES = (general, text, joins, ranking, evaluation, telemetry, learning)
 
 
 def queries() -> dict:
