@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import evaluation, general, joins, learning, ranking, telemetry, text
+from tidemark.plans import evaluation, general, joins, learning, ranking, supplement, telemetry, text
 
-MODULES = (general, text, joins, ranking, evaluation, telemetry, learning)
+MODULES = (general, text, joins, ranking, evaluation, telemetry, supplement, learning)
 
 
 def queries() -> dict:
