@@ -157,7 +157,46 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p10_found": p10_found, "p2_found": p2_found, "p2_links": p2_links, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p7_found": p7_found, "p5_found": p5_found, "p5_report": p5_report, "p1_found": p1_found, "p1_splits": p1_splits, "p1_folds": p1_folds, "p3_found": p3_found}
 
+_VALID = """m as (
+  select distinct e.key as window_id, case when lower(trim(e.value)) in ('train', 'training') then 'train'
+    when lower(trim(e.value)) in ('val', 'validation') then 'validation' when lower(trim(e.value)) = 'test' then 'test' end as split
+  from (select unnest(map_entries(window_assignment)) as e from split_manifest
+        qualify generated_at is not distinct from max(generated_at) over (partition by dataset_run_id)))"""
+_GROUPS = """e as (
+  select window_id, '0:' || incident_id as n from window_states where incident_id is not null
+  union select window_id, '1:' || regexp_replace(lower(trim(scenario_family)), '[-_ ]+', '-', 'g') from window_states where scenario_family is not null),
+sym as (select distinct a.n as a, b.n as b from e a join e b on a.window_id = b.window_id),
+reach as (select distinct n, n as m from e union select r.n, sym.b from reach r join sym on r.m = sym.a),
+c as (select n, min(m) as c from reach group by 1),
+g as (select w.window_id, coalesce(min(c.c), '2:' || w.window_id) as c from (select distinct window_id from window_states where window_id is not null) w
+      left join e on w.window_id = e.window_id left join c on e.n = c.n group by w.window_id)"""
+
+
+def _items(key: str, source: str) -> str:
+    parts = [f"select {key} as id, '{k}:' || lower(trim(v)) as item from (select {key}, unnest({c}) as v from {source}) where v is not null and trim(v) <> ''" for k, c in _ITEMS]
+    return " union ".join(parts)
+
+
 SQL = {
+    "p1_found": f"""
+with recursive {_VALID}, {_GROUPS},
+s as (select c, min(g.window_id) as group_window_id, list(distinct split) filter (split is not null) as splits from g left join m on g.window_id = m.window_id group by c)
+select group_window_id, unnest(splits) as split from s where len(splits) > 1""",
+    "p2_found": f"""
+with i as ({_items("window_id", "window_entities")} union {_items("ticket_id", "kg_tickets")}),
+n as (select id, count(*) as n from i group by 1 having count(*) >= 5),
+x as (select a.id as id_a, b.id as id_b, count(*) as k from i a join i b on a.item = b.item and a.id < b.id group by 1, 2)
+select id_a, id_b from x join n a on id_a = a.id join n b on id_b = b.id where k >= 0.7 * (a.n + b.n - k) - 1e-9""",
+    "p5_found": f"""
+with {_VALID},
+t as (select window_id, max(triage_evidence_text) as t from telemetry_windows where triage_evidence_text is not null group by 1),
+l as (select window_id, array_to_string(list_filter(regexp_split_to_array(t, '[\\r\\n]'), lambda x: not starts_with(x, 'WINDOW ')), chr(10)) as t from t),
+w as (select window_id, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') as w from l),
+g as (select distinct window_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as gram from w where len(w) >= 20),
+n as (select window_id, count(*) as n from g group by 1),
+ev as (select distinct window_id from m where split <> 'train'), tr as (select distinct window_id from m where split = 'train'),
+x as (select a.window_id as a, b.window_id as b, count(*) as k from g a join ev on a.window_id = ev.window_id join g b on a.gram = b.gram join tr on b.window_id = tr.window_id where a.window_id <> b.window_id group by 1, 2)
+select distinct least(a, b) as window_id_a, greatest(a, b) as window_id_b from x join n na on a = na.window_id join n nb on b = nb.window_id where k >= 0.6 * (na.n + nb.n - k) - 1e-9""",
     "p3_found": """
 with best as (
   select window_id, pipeline_name, issue_id, max(score) as score from hits
