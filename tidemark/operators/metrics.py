@@ -18,11 +18,25 @@ def score_counts(df: DataFrame, groups: Sequence[str], score: str, label: Column
     return rows.groupBy(*groups, score).agg(F.sum(F.when(F.col("_y"), 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("_y"), 0).otherwise(1)).alias("neg"))
 
 
-def _curve(counts: DataFrame, groups: Sequence[str], score: str) -> DataFrame:
-    down = Window.partitionBy(*groups).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = counts.groupBy(*groups).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    c = counts.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    return c.join(F.broadcast(total), list(groups)) if groups else c.crossJoin(F.broadcast(total))
+def _curve(counts: DataFrame, groups: Sequence[str], score: str, buckets: int = 64) -> DataFrame:
+    """Counts with tp and fp at each score and all_pos and all_neg of the group.
+
+    The running sums go over buckets of scores first (a row per group and
+    bucket), then within each bucket, so no task sorts a whole group.
+    """
+    named = list(groups)
+    keyed = counts if named else counts.withColumn("_all", F.lit(0))
+    by = named or ["_all"]
+    cuts = keyed.groupBy(*by).agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"), F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    same = " and ".join(f"{k} <=> _k_{k}" for k in by)
+    c = keyed.join(cuts.select(*[F.col(k).alias(f"_k_{k}") for k in by], "_cuts", "all_pos", "all_neg"), F.expr(same)).drop(*[f"_k_{k}" for k in by])
+    c = c.withColumn("_b", F.size(F.filter("_cuts", lambda x: x <= F.col(score)))).drop("_cuts")
+    above = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = c.groupBy(*by, "_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    sums = sums.select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col("_b").alias("_kb"), F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"))
+    here = Window.partitionBy(*by, "_b").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = c.withColumn("_tp", F.sum("pos").over(here)).withColumn("_fp", F.sum("neg").over(here)).join(sums, F.expr(same + " and _b = _kb"))
+    return c.select(*named, score, "pos", "neg", (F.col("_tp") + F.col("_p0")).alias("tp"), (F.col("_fp") + F.col("_n0")).alias("fp"), "all_pos", "all_neg")
 
 
 def curve_areas(counts: DataFrame, groups: Sequence[str], score: str) -> DataFrame:
@@ -34,10 +48,10 @@ def curve_areas(counts: DataFrame, groups: Sequence[str], score: str) -> DataFra
     roc_auc is 0.
     """
     c = _curve(counts, groups, score)
-    order = Window.partitionBy(*groups).orderBy(F.col(score).desc())
-    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("all_pos")
-    c = c.withColumn("p", precision).withColumn("r", F.when(F.col("all_pos") > 0, recall).otherwise(0.0))
-    c = c.withColumn("p0", F.coalesce(F.lag("p").over(order), F.lit(1.0))).withColumn("r0", F.coalesce(F.lag("r").over(order), F.lit(0.0)))
+    tp, fp, tp0, fp0 = F.col("tp"), F.col("fp"), F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
+    recall = lambda x: F.when(F.col("all_pos") > 0, x / F.col("all_pos")).otherwise(0.0)
+    # The point before is what was counted above this score; above the first score precision is 1.
+    c = c.withColumn("p", tp / (tp + fp)).withColumn("r", recall(tp)).withColumn("p0", F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(1.0)).withColumn("r0", recall(tp0))
     return c.groupBy(*groups).agg(
         F.max("all_pos").alias("n_pos"),
         F.max("all_neg").alias("n_neg"),
