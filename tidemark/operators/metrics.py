@@ -136,12 +136,16 @@ def poisson_weights(df: DataFrame, key: str, replicates: int, seed: str) -> Data
     replicate and key, so a replicate needs no pass of its own, every system
     sees the same draws, and the result doesn't depend on the partitions.
     """
-    reps = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("replicate").cast("string"), F.col(key))), 1, 8), 16, 10).cast("bigint")
+    # A digest of 128 bits serves four replicates.
+    reps = df.withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))))
+    reps = reps.withColumn("_md5", F.md5(F.concat_ws("|", F.lit(seed), F.col("_four").cast("string"), F.col(key))))
+    draws = F.array(*[F.struct((F.col("_four") * 4 + i).alias("replicate"), F.substring("_md5", 8 * i + 1, 8).alias("u")) for i in range(4)])
+    reps = reps.withColumn("_d", F.explode(draws)).withColumn("replicate", F.col("_d.replicate")).withColumn("_u", F.conv(F.col("_d.u"), 16, 10).cast("bigint")).drop("_d", "_md5", "_four").filter(F.col("replicate") < replicates)
+    u = F.col("_u")
     w = F.lit(0)
     for end in POISSON:
         w = w + F.when(u >= end, 1).otherwise(0)
-    return reps.withColumn("weight", w).filter("weight > 0")
+    return reps.withColumn("weight", w).drop("_u").filter("weight > 0")
 
 
 def bootstrap_interval(rows: DataFrame, groups: Sequence[str], key: str, value: str, replicates: int = 200, alpha: float = 0.05, seed: str = "b") -> DataFrame:

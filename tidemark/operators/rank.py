@@ -120,6 +120,75 @@ def dense_top(queries: DataFrame, docs: DataFrame, key: str, vector: str, n: int
     return top_rows(best, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], n)
 
 
+#: Records of a block in entity ranking.
+ENTITY_BLOCK = 2048
+
+
+def _record_blocks(df: DataFrame, name: str) -> DataFrame:
+    n = max(1, -(-df.count() // ENTITY_BLOCK))
+    return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("_b")).agg(F.sort_array(F.collect_list(F.struct("id", "severity", "family", "t", "items"))).alias(name)).select(name)
+
+
+def _entity_pairs(batches: Iterator[pa.RecordBatch], n: int, places: int, severity: float, family: float, earlier: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lefts, rights in zip(batch.column("l").to_pylist(), batch.column("r").to_pylist(), strict=True):
+            lists: dict[str, tuple[list[int], list[float]]] = {}
+            for i, r in enumerate(rights):
+                for x in r["items"]:
+                    got = lists.setdefault(x["item"], ([], []))
+                    got[0].append(i)
+                    got[1].append(x["w"])
+            posted = {k: (np.array(a), np.array(w)) for k, (a, w) in lists.items()}
+            ids = [r["id"] for r in rights]
+            sev = np.array([r["severity"] or "" for r in rights])
+            fam = np.array([r["family"] or "" for r in rights])
+            when = np.array([np.iinfo(np.int64).max if r["t"] is None else r["t"] for r in rights], dtype=np.int64)
+            out: list[tuple] = []
+            for x in lefts:
+                found = [posted[i["item"]] for i in x["items"] if i["item"] in posted]
+                if not found:
+                    continue
+                at, w = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+                shared = np.bincount(at, minlength=len(ids))
+                score = np.bincount(at, weights=w, minlength=len(ids))
+                if severity and x["severity"]:
+                    score = score + severity * (sev == x["severity"])
+                if family and x["family"]:
+                    score = score + family * (fam == x["family"])
+                ok = shared > 0
+                if earlier:
+                    ok &= when < (x["t"] if x["t"] is not None else np.iinfo(np.int64).min)
+                at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
+                s = np.round(score[at], places)
+                if len(at) > n:
+                    least = np.partition(s, len(s) - n)[len(s) - n]
+                    at, s = at[s >= least], s[s >= least]
+                order = np.lexsort((at, -s))[:n]
+                out.extend((x["id"], ids[at[o]], float(s[o]), int(shared[at[o]])) for o in order)
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["left_id", "right_id", "score", "n_shared"])
+
+
+def entity_top(left: DataFrame, right: DataFrame, n: int, places: int = 6, severity: float = 0.0, family: float = 0.0, earlier: bool = False) -> DataFrame:
+    """(left_id, right_id, score, n_shared, rank_no): the n right records that share entities of most weight with each left record.
+
+    Both sides are (id string, severity string, family string, t bigint, items
+    array<struct<item string, w double>>), an item once in a record; the right
+    side's weights count. `severity` and `family` are added where the known
+    values are equal; with `earlier` only right records with a smaller t count,
+    and a null time on either side matches nothing. Records that share nothing
+    have no row; ties go to the smaller id. An entity that a fifth of both
+    sides hold would make a join of entities quadratic, so blocks of records
+    are compared over inverted lists, and a block pair keeps n rows a record.
+    """
+    pairs = _record_blocks(left, "l").crossJoin(_record_blocks(right, "r"))
+    best = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(lambda b: _entity_pairs(b, n, places, severity, family, earlier), "left_id string, right_id string, score double, n_shared bigint")
+    return top_rows(best, ["left_id"], [F.col("score").desc(), F.col("right_id").asc()], n)
+
+
 def rrf(lists: DataFrame, groups: Sequence[str], item: str, source: str, rank: str, k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
     """(groups, item, score, first_source, first_rank): reciprocal rank fusion, sum of weight / (k + rank).
 

@@ -62,13 +62,6 @@ def _entity(kind: str):
     return lambda x: F.struct(F.lit(kind).alias("kind"), F.lower(F.btrim(x)).alias("value"))
 
 
-def entity_scores(left: DataFrame, right: DataFrame, left_key: str, right_key: str, weights: dict[str, float]) -> DataFrame:
-    """(left_key, right_key, score, n_shared): weighted count of the entities that two records share."""
-    w = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    pairs = left.join(right, ["kind", "value"]).groupBy(left_key, right_key).agg(F.sum(w[F.col("kind")]).alias("score"), F.count(F.lit(1)).alias("n_shared"))
-    return pairs
-
-
 def top_rows(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank_no") -> DataFrame:
     """The first n rows of every group in a total order. Spark cuts each task's rows to n before the shuffle."""
     w = Window.partitionBy(*groups).orderBy(*order)
@@ -80,3 +73,21 @@ def common_to_all(df: DataFrame, key: str, member: str) -> DataFrame:
     total = df.select(F.count_distinct(member).alias("_all"))
     n = df.groupBy(key).agg(F.count_distinct(member).alias("_n"))
     return n.join(F.broadcast(total), F.col("_n") == F.col("_all")).select(key)
+
+
+def entity_records(df: DataFrame, key: str, fields: dict[str, str], weights: dict[str, float]) -> DataFrame:
+    """(id, severity, family, t, items) for entity ranking: distinct entities of a record with the weight of their kind.
+
+    Takes the greatest severity, family and t of a record's rows; missing
+    columns are null.
+    """
+    arrays = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), _weighted(kind, weights[kind])) for kind, c in fields.items()]
+    plain = F.array_distinct(F.filter(F.concat(*arrays), lambda x: x["item"].isNotNull() & ~x["item"].isin(*[f"{k}:" for k in fields])))
+    have = set(df.columns)
+    other = [F.max(F.col(c) if c in have else F.lit(None).cast(t)).alias(c) for c, t in (("severity", "string"), ("family", "string"), ("t", "bigint"))]
+    rows = df.filter(F.col(key).isNotNull())
+    return rows.groupBy(F.col(key).alias("id")).agg(*other, F.array_distinct(F.flatten(F.collect_set(plain))).alias("items"))
+
+
+def _weighted(kind: str, weight: float):
+    return lambda x: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(F.btrim(x))).alias("item"), F.lit(float(weight)).alias("w"))

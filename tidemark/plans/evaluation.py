@@ -209,7 +209,7 @@ _W8 = " + ".join(f"case when u >= {x} then 1 else 0 end" for x in M.POISSON)
 
 
 def _draws(key: str, n: int, source: str) -> str:
-    return f"(select *, {_W8} as weight from (select s.*, i as replicate, ('0x' || left(md5('b|' || i || '|' || {key}), 8))::bigint as u from {source} s, range({n}) t(i)))"
+    return f"(select *, {_W8} as weight from (select s.*, i as replicate, ('0x' || substring(md5('b|' || (i // 4) || '|' || {key}), cast((i % 4) * 8 + 1 as integer), 8))::bigint as u from {source} s, range({n}) t(i)))"
 
 
 _TAIL = "round(least(1.0, 2 / (1 + exp(1.702 * z))), 9)"

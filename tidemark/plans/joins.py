@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators.asof import asof_join, latest_rows
-from tidemark.operators.relations import attach_gold, baseline_deltas, common_to_all, entity_rows, entity_scores, gold_matches, top_rows
+from tidemark.operators.relations import attach_gold, baseline_deltas, common_to_all, entity_records, entity_rows, gold_matches, top_rows
+from tidemark.operators.rank import entity_top
 from tidemark.plans import views as V
 from tidemark.tables import table
 
@@ -70,10 +71,9 @@ def j9_word_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j10_shared_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per window the ticket that shares most with it: weighted score and number of shared entities."""
-    a = entity_rows(table(spark, sf_dir, "window_entities").filter("window_id is not null"), "window_id", FIELDS)
-    b = entity_rows(table(spark, sf_dir, "kg_tickets").filter("ticket_id is not null"), "ticket_id", FIELDS)
-    best = top_rows(entity_scores(a, b, "window_id", "ticket_id", WEIGHTS), ["window_id"], [F.col("score").desc(), F.col("ticket_id").asc()], 1)
-    return best.select("window_id", "ticket_id", "score", "n_shared")
+    a = entity_records(table(spark, sf_dir, "window_entities"), "window_id", FIELDS, WEIGHTS)
+    b = entity_records(table(spark, sf_dir, "kg_tickets"), "ticket_id", FIELDS, WEIGHTS)
+    return entity_top(a, b, 1).select(F.col("left_id").alias("window_id"), F.col("right_id").alias("ticket_id"), "score", "n_shared")
 
 
 def j13_common_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

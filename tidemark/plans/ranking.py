@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import rank as R
-from tidemark.operators.relations import entity_rows, entity_scores, gold_matches, top_rows
+from tidemark.operators.relations import entity_records, entity_rows, gold_matches, top_rows
 from tidemark.plans import views as V
 from tidemark.plans.joins import FIELDS, WEIGHTS
 from tidemark.tables import table
@@ -76,15 +76,12 @@ def r11_sparse_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r12_entity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best visible tickets of each window by shared entities, severity and family."""
-    e = table(spark, sf_dir, "window_entities").filter("window_id is not null")
-    k = table(spark, sf_dir, "kg_tickets").filter("ticket_id is not null")
-    s = entity_scores(entity_rows(e, "window_id", FIELDS), entity_rows(k, "ticket_id", FIELDS), "window_id", "ticket_id", WEIGHTS)
-    w = V.windows(spark, sf_dir).select("window_id", "start_us")
-    mine = e.groupBy("window_id").agg(F.max("severity").alias("ws"), F.max("family").alias("wf")).join(w, "window_id")
-    t = V.tickets(spark, sf_dir).select("ticket_id", F.col("severity").alias("ts"), F.col("family").alias("tf"), "ts_us")
-    s = s.join(mine, "window_id").join(t, "ticket_id").filter("ts_us < start_us")
-    score = F.col("score") + F.when(F.col("ws") == F.col("ts"), 0.5).otherwise(0.0) + F.when(F.col("wf") == F.col("tf"), 1.0).otherwise(0.0)
-    return top_rows(s.select("window_id", "ticket_id", score.alias("score")), ["window_id"], [F.col("score").desc(), F.col("ticket_id").asc()], 5).select("window_id", "ticket_id", "score", "rank_no")
+    starts = V.windows(spark, sf_dir).select("window_id", F.col("start_us").alias("t"))
+    times = V.tickets(spark, sf_dir).select("ticket_id", F.col("ts_us").alias("t"))
+    a = entity_records(table(spark, sf_dir, "window_entities").join(starts, "window_id"), "window_id", FIELDS, WEIGHTS)
+    b = entity_records(table(spark, sf_dir, "kg_tickets").join(times, "ticket_id"), "ticket_id", FIELDS, WEIGHTS)
+    s = R.entity_top(a, b, 5, severity=0.5, family=1.0, earlier=True)
+    return s.select(F.col("left_id").alias("window_id"), F.col("right_id").alias("ticket_id"), "score", "rank_no")
 
 
 def r13_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,8 +149,12 @@ def r27_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = entity_rows(table(spark, sf_dir, "kg_tickets").filter("ticket_id is not null"), "ticket_id", FIELDS)
     n = F.broadcast(b.select(F.count_distinct("ticket_id").alias("n")))
     rarity = b.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("owners")).crossJoin(n).select("kind", "value", F.greatest(F.lit(0.05), 1 - F.col("owners") / F.col("n")).alias("rarity"))
-    s = a.join(rarity, ["kind", "value"]).join(b, ["kind", "value"]).groupBy("window_id", "ticket_id").agg(F.round(F.sum("rarity"), 6).alias("score"), F.count(F.lit(1)).alias("bridges"))
-    return top_rows(s, ["window_id"], [F.col("score").desc(), F.col("ticket_id").asc()], 1).select("window_id", "ticket_id", "score", "bridges")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("severity", "string"), ("family", "string"), ("t", "bigint"))]
+    item = F.struct(F.concat_ws(":", "kind", "value").alias("item"), F.col("rarity").alias("w"))
+    left = a.withColumn("rarity", F.lit(1.0)).groupBy(F.col("window_id").alias("id")).agg(F.collect_list(item).alias("items")).select("id", *none, "items")
+    right = b.join(rarity, ["kind", "value"]).groupBy(F.col("ticket_id").alias("id")).agg(F.collect_list(item).alias("items")).select("id", *none, "items")
+    s = R.entity_top(left, right, 1)
+    return s.select(F.col("left_id").alias("window_id"), F.col("right_id").alias("ticket_id"), "score", F.col("n_shared").alias("bridges"))
 
 
 def r28_kind_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
