@@ -81,3 +81,10 @@ def test_empty(spark):
 
 def test_template():
     assert logs.template("  Took 12 MS\n for X9y  z ") == "took # ms for # z"
+
+
+def test_very_long_lines():
+    r = Router()
+    for text in ("a" * 10**6, "<!--" * 10**5, "x:" * 10**5, " " * 10**6, "{" * 10**5, "word1 " * 10**5):
+        assert r.fields(r.clean(text), 2026) is None
+        assert len(logs.template(text)) <= len(text)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 
-_DIGIT_RUN = re.compile(r"\S*[0-9]\S*")
+_DIGIT = re.compile(r"[0-9]")
 
 _HEAD_FIELDS = "stream_id string, line_no bigint, ts_us bigint, level string, component string, message_len int, seen timestamp"
 _TEXT_FIELDS = "stream_id string, line_no bigint, is_head boolean, ts_us bigint, level string, component string, message_len int, body string, seen timestamp"
@@ -26,7 +26,8 @@ _TEXT_FIELDS = "stream_id string, line_no bigint, is_head boolean, ts_us bigint,
 
 def template(text: str) -> str:
     """Lower-cased text with each run that holds a digit as '#', and runs of white space as one space."""
-    return " ".join(_DIGIT_RUN.sub("#", text.lower()).split())
+    parts = text.lower().split()
+    return " ".join(["#" if _DIGIT.search(x) else x for x in parts] if _DIGIT.search(text) else parts)
 
 
 def _parse(batches: Iterator[pa.RecordBatch], heads_only: bool, templated: bool) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,8 @@ def heavy_keys(df: DataFrame, fields: Sequence[str], share: float) -> DataFrame:
     fields = list(dict.fromkeys(fields))
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("key_field"), F.col(f).cast("string").alias("v")) for f in fields])).alias("k")).select("k.key_field", "k.v")
     states = eager_join_aggregate(long, long.select("key_field"), on=["key_field"], by=["v"])
-    return states.filter(F.col("n_left") >= F.ceil(F.lit(float(share)) * F.col("n_right") - F.lit(1e-9))).select(
+    exact = Fraction(str(share))
+    return states.filter(F.col("n_left") * exact.denominator >= F.col("n_right") * exact.numerator).select(
         "key_field", F.coalesce("v", F.lit(NULL_NAME)).alias("key_value"), F.col("n_left").alias("n"), F.col("n_right").alias("n_all")
     )
 
