@@ -337,3 +337,15 @@ def test_stuffed_pages(spark):
     assert sorted(got, key=str) == sorted([*range(len(STUFFED)), None], key=str)
     assert spam.page_shares(df, "doc_id").filter("spam_share is null").count() == 3
     assert spam.page_shares(df.limit(0), "doc_id").count() == 0
+
+
+def test_very_long_texts():
+    e = bpe.encoder()
+    for text in ("a" * 10**5, "[" * 10**5, "<a " * 10**5, "<!--" * 10**5, "word " * 10**5, " " * 10**5, "#x " * 10**5, "x\n" * 10**5, "あ" * 10**5, "[](" * 10**5):
+        assert spam.shares(text, {}).n_words >= 0
+        assert len(leakage.plain_words(text)) >= 0 and len(e.encode(text)) > 0
+
+
+def test_trimmed_and_families(spark):
+    df = spark.createDataFrame([(" \t Volume  starvation_-00744 ",), ("",), (None,), (" " * 50_000 + "x",)], "f string")
+    assert [r[0] for r in df.select(splits.family_key(F.col("f"))).collect()] == ["volume-starvation-00744", "", None, "x"]

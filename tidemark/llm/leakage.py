@@ -23,7 +23,7 @@ from tidemark.session import cut
 #: Rows up to which a counted list is broadcast; beyond it the join shuffles.
 MAX_BROADCAST = 500_000
 
-_TAG = re.compile(r"<!--.*?-->|</?[a-z][^<>]*>|<![a-z][^<>]*>", re.DOTALL)
+_TAG = re.compile(r"<!--(?:(?!<!--).)*?-->|</?[a-z][^<>]*>|<![a-z][^<>]*>", re.DOTALL)
 _FORMAT: re.Pattern | None = None
 
 

@@ -89,7 +89,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _template(c):
     """Lower-cased, each run that holds a digit as '#', runs of white space as one space, trimmed."""
-    return trimmed(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\s0-9]*[0-9]\S*", "#"), r"(?U)\s+", " "))
+    return trimmed(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)(?<!\S)[^\s0-9]*+[0-9]\S*", "#"), r"(?U)\s+", " "))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

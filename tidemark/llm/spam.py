@@ -42,8 +42,8 @@ _LINE = re.compile(r"[\r\n\v\f  ]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 _ENDED = re.compile(r"[.!?…。！？][\"'”’)\]]*$")
 _URL = re.compile(r"(?:https?|ftp)://[^\s<>\"')\]]+|\bwww\.[^\s<>\"')\]]+", re.IGNORECASE)
-_ANCHOR = re.compile(r"<a\s[^>]*>.*?</a\s*>", re.IGNORECASE | re.DOTALL)
-_MARKDOWN = re.compile(r"!?\[[^\]\n]*\]\([^)\s]*\)")
+_ANCHOR = re.compile(r"<a\s[^<>]*>(?:(?!<a\s).)*?</a\s*>", re.IGNORECASE | re.DOTALL)
+_MARKDOWN = re.compile(r"!?\[[^\[\]\n]*\]\([^()\s]*\)")
 _TAG = re.compile(r"<[^<>]+>")
 _HASH = re.compile(r"(?:^|\s)#\w+")
 _TIMED = re.compile(r"^[\[(<]?(?:\d{4}[-/.]\d\d[-/.]\d\d|\d{1,2}:\d\d(?::\d\d)?(?!\])|[A-Z][a-z]{2} [ \d]\d \d\d:|\d{10,13}\b|[TDIWEF]\d{4} \d\d:)")

@@ -17,7 +17,7 @@ SPLIT_NAMES = {"train": "train", "training": "train", "val": "validation", "vali
 
 def trimmed(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s++$", "")
 
 
 def family_key(c: Column) -> Column:
