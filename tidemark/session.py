@@ -44,7 +44,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not named:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     sc.setCheckpointDir(named)
