@@ -191,3 +191,33 @@ def test_rrf_ties(spark):
     df = spark.createDataFrame([("w", "a", "x", 1), ("w", "b", "y", 1)], "w string, s string, d string, r int")
     got = {r.d: (round(r.score, 6), r.first_source) for r in rank.rrf(df, ["w"], "d", "s", "r").collect()}
     assert got == {"x": (round(1 / 61, 6), "a"), "y": (round(1 / 61, 6), "b")}
+
+
+def test_entity_top_equals_brute(spark, monkeypatch):
+    rnd = random.Random(8)
+    kinds = {"service": "s", "error": "e"}
+    weights = {"service": 2.0, "error": 3.0}
+
+    def side(prefix, n):
+        values = lambda: rnd.choice([None, [], [rnd.choice(["A ", "a", "b", "c", None, "", "hot"]) for _ in range(4)]])
+        return [(f"{prefix}{i:02}", rnd.choice([None, "minor", "major"]), rnd.choice([None, "f", "g"]), rnd.choice([None, *range(20)]), values(), values()) for i in range(n)]
+
+    left, right = side("l", 40), side("r", 50)
+    schema = "id string, severity string, family string, t bigint, s array<string>, e array<string>"
+    frames = [relations.entity_records(spark.createDataFrame(x + x[:5], schema).withColumnRenamed("id", "key"), "key", kinds, weights) for x in (left, right)]
+    items = lambda r: {(k, v.strip().lower()) for k, c in (("service", r[4]), ("error", r[5])) for v in c or [] if v and v.strip()}
+    for block in (7, 2048):
+        monkeypatch.setattr(rank, "ENTITY_BLOCK", block)
+        got = rank.entity_top(*frames, 3, severity=0.5, family=1.0, earlier=True)
+        want = []
+        for x in left:
+            found = []
+            for y in right:
+                shared = items(x) & items(y)
+                if shared and x[3] is not None and y[3] is not None and y[3] < x[3]:
+                    score = sum(weights[k] for k, _ in shared) + 0.5 * (x[1] is not None and x[1] == y[1]) + (x[2] is not None and x[2] == y[2])
+                    found.append((-score, y[0], len(shared)))
+            want += [(x[0], i, -s, n, k) for k, (s, i, n) in enumerate(sorted(found)[:3], 1)]
+        assert rows(got.select("left_id", "right_id", "score", "n_shared", "rank_no")) == sorted(want, key=str)
+        counts = {r.kind: r.n_pairs for r in rank.entity_pair_counts(*frames).collect()}
+        assert counts == {k: sum(any(a[0] == k for a in items(x) & items(y)) for x in left for y in right) for k in kinds}

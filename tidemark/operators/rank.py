@@ -189,6 +189,36 @@ def entity_top(left: DataFrame, right: DataFrame, n: int, places: int = 6, sever
     return top_rows(best, ["left_id"], [F.col("score").desc(), F.col("right_id").asc()], n)
 
 
+def _kind_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[str, int] = {}
+    for batch in batches:
+        for lefts, rights in zip(batch.column("l").to_pylist(), batch.column("r").to_pylist(), strict=True):
+            lists: dict[str, list[int]] = {}
+            for i, r in enumerate(rights):
+                for x in r["items"]:
+                    lists.setdefault(x["item"], []).append(i)
+            posted = {k: np.array(a) for k, a in lists.items()}
+            for x in lefts:
+                kinds: dict[str, list[np.ndarray]] = {}
+                for i in x["items"]:
+                    if i["item"] in posted:
+                        kinds.setdefault(i["item"].split(":", 1)[0], []).append(posted[i["item"]])
+                for kind, found in kinds.items():
+                    total[kind] = total.get(kind, 0) + (len(found[0]) if len(found) == 1 else len(np.unique(np.concatenate(found))))
+    if total:
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(list(total)), "n": pa.array(list(total.values()), pa.int64())})
+
+
+def entity_pair_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(kind, n_pairs): pairs of a left and a right record that share an entity of a kind; counted over blocks, no pair leaves its task.
+
+    Both sides as for `entity_top`, with items named 'kind:value'.
+    """
+    pairs = _record_blocks(left, "l").crossJoin(_record_blocks(right, "r"))
+    counts = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(_kind_pairs, "kind string, n bigint")
+    return counts.groupBy("kind").agg(F.sum("n").alias("n_pairs"))
+
+
 def rrf(lists: DataFrame, groups: Sequence[str], item: str, source: str, rank: str, k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
     """(groups, item, score, first_source, first_rank): reciprocal rank fusion, sum of weight / (k + rank).
 

@@ -161,9 +161,12 @@ def r28_kind_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision of each kind of shared entity as evidence of a gold ticket, 0.05 at least."""
     a = entity_rows(table(spark, sf_dir, "window_entities").filter("window_id is not null"), "window_id", FIELDS)
     b = entity_rows(table(spark, sf_dir, "kg_tickets").filter("ticket_id is not null"), "ticket_id", FIELDS)
-    gold = gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir)).withColumn("hit", F.lit(1))
-    p = a.join(b, ["kind", "value"]).select("kind", "window_id", "ticket_id").distinct().join(gold, ["window_id", "ticket_id"], "left")
-    return p.groupBy("kind").agg(F.count("hit").alias("n_hits"), F.count(F.lit(1)).alias("n_pairs"), F.round(F.greatest(F.lit(0.05), F.count("hit") / F.count(F.lit(1))), 6).alias("weight"))
+    gold = gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir))
+    hits = gold.join(a, "window_id").join(b, ["ticket_id", "kind", "value"]).select("kind", "window_id", "ticket_id").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n_hits"))
+    left = entity_records(table(spark, sf_dir, "window_entities"), "window_id", FIELDS, WEIGHTS)
+    right = entity_records(table(spark, sf_dir, "kg_tickets"), "ticket_id", FIELDS, WEIGHTS)
+    c = R.entity_pair_counts(left, right).join(hits, "kind", "left").select("kind", F.coalesce("n_hits", F.lit(0).cast("bigint")).alias("n_hits"), "n_pairs")
+    return c.withColumn("weight", F.round(F.greatest(F.lit(0.05), F.col("n_hits") / F.col("n_pairs")), 6))
 
 
 def r32_evidence_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
