@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import metrics as M
 from tidemark.operators import rank as R
 from tidemark.operators.asof import latest_rows
 from tidemark.operators.relations import gold_matches, top_rows
