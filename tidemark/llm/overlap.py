@@ -384,15 +384,22 @@ def cross_side_classes(texts: DataFrame, sides: DataFrame, threshold: float = 0.
         made = texts.mapInArrow(lambda b: _posted(b, held.value, sent.value, is_eval, prepare, n, least, threshold), "gram bigint, c bigint, place bigint, " + ", ".join(f"{w} bigint" for w in _WORDS))
         if not known:
             made = made.repartition("gram").dropDuplicates(["gram", "c", "place"])
-        return made.select("gram", F.col("c").alias(f"c_{x}"), F.shiftright("place", 32).cast("int").alias(f"size_{x}"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias(f"pos_{x}"), *[F.col(w).alias(f"{w}_{x}") for w in _WORDS])
+        return made.select("gram", F.col("c").alias(f"c_{x}"), F.col("place").alias(f"place_{x}"), *[F.col(w).alias(f"{w}_{x}") for w in _WORDS])
 
-    need = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6))
+    # Size and position travel in one number and come apart after the shuffle.
+    size_a, size_b = (F.shiftright(f"place_{x}", 32) for x in "ab")
+    pos_a, pos_b = (F.col(f"place_{x}").bitwiseAND(F.lit((1 << 32) - 1)) for x in "ab")
+
+    needed = lambda a, b: F.ceil((a + b) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6))
+    need = needed(size_a, size_b)
     met = posted(True, "a").join(posted(False, "b"), "gram").filter(F.col("c_a") != F.col("c_b"))
     # Members of only one of the two sets are at least as many as the parity bits that differ.
     differ = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS), F.lit(0))
-    met = met.filter(differ <= F.col("size_a") + F.col("size_b") - 2 * need)
+    met = met.filter(differ <= size_a + size_b - 2 * need)
     # A pair must meet within what either set can miss of the overlap it needs.
-    met = met.filter((F.col("pos_a") <= F.col("size_a") - need) & (F.col("pos_b") <= F.col("size_b") - need))
+    met = met.filter((pos_a <= size_a - need) & (pos_b <= size_b - need))
+    met = met.select("c_a", "c_b", size_a.alias("size_a"), size_b.alias("size_b"), pos_a.alias("pos_a"), pos_b.alias("pos_b"))
+    need = needed(F.col("size_a"), F.col("size_b"))
     # The overlap can't exceed the members met plus what follows the last one met.
     met = met.groupBy("c_a", "c_b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("m"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
     rest = F.greatest(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
