@@ -49,7 +49,7 @@ _HASH = re.compile(r"(?:^|\s)#\w+")
 _TIMED = re.compile(r"^[\[(<]?(?:\d{4}[-/.]\d\d[-/.]\d\d|\d{1,2}:\d\d(?::\d\d)?(?!\])|[A-Z][a-z]{2} [ \d]\d \d\d:|\d{10,13}\b|[TDIWEF]\d{4} \d\d:)")
 _FRAME = re.compile(r"^(?:at \S+\(|File \"|Caused by\b|\.\.\. \d+ more|Traceback \(|goroutine \d|[\w.$]*(?:Error|Exception|Fault|Failure)\b:?)")
 _NUMBER = re.compile(r"[-+~<>=:.,%\s\d]*|-+")
-_PARTS = re.compile(r"\s*[,;|/•·»>]\s*|\s+[-–—*]\s+|\t+")
+_PARTS = re.compile(r"[,;|/•·»>\t]|\s[-–—*]\s")
 
 
 class Shares(NamedTuple):
@@ -71,17 +71,17 @@ class Shares(NamedTuple):
 def _function_counts(ws: list[str], text: str) -> dict[str, int]:
     """Function words by language, of the languages that have any."""
     out: dict[str, int] = {}
-    for w in ws:
-        for k in _LANGUAGES.get(w, ()):
+    for names in [_LANGUAGES[w] for w in ws if w in _LANGUAGES]:
+        for k in names:
             out[k] = out.get(k, 0) + 1
-    if _KANA.search(text):
+    if not text.isascii() and _KANA.search(text):
         out["ja"] = 3 * len(_PARTICLE.findall(text))
     return out
 
 
 def language_of(ws: list[str], text: str) -> str:
     """The language whose function words are most frequent; Japanese by its script."""
-    if len(_KANA.findall(text)) * 4 > sum(map(len, ws)):
+    if not text.isascii() and len(_KANA.findall(text)) * 4 > sum(map(len, ws)):
         return "ja"
     counts = _function_counts(ws, text)
     counts.pop("ja", None)
@@ -124,12 +124,11 @@ def shares(text: str | None, thresholds: dict[str, float]) -> Shares:
     stuffed = {p for p, c in pairs.items() if c >= 5 and c >= 0.08 * n}
     lines = [x for x in (line.strip() for line in _LINE.split(text)) if x]
     repeated = Counter(lines)
-    link = tag = keyword = machine = separators = 0
+    link = tag = keyword = machine = 0
     for line in lines:
         if _machine(line):
             machine += weight(words(line))
             continue
-        separators += len(_PARTS.findall(line))
         # Links first: their text and address are no sentence.
         rest = line
         for pattern in (_ANCHOR, _MARKDOWN, _URL):
@@ -147,28 +146,29 @@ def shares(text: str | None, thresholds: dict[str, float]) -> Shares:
             if not us:
                 continue
             ended = bool(_ENDED.search(unit.strip()))
-            size = weight(us)
+            size = len(us) if unit.isascii() else weight(us)
             counts = _function_counts(us, unit)
             spoken = max(counts, key=lambda k: (counts[k], k == language, k)) if counts else language
             share, few = counts.get(spoken, 0) / size, thresholds.get(spoken, FLOOR)
+            if ended and share >= few and (not stuffed or share >= 0.5):
+                continue  # a sentence
             twos = list(zip(us, us[1:], strict=False))
-            covered = set()
-            for i, p in enumerate(twos):
-                if pairs[p] >= 3:
-                    covered.update((i, i + 1))
-            cover = len(covered) / len(us)
-            parts = [p for p in _PARTS.split(unit) if words(p)]
-            listed = len(parts) >= 3 and len(us) / len(parts) <= 5
-            if any(p in stuffed for p in twos) and (share < 0.5 or not ended):
+            if stuffed and (share < 0.5 or not ended) and not stuffed.isdisjoint(twos):
                 keyword += size
-            elif share < few and (cover >= 0.5 or listed and len(parts) >= 5):
-                keyword += size
-            elif not ended and (cover >= 0.6 or listed and (cover >= 0.4 or share < few)):
+                continue
+            if ended and share >= few:
+                continue
+            if linked and share < few:
                 keyword += size
-            elif linked and share < few:
+                continue
+            repeats = [pairs[p] >= 3 for p in twos]
+            cover = (sum(a or b for a, b in zip(repeats, repeats[1:], strict=False)) + repeats[0] + repeats[-1]) / len(us) if repeats else 0.0
+            parts = sum(1 for p in _PARTS.split(unit) if p and not p.isspace())
+            listed = parts >= 3 and len(us) / parts <= 5
+            if share < few and (cover >= 0.5 or listed and parts >= 5) or not ended and (cover >= 0.6 or listed and (cover >= 0.4 or share < few)):
                 keyword += size
     duplicate = sum(c for c in repeated.values() if c > 1) / len(lines) if lines else 0.0
-    return Shares(language, n, link, tag, keyword, machine, _function_counts(ws, lower).get(language, 0) / n, max(Counter(ws).values()) / n, max(pairs.values()) / n if pairs else 0.0, duplicate, separators / n)
+    return Shares(language, n, link, tag, keyword, machine, _function_counts(ws, lower).get(language, 0) / n, max(Counter(ws).values()) / n, max(pairs.values()) / n if pairs else 0.0, duplicate, len(_PARTS.findall(text)) / n)
 
 
 def _usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
