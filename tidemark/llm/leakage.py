@@ -107,12 +107,12 @@ def _extend(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.int64()), pa.array(longest, pa.int32()), pa.array(n_words, pa.int32())], names=["doc_id", "item_id", "longest", "item_words"])
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, k: int = 6) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, k: int = 10) -> DataFrame:
     """(doc_id, item_id, longest, item_words): documents that hold `least` or more consecutive words of an item.
 
     `documents` is (doc_id bigint, text), `items` is (item_id bigint, text).
     `longest` is the longest common run in words. The window of the winnowing is
-    least - k + 1, so every run of `least` words shares a kept hash; hits are
+    least - k + 1, so every run of `least` words shares a kept hash; the longer the hashes, the fewer hits on common phrases. Hits are
     extended on the words, so there are no false ones. Null and shorter texts
     have no row, a repeated id counts once, rows with null ids are left out, an
     empty side gives no rows. The items' hashes are broadcast only where they
