@@ -189,9 +189,6 @@ ar as (select {key}, cast(max(P_) as bigint) as n_pos, cast(max(N_) as bigint) a
   round(coalesce(sum(pos * (N_ - fp + neg / 2)) / nullif(max(P_) * max(N_), 0), 0.0), 6) as roc_auc from m group by 1)"""
 
 
-_RATIO = "coalesce({a} / nullif({b}, 0), 0.0)"
-
-
 def _confusion(key: str, source: str, p: str, y: str, b2: float) -> str:
     k = f"{key}, " if key else ""
     g = " group by 1" if key else ""

@@ -184,7 +184,6 @@ QUERIES |= {"split_manifest": p1_manifest_split, "split_leave_one_out": p2_leave
 
 _ENTITIES = " union all ".join(f"select {{key}}, '{kind}' as kind, unnest({c}) as v from {{table}} where {{key}} is not null" for kind, c in FIELDS.items())
 _ENT = "select distinct {key}, kind, lower(trim(v)) as value from (" + _ENTITIES + ") where v is not null and trim(v) <> ''"
-_DWORDS = "list_distinct({w})"
 _SYM = f"list_distinct(list_filter(regexp_extract_all(lower(coalesce(root_cause, '')), '[a-z][a-z0-9_]{{2,}}'), lambda x: x not in ({', '.join(repr(w) for w in T.SYMPTOM_STOP_WORDS)})))"
 _CORP = "list_distinct(list_transform(regexp_extract_all(coalesce(concat_ws(' ', root_cause, fix), ''), '[A-Za-z_][A-Za-z_0-9]{2,}'), lambda x: lower(x)))"
 _DELTA = ", ".join(f"round(case when w.window_type = 'pre_fault_baseline' or b.episode is null and b.service is null and b.n is null then 0.0 else coalesce(w.{f}, 0.0) - coalesce(b.{f}, 0.0) end, 6) as {f.removeprefix('triage_feature_')}_delta" for f in V.FEATURES)

@@ -77,6 +77,24 @@ def p3_family_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("scenario_family", T.hash_mod_10(F.col("scenario_family")).alias("bucket"), T.family_split(F.col("scenario_family")).alias("split"))
 
 
+def f16_latency_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows by band of their p95 latency; null for none."""
+    w = table(spark, sf_dir, "telemetry_windows").groupBy("window_id").agg(F.max("triage_feature_trace_latency_p95_ms").alias("ms"))
+    return w.groupBy(T.latency_band(F.col("ms")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def f6_pod_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services of cluster objects by name (without the two trailing hashes), with their number of objects."""
+    o = table(spark, sf_dir, "k8s_events").filter("object_name is not null").select("object_name").distinct()
+    return o.groupBy(T.service_of_pod(F.col("object_name")).alias("service")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def f28_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic score of a window's latency around half a second, and the run in its id where it names one."""
+    w = table(spark, sf_dir, "telemetry_windows").groupBy("window_id").agg(F.max("triage_feature_trace_latency_p95_ms").alias("ms"))
+    return w.select("window_id", F.round(T.sigmoid((F.col("ms") - 500) / 200), 6).alias("score"), T.run_of_window(F.col("window_id")).alias("run"))
+
+
 QUERIES = {
     "f1_words_a": _evidence(lambda t: _words(T.words_a(t))),
     "f2_words_b": _evidence(lambda t: _words(T.words_b(t))),
@@ -90,6 +108,9 @@ QUERIES = {
     "f9_normal_sequence": _evidence(lambda t: [T.normal_sequence(t).alias("text")]),
     "f15_header_text": f15_header_text,
     "f16_error_classes": _evidence(lambda t: [F.array_join(T.error_classes(t), ",").alias("error_classes")]),
+    "f16_latency_bands": f16_latency_bands,
+    "f6_pod_services": f6_pod_services,
+    "f28_sigmoid": f28_sigmoid,
     "f18_reason_class": _tickets(lambda t: [T.reason_class(t).alias("reason")]),
     "f20_severity": f20_severity,
     "f23_times": f23_times,
@@ -139,7 +160,13 @@ _MOD = "list_sum(list_transform(range(1, 64), lambda i: strpos('0123456789abcdef
 _HASH = f"cast((6 * {_MOD} + strpos('0123456789abcdef', sha256(scenario_family)[64]) - 1) % 10 as integer)"
 _STEM = " ".join(f"when x like '%{s}' and length(x) > {len(s) + 2} then left(x, length(x) - {len(s)})" for s in ("ing", "ed", "es", "s"))
 
+_MS = "w as (select window_id, max(triage_feature_trace_latency_p95_ms) as ms from telemetry_windows group by 1)"
+_BANDS = " ".join(f"when ms > 0 and ms >= {a} and ms < {b} then '{name}'" for a, b, name in T.LATENCY_BANDS)
+
 SQL = {
+    "f16_latency_bands": f"with {_MS} select case {_BANDS} end as band, count(*) as n from w group by 1",
+    "f6_pod_services": "with o as (select distinct object_name as o, string_split(object_name, '-') as p from k8s_events where object_name is not null) select case when len(p) > 2 then array_to_string(p[1:len(p) - 2], '-') when len(p) = 2 then o end as service, count(*) as n from o group by 1",
+    "f28_sigmoid": f"with {_MS} select window_id, round(case when (ms - 500) / 200 >= 0 then 1 / (1 + exp(-(ms - 500) / 200)) else exp((ms - 500) / 200) / (1 + exp((ms - 500) / 200)) end, 6) as score, regexp_extract(window_id, '^(.*?-r\\d+)-', 1) as run from w",
     "f1_words_a": _list("window_id", _W, "list_filter(regexp_extract_all(lower(coalesce(t, '')), '[a-z0-9]+'), lambda x: length(x) >= 2)"),
     "f2_words_b": _list("window_id", _W, "list_transform(regexp_extract_all(coalesce(t, ''), '[A-Za-z_][A-Za-z0-9_]+'), lambda x: lower(x))"),
     "f3_words_c": _list("window_id", _W, f"list_filter(regexp_extract_all(coalesce({_replace('lower(t)', tuple((p, ' ') for p in T.CLEANED))}, ''), '[a-z0-9_]+'), lambda x: length(x) > 1 and x not in {_in(T.STOP_WORDS)})"),
