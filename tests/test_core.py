@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof, metrics, rank, relations, skew, state, telemetry
 from tidemark.operators.components import connected_components
+from tidemark.plans import telemetry as telemetry_plans
 
 
 def rows(df):
@@ -71,6 +72,13 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
 
 
+def test_incident_groups(spark, tmp_path):
+    data = [("i1", "dns-loss"), ("i2", " DNS_loss "), ("i2", "Config  Drift"), ("i3", "config-drift"), ("i4", "probe-00012"), ("~5", "probe_00012"), ("i6", "disk-saturation"), ("i6", None), ("i7", None), (None, "dns-loss")]
+    spark.createDataFrame(data * 2, "incident_id string, scenario_family string").write.parquet(f"{tmp_path}/window_states.parquet")
+    got = telemetry_plans.u6_incident_groups(spark, str(tmp_path))
+    assert rows(got.select("n", "first_id", "last_id")) == [(1, "i6", "i6"), (2, "i4", "~5"), (3, "i1", "i3")]
+
+
 def test_components_random(spark):
     rnd = random.Random(5)
     edges = [(f"n{rnd.randint(0, 120):03}", f"n{rnd.randint(0, 120):03}") for _ in range(90)]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import family_key, trimmed
 from tidemark.operators.components import connected_components
 from tidemark.operators.skew import skew_join
 from tidemark.session import cut
@@ -15,16 +16,6 @@ from tidemark.session import cut
 SPLIT_NAMES = {"train": "train", "training": "train", "val": "validation", "valid": "validation", "validation": "validation", "dev": "validation", "test": "test", "testing": "test"}
 
 
-def trimmed(c: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s++$", "")
-
-
-def family_key(c: Column) -> Column:
-    """A family in one spelling: trimmed, lower-cased, runs of '-', '_' and spaces as one '-'."""
-    return F.regexp_replace(F.lower(trimmed(c)), r"(?U)[-_\s]+", "-")
-
-
 def split_name(c: Column) -> Column:
     """train, validation or test; null for any other name."""
     names = F.create_map(*[F.lit(x) for kv in SPLIT_NAMES.items() for x in kv])

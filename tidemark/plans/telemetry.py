@@ -222,13 +222,21 @@ def st7_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def u6_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of incidents that share a family: size and members' first and last id."""
+    """Components of incidents over numbered families only, as spelled ('-<digits>' at the end): size and members' first and last id. `u6_incident_groups` takes all families."""
     s = table(spark, sf_dir, "window_states").filter("incident_id is not null and scenario_family rlike '-[0-9]+$'")
     pairs = s.select("incident_id", F.concat(F.lit("~"), "scenario_family").alias("f")).distinct()
     c = connected_components(pairs, "incident_id", "f").filter("node not like '~%'")
     return c.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first_id"), F.max("node").alias("last_id")).select("n", "first_id", "last_id")
 
 
+def u6_incident_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of incidents that share a family in any spelling, over all rows with both: size and members' first and last id."""
+    s = table(spark, sf_dir, "window_states").filter("incident_id is not null and scenario_family is not null")
+    pairs = s.select(F.concat(F.lit("i:"), "incident_id").alias("i"), F.concat(F.lit("f:"), T.family_key(F.col("scenario_family"))).alias("f")).distinct()
+    c = connected_components(pairs, "i", "f").filter(F.col("node").startswith("i:")).withColumn("node", F.expr("substr(node, 3)"))
+    return c.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first_id"), F.max("node").alias("last_id")).select("n", "first_id", "last_id")
+
+
 def f17_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of windows and tickets by kind: how many, distinct, and shared by both sides."""
     a = entity_rows(table(spark, sf_dir, "window_entities").filter("window_id is not null"), "window_id", FIELDS).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("nw"))
@@ -237,7 +245,7 @@ def f17_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("kind").agg(F.count("nw").alias("in_windows"), F.count("nk").alias("in_tickets"), F.count_if(F.col("nw").isNotNull() & F.col("nk").isNotNull()).alias("shared"), F.sum(F.coalesce("nw", F.lit(0)) * F.coalesce("nk", F.lit(0))).alias("pairs"))
 
 
-_F = (a1_log_levels, a4_warning_events, a6_latency, a7_phase_pivot, a8_signals, a9_top_reasons, a10_templates, a11_surge, a13_document_frequency, a14_feature_profile, a15_corpus_profile, a16_split_labels, a17_counter_increase, a17_histogram_quantile, a18_services_of_episodes, a19_first_last, a20_nearest_rank, a21_not_invoked, a22_option_counts, o4_quota_sample, o5_strided, st1_recent, st2_suppression, st3_incidents, st4_runs, st6_clock_windows, st6_sessions, st7_padded, u6_components, f17_entities)
+_F = (a1_log_levels, a4_warning_events, a6_latency, a7_phase_pivot, a8_signals, a9_top_reasons, a10_templates, a11_surge, a13_document_frequency, a14_feature_profile, a15_corpus_profile, a16_split_labels, a17_counter_increase, a17_histogram_quantile, a18_services_of_episodes, a19_first_last, a20_nearest_rank, a21_not_invoked, a22_option_counts, o4_quota_sample, o5_strided, st1_recent, st2_suppression, st3_incidents, st4_runs, st6_clock_windows, st6_sessions, st7_padded, u6_components, u6_incident_groups, f17_entities)
 QUERIES = {f.__name__: f for f in _F}
 
 _LEVEL = "case " + " ".join(f"when lower(trim(severity)) in ({', '.join(repr(w) for w in ws)}) then '{k}'" for k, ws in A.SPELLINGS.items()) + " end"
