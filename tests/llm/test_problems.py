@@ -339,6 +339,16 @@ def test_stuffed_pages(spark):
     assert spam.page_shares(df.limit(0), "doc_id").count() == 0
 
 
+def test_repeated_lines_and_words(spark):
+    kinds = "dns cache monitor incident rollback latency alert trace quota shard replica kafka pod ingress canary probe lease socket buffer queue".split()
+    shuffled = kinds * 4
+    random.Random(5).shuffle(shuffled)
+    found = ["monitor\n" * 300, "\n".join(kinds[:4] * 10), " ".join(shuffled), "監視\n" * 60, "Überwachung\nStörung\nNetzwerk\n" * 20]
+    clean = ["\n".join(kinds), SENTENCES * 3 + "\nmonitor" * 5, "\n".join(f"0{i % 10}:15 monitor" for i in range(60)), "\n".join(f"0{i % 10}:15 {a}" for i, a in enumerate(shuffled)) + "\ncache probe\nqueue"]
+    df = spark.createDataFrame(list(enumerate(found)) + [(100 + i, t) for i, t in enumerate(clean)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in spam.stuffed_pages(df, "doc_id").collect()) == list(range(len(found)))
+
+
 def test_very_long_texts():
     e = bpe.encoder()
     for text in ("a" * 10**5, "[" * 10**5, "<a " * 10**5, "<!--" * 10**5, "word " * 10**5, " " * 10**5, "#x " * 10**5, "x\n" * 10**5, "あ" * 10**5, "[](" * 10**5):

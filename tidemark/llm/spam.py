@@ -1,8 +1,9 @@
 """Pages of repeated keywords, links or tags instead of sentences.
 
 A text is cut into units (sentences of lines). Units are told apart by link
-text, tags, separators, repeated word pairs and missing function words; how
-few function words are too few is calibrated per language over all documents.
+text, tags, separators, repeated word pairs, repeated lines and words, and missing
+function words; how few function words are too few is calibrated per language
+over all documents.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ JAPANESE = ("を", "は", "が", "に", "の", "で", "と", "へ", "から", "
 #: Share of the language's usual share of function words below which a unit is no sentence, and bounds of the result.
 CALIBRATION = 0.45
 FLOOR, CEILING = 0.08, 0.2
+#: Times from which a line, and a word that is neither function word nor number, counts as repeated; and the share of such words that makes a unit one of keywords.
+REPEATED_LINE, REPEATED_WORD, REPEATED_COVER = 3, 3, 0.6
 
 _FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _PARTICLE = re.compile("|".join(sorted(JAPANESE, key=len, reverse=True)))
@@ -123,11 +126,18 @@ def shares(text: str | None, thresholds: dict[str, float]) -> Shares:
     pairs = Counter(zip(ws, ws[1:], strict=False))
     stuffed = {p for p, c in pairs.items() if c >= 5 and c >= 0.08 * n}
     lines = [x for x in (line.strip() for line in _LINE.split(text)) if x]
-    repeated = Counter(lines)
+    repeated, singles = Counter(lines), Counter(ws)
     link = tag = keyword = machine = 0
+    machines = {line: words(line.lower()) for line in repeated if _machine(line)}
+    # Words repeat as keywords only outside the lines of logs, traces and tables.
+    often = dict(singles)
+    for line, us in machines.items():
+        for w in us:
+            often[w] = often.get(w, 0) - repeated[line]
+    often = {w for w, c in often.items() if c >= REPEATED_WORD and w not in _LANGUAGES and not w.isdecimal()}
     for line in lines:
-        if _machine(line):
-            machine += weight(words(line))
+        if line in machines:
+            machine += weight(machines[line])
             continue
         # Links first: their text and address are no sentence.
         rest = line
@@ -167,8 +177,10 @@ def shares(text: str | None, thresholds: dict[str, float]) -> Shares:
             listed = parts >= 3 and len(us) / parts <= 5
             if share < few and (cover >= 0.5 or listed and parts >= 5) or not ended and (cover >= 0.6 or listed and (cover >= 0.4 or share < few)):
                 keyword += size
+            elif share < few and (repeated[line] >= REPEATED_LINE or sum(u in often for u in us) >= REPEATED_COVER * len(us)):
+                keyword += size
     duplicate = sum(c for c in repeated.values() if c > 1) / len(lines) if lines else 0.0
-    return Shares(language, n, link, tag, keyword, machine, _function_counts(ws, lower).get(language, 0) / n, max(Counter(ws).values()) / n, max(pairs.values()) / n if pairs else 0.0, duplicate, len(_PARTS.findall(text)) / n)
+    return Shares(language, n, link, tag, keyword, machine, _function_counts(ws, lower).get(language, 0) / n, max(singles.values()) / n, max(pairs.values()) / n if pairs else 0.0, duplicate, len(_PARTS.findall(text)) / n)
 
 
 def _usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
