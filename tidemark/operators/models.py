@@ -1,4 +1,4 @@
-"""Models over numeric features: weighted logistic regression, boosted trees, out-of-fold scores, leave-one-family-out."""
+"""Models over numeric features: weighted logistic regression, boosted trees, out-of-fold scores."""
 
 from __future__ import annotations
 

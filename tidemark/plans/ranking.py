@@ -157,6 +157,18 @@ def r27_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("left_id").alias("window_id"), F.col("right_id").alias("ticket_id"), "score", F.col("n_shared").alias("bridges"))
 
 
+def r30_error_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bonus of every retrieved ticket that shares error classes with its window: 0.5 + 0.5 rarity for each, rarity as in `r27_bridges`."""
+    a = entity_rows(table(spark, sf_dir, "window_entities").filter("window_id is not null"), "window_id", FIELDS).filter("kind = 'error'")
+    b = entity_rows(table(spark, sf_dir, "kg_tickets").filter("ticket_id is not null"), "ticket_id", FIELDS)
+    n = F.broadcast(b.select(F.count_distinct("ticket_id").alias("n")))
+    b = b.filter("kind = 'error'")
+    rarity = b.groupBy("value").agg(F.count(F.lit(1)).alias("owners")).crossJoin(n).select("value", F.greatest(F.lit(0.05), 1 - F.col("owners") / F.col("n")).alias("rarity"))
+    pairs = table(spark, sf_dir, "hits").filter("window_id is not null and issue_id is not null").select("window_id", "issue_id").distinct()
+    x = pairs.join(a.select("window_id", "value"), "window_id").join(b.select(F.col("ticket_id").alias("issue_id"), "value"), ["issue_id", "value"]).join(rarity, "value")
+    return x.groupBy("window_id", "issue_id").agg(F.round(F.sum(0.5 + 0.5 * F.col("rarity")), 6).alias("bonus"), F.count(F.lit(1)).alias("n_shared"))
+
+
 def r28_kind_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision of each kind of shared entity as evidence of a gold ticket, 0.05 at least."""
     a = entity_rows(table(spark, sf_dir, "window_entities").filter("window_id is not null"), "window_id", FIELDS)
@@ -190,7 +202,7 @@ def r36_top_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> dict:
-    return {f.__name__: f for f in (r1_bm25, r2_bm25_visible, r3_bm25_share, r6_tfidf, r8_dense, r10_hashed, r11_sparse_dot, r12_entity_score, r13_rrf, r14_weighted_rrf, r15_cascade, r22_blend, r23_global_scale, r24_ensemble, r25_rerank, r27_bridges, r28_kind_weights, r32_evidence_rerank, r36_top_misses)}
+    return {f.__name__: f for f in (r1_bm25, r2_bm25_visible, r3_bm25_share, r6_tfidf, r8_dense, r10_hashed, r11_sparse_dot, r12_entity_score, r13_rrf, r14_weighted_rrf, r15_cascade, r22_blend, r23_global_scale, r24_ensemble, r25_rerank, r27_bridges, r28_kind_weights, r30_error_bonus, r32_evidence_rerank, r36_top_misses)}
 
 
 QUERIES = _all()
@@ -238,6 +250,7 @@ SQL = {
     "r25_rerank": f"with {V.RANKED}, e as (select *, min(score) over (partition by window_id, pipeline_name) as lo, max(score) over (partition by window_id, pipeline_name) as hi from r), z as (select window_id, pipeline_name, issue_id, rank_no, case when hi - lo <= 1e-12 then 1.0 else (score - lo) / (hi - lo) end as v from e), x as (select a.window_id, a.issue_id, a.rank_no as old, round(0.4 * a.v + 0.6 * coalesce(b.v, 0.0), 9) as score from z a left join z b on b.pipeline_name = 'cross_encoder' and a.window_id = b.window_id and a.issue_id = b.issue_id where a.pipeline_name = 'bm25_retrieval') select window_id, issue_id, cast(row_number() over (partition by window_id order by score desc, old) as integer) as rank_no, cast(old as integer) as lexical_rank from x qualify rank_no <= 3",
     "r27_bridges": f"with {_AB}, n as (select count(distinct ticket_id) as n from b), ra as (select kind, value, greatest(0.05, 1 - count(*) / (select n from n)) as rarity from b group by 1, 2), x as (select window_id, ticket_id, round(sum(rarity), 6) as score, count(*) as bridges from a join ra using (kind, value) join b using (kind, value) group by 1, 2) select window_id, ticket_id, score, bridges from x qualify row_number() over (partition by window_id order by score desc, ticket_id) = 1",
     "r28_kind_weights": f"with {V.WINDOWS}, {V.TICKETS}, {V.GOLD}, {_AB}, p as (select distinct kind, window_id, ticket_id from a join b using (kind, value)), h as (select p.kind, g.window_id is not null as hit from p left join g on p.window_id = g.window_id and p.ticket_id = g.ticket_id) select kind, count(*) filter (hit) as n_hits, count(*) as n_pairs, round(greatest(0.05, count(*) filter (hit) / count(*)), 6) as weight from h group by 1",
+    "r30_error_bonus": f"with {_AB}, n as (select count(distinct ticket_id) as n from b), ra as (select value, greatest(0.05, 1 - count(*) / (select n from n)) as rarity from b where kind = 'error' group by 1), h as (select distinct window_id, issue_id from hits where window_id is not null and issue_id is not null) select h.window_id, h.issue_id, round(sum(0.5 + 0.5 * rarity), 6) as bonus, count(*) as n_shared from h join a on h.window_id = a.window_id and a.kind = 'error' join b on h.issue_id = b.ticket_id and b.kind = 'error' and a.value = b.value join ra on a.value = ra.value group by 1, 2",
     "r32_evidence_rerank": f"with {V.TICKETS}, {V.RANKED}, e as (select window_id, max(triage_evidence_text) as t from telemetry_windows group by 1), ew as (select window_id, {_rerank('t')} as x from e), kw as (select ticket_id, {_rerank('concat_ws(chr(32), root_cause, fix)')} as y from k), z as (select r.window_id, issue_id, rank_no, len(list_intersect(x, y)) as n, len(x) as m from r join ew using (window_id) join kw on issue_id = ticket_id where pipeline_name = 'hybrid_rrf' and rank_no <= 5), s as (select window_id, issue_id, rank_no, round(0.4 / rank_no + 0.6 * case when n >= 2 then n / greatest(m, 1) else 0.0 end, 6) as score from z) select window_id, issue_id, score, cast(row_number() over (partition by window_id order by score desc, rank_no) as integer) as place from s",
     "r36_top_misses": f"with {V.WINDOWS}, {V.TICKETS}, {V.GOLD}, {V.RANKED}, m as (select r.window_id, min(rank_no) as gold_rank, arg_min(issue_id, rank_no) as gold_ticket from r join g on r.window_id = g.window_id and issue_id = ticket_id where pipeline_name = 'bm25_retrieval' group by 1) select m.window_id, r.issue_id as top_ticket, gold_ticket, cast(gold_rank as integer) as gold_rank from m join r on r.window_id = m.window_id and r.pipeline_name = 'bm25_retrieval' and r.rank_no = 1 where gold_rank > 1",
 }
