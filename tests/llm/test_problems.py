@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tidemark.llm")
 
-from tidemark.llm import bpe, leakage, overlap, runs, setjoin, spam, splits, topn  # noqa: E402
+from tidemark.llm import bpe, leakage, overlap, queries, runs, setjoin, spam, splits, topn  # noqa: E402
 
 
 def rows(df):
@@ -235,6 +235,20 @@ def test_near_equal_events_join(spark):
     assert rows(got.select("first_pos", "n_events", "t_first", "t_last")) == [(0, 6, 0, 5), (6, 1, 6, 6)]
 
 
+def test_near_runs_of_events(spark, tmp_path):
+    said = ["probe of cart api failed with no answer in time after retry one", "probe of cart api failed with no answer in time after retry two"]
+    data = [("pod", f"{i}", i + 1, "Unhealthy", said[i % 2]) for i in range(6)] + [("pod", "6", 7, "Pulled", said[0]), ("pod", "7", 8, "Pulled", "image present"), ("other", "8", 9, "Pulled", "image present")]
+    df = spark.createDataFrame(data, "object_name string, uid string, ts_ns bigint, reason string, message string").withColumn("ts_ns", F.col("ts_ns") * 1000)
+    df.withColumn("event_uid", F.col("uid").cast("bigint")).write.parquet(f"{tmp_path}/k8s_events.parquet")
+    lines = [("s", i, f"2026-05-01T10:00:0{i}Z INFO [cart] {said[i % 2]}") for i in range(4)]
+    schema = "stream_id string, line_no bigint, line string, service string, severity string, received_at timestamp"
+    spark.createDataFrame([(*x, None, None, None) for x in lines], schema).write.parquet(f"{tmp_path}/log_lines.parquet")
+    found = rows(queries.p7_near(spark, str(tmp_path)))
+    assert ("k8s", "pod", 0, 6, 5) in found and len([r for r in found if r[0] == "k8s"]) == 1
+    assert [r[2:4] for r in found if r[0] == "log"] == [(0, 4)]
+    assert queries.p7_found(spark, str(tmp_path)).count() == 0
+
+
 # 8. Token ids
 
 

@@ -92,24 +92,39 @@ def _template(c):
     return trimmed(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)(?<!\S)[^\s0-9]*+[0-9]\S*", "#"), r"(?U)\s+", " "))
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of two or more alike log entries of a stream, and alike events of a cluster object."""
+def _marks(kind: str, group: list, text):
+    """Tokens of an event: the words of its text without digits, each together with `group`, so that events of other groups have nothing in common."""
+    words = F.array_distinct(F.filter(F.split(text, " "), lambda w: (w != "") & (w != "#")))
+    return F.transform(words, lambda w: F.xxhash64(F.lit(kind), *[x for c in group for x in (F.coalesce(c, F.lit("")), F.lit("/"))], w)).alias("tokens")
+
+
+def _event_runs(spark: SparkSession, sf_dir: str, with_tokens: bool) -> DataFrame:
     lines, events = table(spark, sf_dir, "log_lines"), table(spark, sf_dir, "k8s_events")
     kind = lambda k: F.lit(k).alias("seq_kind")
     entries = entry_bodies(lines, templated=True).select(
-        kind("log"), F.col("stream_id").alias("seq_id"), F.col("first_line").alias("pos"), F.col("first_line").alias("at"), F.lit(0).cast("bigint").alias("at2"), F.col("ts_us").alias("t"), F.xxhash64(F.lit("log"), "level", F.lit("/"), "component", F.lit("/"), "body").alias("sig")
+        kind("log"), F.col("stream_id").alias("seq_id"), F.col("first_line").alias("pos"), F.col("first_line").alias("at"), F.lit(0).cast("bigint").alias("at2"), F.col("ts_us").alias("t"), F.xxhash64(F.lit("log"), "level", F.lit("/"), "component", F.lit("/"), "body").alias("sig"), *([_marks("log", [F.col("level"), F.col("component")], F.col("body"))] if with_tokens else [])
     )
     events = events.filter("object_name is not null and event_uid is not null and ts_ns is not null and ts_ns <> 0").dropDuplicates(["object_name", "event_uid", "ts_ns"])
     events = events.select(
-        kind("k8s"), F.col("object_name").alias("seq_id"), F.col("event_uid").alias("pos"), F.col("ts_ns").alias("at"), F.col("event_uid").alias("at2"), F.col("ts_ns").alias("t"), F.xxhash64(F.lit("k8s"), F.lower(trimmed(F.col("reason"))), F.lit("/"), _template(F.col("message"))).alias("sig")
+        kind("k8s"), F.col("object_name").alias("seq_id"), F.col("event_uid").alias("pos"), F.col("ts_ns").alias("at"), F.col("event_uid").alias("at2"), F.col("ts_ns").alias("t"), F.xxhash64(F.lit("k8s"), F.lower(trimmed(F.col("reason"))), F.lit("/"), _template(F.col("message"))).alias("sig"), *([_marks("k8s", [F.lower(trimmed(F.col("reason")))], _template(F.col("message")))] if with_tokens else [])
     )
     keys = ["seq_kind", "seq_id"]
     rows = lines.select(kind("log"), F.col("stream_id").alias("seq_id"), F.col("line_no").alias("at")).unionByName(events.select("seq_kind", "seq_id", "at"))
-    runs = collapse_runs(entries.unionByName(events), keys, long_sequences(rows.filter("seq_id is not null"), keys, "at"), penalty=0.25, least=2)
+    runs = collapse_runs(entries.unionByName(events), keys, long_sequences(rows.filter("seq_id is not null"), keys, "at"), penalty=0.25, least=2, with_tokens=with_tokens)
     us = F.when(F.col("seq_kind") == "k8s", F.expr("(t_last - t_first) div 1000")).otherwise(F.col("t_last") - F.col("t_first"))
     return runs.select("seq_kind", "seq_id", "first_pos", "n_events", us.cast("bigint").alias("duration_us"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two or more alike log entries of a stream, and alike events of a cluster object."""
+    return _event_runs(spark, sf_dir, False)
+
+
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two or more near-identical log entries or events: level and component, or reason, are equal, messages share most words."""
+    return _event_runs(spark, sf_dir, True)
+
+
 _ITEMS = [("c", "components"), ("s", "symptoms"), ("e", "error_classes")]
 
 
@@ -155,7 +170,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages(table(spark, sf_dir, "documents"), "doc_id").select("doc_id")
 
 
-QUERIES = {"p10_found": p10_found, "p2_found": p2_found, "p2_links": p2_links, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p7_found": p7_found, "p5_found": p5_found, "p5_report": p5_report, "p1_found": p1_found, "p1_splits": p1_splits, "p1_folds": p1_folds, "p3_found": p3_found}
+QUERIES = {"p10_found": p10_found, "p2_found": p2_found, "p2_links": p2_links, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p7_found": p7_found, "p7_near": p7_near, "p5_found": p5_found, "p5_report": p5_report, "p1_found": p1_found, "p1_splits": p1_splits, "p1_folds": p1_folds, "p3_found": p3_found}
 
 _VALID = """m as (
   select distinct e.key as window_id, case when lower(trim(e.value)) in ('train', 'training') then 'train'
