@@ -363,6 +363,12 @@ def test_repeated_lines_and_words(spark):
     assert sorted(r.doc_id for r in spam.stuffed_pages(df, "doc_id").collect()) == list(range(len(found)))
 
 
+def test_short_pages_of_links_and_tags(spark):
+    texts = ["#dns #cache #free #bot #log", "https://a.test/x\nhttps://b.test/y", "[log search](https://a.test)", "restart https://a.test after the weekly review", "voucher-proxy again", "fix #12"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in spam.stuffed_pages(df, "doc_id").collect()) == [0, 1, 2]
+
+
 def test_very_long_texts():
     e = bpe.encoder()
     for text in ("a" * 10**5, "[" * 10**5, "<a " * 10**5, "<!--" * 10**5, "word " * 10**5, " " * 10**5, "#x " * 10**5, "x\n" * 10**5, "あ" * 10**5, "[](" * 10**5):

@@ -225,5 +225,6 @@ def page_shares(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def stuffed_pages(texts: DataFrame, key: str, text: str = "text", share: float = 0.5, least_words: int = 8) -> DataFrame:
-    """Rows of `page_shares` whose spam_share exceeds `share`, of texts with `least_words` words or more."""
-    return page_shares(texts, key, text).filter((F.col("n_words") >= least_words) & (F.col("spam_share") > share))
+    """Rows of `page_shares` whose spam_share exceeds `share`; keyword units count only in texts with `least_words` words or more, links and tags in all."""
+    marked = (F.col("link_words") + F.col("tag_words")) / F.when(F.col("n_words") > 0, F.col("n_words"))
+    return page_shares(texts, key, text).filter(((F.col("n_words") >= least_words) & (F.col("spam_share") > share)) | (marked > share))
