@@ -2,27 +2,72 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
+from tidemark.session import cut, keep
 
 #: Scales (values of `scale`) up to which cut points are kept per scale and broadcast: a fixed bound on rows.
 MAX_SCALES = 10_000
 #: Filled groups up to which their list is broadcast; beyond it the anti-join shuffles.
 MAX_BROADCAST_GROUPS = 50_000
+#: Rows of a task that are cut to n per group together.
+CUT_ROWS = 1 << 18
 
 
-def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, int]:
+    """A number for each distinct value; null is a value of its own."""
+    d = pc.dictionary_encode(column, null_encoding="encode").combine_chunks()
+    d = d.chunk(0) if isinstance(d, pa.ChunkedArray) else d
+    return d.indices.to_numpy(zero_copy_only=False), max(1, len(d.dictionary))
 
 
-def _checked(small: DataFrame, limit: int) -> DataFrame:
-    """Broadcast a checkpointed frame only when its counted rows stay within the limit."""
-    return F.broadcast(small) if small.count() <= limit else small
+def _places(items: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that order values as the values do (text by code point)."""
+    d = pc.dictionary_encode(items).combine_chunks()
+    d = d.chunk(0) if isinstance(d, pa.ChunkedArray) else d
+    rank = np.empty(len(d.dictionary), dtype=np.int64)
+    rank[pc.sort_indices(d.dictionary).to_numpy()] = np.arange(len(d.dictionary))
+    return rank[d.indices.to_numpy(zero_copy_only=False)]
+
+
+def _best(rows: pa.Table, groups: Sequence[str], n: int) -> pa.Table:
+    """Each group's n best distinct items among these rows."""
+    group = np.zeros(rows.num_rows, dtype=np.int64)
+    for g in groups:
+        code, size = _codes(rows.column(g))
+        group = np.unique(group * size + code, return_inverse=True)[1]
+    item, down = _places(rows.column("_item")), -rows.column("_score").to_numpy()
+    order = np.lexsort((down, item, group))
+    g, i = group[order], item[order]
+    order = order[np.concatenate(([True], (g[1:] != g[:-1]) | (i[1:] != i[:-1])))]
+    order = order[np.lexsort((item[order], down[order], group[order]))]
+    g = group[order]
+    first = np.concatenate(([True], g[1:] != g[:-1]))
+    place = np.arange(len(g)) - np.maximum.accumulate(np.where(first, np.arange(len(g)), 0))
+    return rows.take(pa.array(np.sort(order[place < n])))
+
+
+def _cut(batches: Iterator[pa.RecordBatch], groups: Sequence[str], n: int) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CUT_ROWS:
+            rest = _best(pa.Table.from_batches(held), groups, n)
+            # What is left of many rows stays to meet the next ones; where little was cut, it goes on.
+            if rest.num_rows > CUT_ROWS // 4:
+                yield from rest.to_batches()
+                rest = rest.slice(0, 0)
+            held, size = rest.to_batches(), rest.num_rows
+    if size:
+        yield from _best(pa.Table.from_batches(held), groups, n).to_batches()
 
 
 def top_n(df: DataFrame, groups: Sequence[str], item: str, score: str, n: int = 5, scale: str | None = None, quantiles: Sequence[float] = (0.9, 0.5)) -> DataFrame:
@@ -36,10 +81,13 @@ def top_n(df: DataFrame, groups: Sequence[str], item: str, score: str, n: int =
     columns are ignored.
 
     The scores of each scale are cut into bands at `quantiles` (approximate cut
-    points do, any cut is right). Bands run from the top: a band's rows are
-    reduced to (group, item), ranked, and cut to n; groups that then hold n
-    items are filled, and their rows in lower bands leave by an anti-join. Equal
-    scores never straddle two bands, so the last ranking over the kept rows is exact.
+    points do, any cut is right). Bands run from the top. A task first cuts its
+    rows of the band to n items a group, so a group with any number of rows
+    leaves the task as n rows. Filled groups leave by an anti-join; what is left
+    meets the rows of the band above that did not fill their group, and is
+    ranked exactly. Equal scores never straddle two bands, so a group that holds
+    n items after a band is done. The anti-join, the reduction to items and the
+    ranking share one shuffle by group.
     """
     groups = list(groups)
     rows = df.filter(F.col(item).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
@@ -53,22 +101,23 @@ def top_n(df: DataFrame, groups: Sequence[str], item: str, score: str, n: int =
         cuts = cuts.withColumnRenamed("_scale", "_cut_scale")
         banded = rows.join(F.broadcast(cuts), rows["_scale"].eqNullSafe(cuts["_cut_scale"]))
     band = reduce(lambda otherwise, i: F.when(F.col("_score") >= F.col("_cuts")[i], i).otherwise(otherwise), reversed(range(len(at))), F.lit(len(at)))
-    best_first = Window.partitionBy(*groups).orderBy(F.col("_score").desc(), F.col("_item").asc())
-
-    def ranked(x: DataFrame) -> DataFrame:
-        x = x.groupBy(*groups, "_item").agg(F.max("_score").alias("_score"))
-        return x.withColumn("rank_no", F.row_number().over(best_first)).filter(F.col("rank_no") <= n)
-
-    kept = filled = None
+    plain = rows.select(*groups, "_item", "_score").schema
+    # One column for the group: equal structs match null keys too, and joins, aggregates and windows share its partitioning.
+    group = F.struct(*groups).alias("_g")
+    best_first = Window.partitionBy("_g").orderBy(F.col("_score").desc(), F.col("_item").asc())
+    done, open_rows, filled = [], None, None
     for i in range(len(at) + 1):
-        part = banded.filter(band == i).select(*groups, "_item", "_score")
+        part = banded.filter(band == i).select(*groups, "_item", "_score").mapInArrow(lambda b: _cut(b, groups, n), plain).select(group, "_item", "_score")
+        part = part if open_rows is None else part.unionByName(open_rows)
         if filled is not None:
-            part = part.join(filled, _same(part, filled, groups), "left_anti")
-        top = ranked(part).select(*groups, "_item", "_score")
-        if i < len(at):
-            top = cut(top)
-        kept = top if kept is None else kept.unionByName(top)
+            part = part.join(F.broadcast(filled) if filled.count() <= MAX_BROADCAST_GROUPS else filled, "_g", "left_anti")
+        best = part.groupBy("_g", "_item").agg(F.max("_score").alias("_score")).withColumn("rank_no", F.row_number().over(best_first)).filter(F.col("rank_no") <= n)
         if i < len(at):
-            filled = cut(kept.groupBy(*groups).agg(F.count_distinct("_item").alias("_n")).filter(F.col("_n") >= n).select(*groups))
-            filled = _checked(filled, MAX_BROADCAST_GROUPS)
-    return ranked(kept).select(*groups, "rank_no", F.col("_item").alias(item), F.col("_score").alias(score))
+            best = keep(best)
+            full = best.filter(F.col("rank_no") == n).select("_g")
+            filled = full if filled is None else filled.unionByName(full)
+            open_rows = best.join(full, "_g", "left_anti").select("_g", "_item", "_score")
+            best = best.join(full, "_g", "left_semi")
+        done.append(best)
+    out = reduce(lambda a, b: a.unionByName(b), done)
+    return out.select(*[F.col("_g")[g].alias(g) for g in groups], "rank_no", F.col("_item").alias(item), F.col("_score").alias(score))
