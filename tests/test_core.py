@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, metrics, rank, relations, skew, state, telemetry
+from tidemark.operators import asof, metrics, rank, relations, search, skew, state, telemetry
 from tidemark.operators.components import connected_components
 from tidemark.plans import telemetry as telemetry_plans
 
@@ -190,9 +191,41 @@ def test_runs(spark):
 
 
 def test_dense_top(spark):
-    df = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(20)] + [(99, None)], "id bigint, v array<double>")
-    got = rank.dense_top(df.filter("id = 0"), df, "id", "v", 3).select("doc_id", "score").collect()
+    df = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(20)] + [(99, None)], "id bigint, v array<double>").withColumn("score", F.lit(7))
+    got = search.dense_top(df.filter("id = 0"), df, "id", "v", 3).select("doc_id", "score").collect()
     assert [r.doc_id for r in got] == [3, 6, 9] and all(r.score == 1.0 for r in got)
+    assert search.dense_top(df.limit(0), df, "id", "v", 3).count() == 0 and search.dense_top(df, df.limit(0), "id", "v", 3).count() == 0
+
+
+@pytest.mark.parametrize("query_bytes", [200, 1 << 20])
+def test_dense_top_mixed_vectors(spark, monkeypatch, query_bytes):
+    monkeypatch.setattr(search, "MAX_QUERY_BYTES", query_bytes)
+    rnd = random.Random(4)
+    data = [(i, [rnd.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(rnd.choice([2, 2, 2, 3]))]) for i in range(60)] + [(60, [0.0, 0.0]), (61, []), (62, None), (63, [None, 1.0])]
+    df = spark.createDataFrame(data, "id bigint, v array<double>")
+
+    def cosine(x, y):
+        x, y = ([0.0 if v is None else v for v in z] for z in (x, y))
+        a, b = (sum(v * v for v in z) ** 0.5 for z in (x, y))
+        return round(sum(v * w for v, w in zip(x, y, strict=True)) / (a * b), 9) + 0.0 if len(x) == len(y) and a and b else 0.0
+
+    known = [(k, v) for k, v in data if v is not None]
+    want = [(q, d, s, i) for q, v in known for i, (s, d) in enumerate(((-s, d) for s, d in sorted((-cosine(v, w), d) for d, w in known if d != q)[:4]), 1)]
+    got = [(r.query_id, r.doc_id, round(r.score, 9) + 0.0, r.rank_no) for r in search.dense_top(df, df, "id", "v", 4).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_dense_cells_recall(spark, monkeypatch):
+    rnd = random.Random(5)
+    centers = [[rnd.gauss(0, 1) for _ in range(16)] for _ in range(30)]
+    data = [(i, [x + rnd.gauss(0, 0.5) for x in centers[rnd.randrange(30)]]) for i in range(1500)] + [(5000 + i, [1.0] * 16) for i in range(700)]
+    df = spark.createDataFrame(data, "id bigint, v array<double>")
+    monkeypatch.setattr(search, "CELL_ROWS", 200)
+    asked = df.filter("id % 20 = 0")
+    exact = {(r.query_id, r.doc_id) for r in search.dense_top(asked, df, "id", "v", 5).collect()}
+    found = {(r.query_id, r.doc_id) for r in search.dense_cells(asked, df, "id", "v", 5).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    assert search.dense_cells(asked, df.limit(0), "id", "v", 5).count() == 0
 
 
 def test_rrf_ties(spark):
@@ -214,9 +247,10 @@ def test_entity_top_equals_brute(spark, monkeypatch):
     schema = "id string, severity string, family string, t bigint, s array<string>, e array<string>"
     frames = [relations.entity_records(spark.createDataFrame(x + x[:5], schema).withColumnRenamed("id", "key"), "key", kinds, weights) for x in (left, right)]
     items = lambda r: {(k, v.strip().lower()) for k, c in (("service", r[4]), ("error", r[5])) for v in c or [] if v and v.strip()}
-    for block in (7, 2048):
-        monkeypatch.setattr(rank, "ENTITY_BLOCK", block)
-        got = rank.entity_top(*frames, 3, severity=0.5, family=1.0, earlier=True)
+    for postings, first in ((20, 1), (8_000_000, 1), (8_000_000, 4096)):
+        monkeypatch.setattr(search, "MAX_POSTINGS", postings)
+        monkeypatch.setattr(search, "FIRST_POSTINGS", first)
+        got = search.entity_top(*frames, 3, severity=0.5, family=1.0, earlier=True)
         want = []
         for x in left:
             found = []
@@ -227,5 +261,34 @@ def test_entity_top_equals_brute(spark, monkeypatch):
                     found.append((-score, y[0], len(shared)))
             want += [(x[0], i, -s, n, k) for k, (s, i, n) in enumerate(sorted(found)[:3], 1)]
         assert rows(got.select("left_id", "right_id", "score", "n_shared", "rank_no")) == sorted(want, key=str)
-        counts = {r.kind: r.n_pairs for r in rank.entity_pair_counts(*frames).collect()}
+        counts = {r.kind: r.n_pairs for r in search.sets_that_meet(*frames).collect()}
         assert counts == {k: sum(any(a[0] == k for a in items(x) & items(y)) for x in left for y in right) for k in kinds}
+
+
+@pytest.mark.parametrize("postings", [40, 8_000_000])
+def test_sparse_top_equals_brute(spark, monkeypatch, postings):
+    """Signed weights, long and short lists, ties, own ids, blocks: every score as the plain sum gives it."""
+    monkeypatch.setattr(search, "MAX_POSTINGS", postings)
+    rnd = random.Random(12)
+    make = lambda n: {f"r{i:02}": {x: float(rnd.randint(-2, 3)) for x in rnd.sample(["hot", "warm", *map(str, range(12))], rnd.randint(0, 6))} | {"hot": 1.0} for i in range(n)}
+    left, right = make(30), make(60)
+    schema = "id string, items array<struct<item string, w double>>"
+    frame = lambda side: spark.createDataFrame([(k, list(v.items())) for k, v in side.items()] + [(None, [("hot", 1.0)])], schema)
+    want = []
+    for k, x in left.items():
+        found = sorted((-sum(w * y[i] for i, w in x.items() if i in y), d) for d, y in right.items() if d != k and set(x) & set(y))[:4]
+        want += [(k, d, -s + 0.0, n) for n, (s, d) in enumerate(found, 1)]
+    got = search.sparse_top(frame(left), frame(right), 4, with_self=False)
+    assert sorted((r.left_id, r.right_id, r.score + 0.0, r.rank_no) for r in got.collect()) == sorted(want)
+    # The same in one process, where the bound is looked at after the first list.
+    monkeypatch.setattr(search, "FIRST_POSTINGS", 1)
+    index = search.Index(frame(right).filter("id is not null").selectExpr("id", "cast(null as bigint) t", "cast(null as bigint) severity", "cast(null as bigint) family", "transform(items, x -> xxhash64(x.item)) items", "transform(items, x -> x.w) weights").toArrow())
+    for r in frame(left).filter("id is not null").selectExpr("id", "transform(items, x -> xxhash64(x.item)) i", "transform(items, x -> x.w) w").collect():
+        doc, s, _ = index.best(np.array(r.i), np.array(r.w), r.id, None, None, None, 4, 6, (0.0, 0.0), False, False)
+        assert [(r.id, index.ids[d], v + 0.0, n) for n, (d, v) in enumerate(zip(doc, s, strict=True), 1)] == [w for w in want if w[0] == r.id]
+
+
+def test_sparse_top_empty(spark):
+    df = spark.createDataFrame([("a", [("x", 1.0)]), ("b", None), ("c", [])], "id string, items array<struct<item string, w double>>").withColumn("score", F.lit(1))
+    assert rows(search.sparse_top(df, df, 2).select("left_id", "right_id")) == [("a", "a")]
+    assert search.sparse_top(df.limit(0), df, 2).count() == 0 and search.sparse_top(df, df.limit(0), 2).count() == 0

@@ -49,3 +49,9 @@ def test_models_beat_chance(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_flagship(spark):
     assert entry.entry(spark).count() >= 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_recall_of_cells(spark):
+    exact, found = ({(r.query_id, r.doc_id) for r in entry.queries()[k](spark, "/root/testdata/sf0.1").collect()} for k in ("r8_dense", "r8_cells"))
+    assert len(exact) == len(found) and len(exact & found) >= 0.9 * len(exact)

@@ -1,66 +1,18 @@
-"""Lexical, dense and entity ranking, and fusion of rankings."""
+"""Hashed vectors, and fusion and scaling of rankings."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.relations import top_rows
-
-K1, B = 1.5, 0.75
-#: Vectors of a block: what one task multiplies at a time.
-VECTOR_BLOCK = 2048
-
-
-def postings(docs: DataFrame, key: str, words: Column) -> DataFrame:
-    """(key, word, tf, len): how often each word occurs in a document, and the document's number of words."""
-    w = docs.select(key, words.alias("_ws")).withColumn("len", F.size("_ws"))
-    return w.select(key, "len", F.explode("_ws").alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
-
-
-def corpus_state(docs: DataFrame, words: Column) -> DataFrame:
-    """One row: n documents and their mean length."""
-    return docs.select(F.size(words).alias("_l")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("_l").alias("avg_len"))
-
-
-def bm25_scores(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, query_words: Column, doc_words: Column) -> DataFrame:
-    """(query_key, doc_key, score): BM25 of all documents that share a word with a query.
-
-    k1 1.5, b 0.75, idf ln((N - df + 0.5) / (df + 0.5) + 1). A word that a query
-    repeats counts each time; words that no document holds add nothing; documents
-    without a shared word have no row (their score is 0). Words of a query and
-    postings of the documents meet by an equi-join on the word.
-    """
-    p = postings(docs, doc_key, doc_words)
-    state = F.broadcast(corpus_state(docs, doc_words))
-    df = p.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    q = postings(queries, query_key, query_words).select(query_key, "word", F.col("tf").alias("qtf"))
-    weights = q.join(df, "word").crossJoin(state).withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return weights.join(p, "word").groupBy(query_key, doc_key).agg(F.sum(part).alias("score"))
-
-
-def tfidf_scores(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, query_words: Column, doc_words: Column) -> DataFrame:
-    """(query_key, doc_key, score): cosine of (1 + ln tf) (ln((1 + N) / (1 + df)) + 1) weights; idf over the documents."""
-    p = postings(docs, doc_key, doc_words)
-    n = F.broadcast(docs.select(F.count(F.lit(1)).alias("n_docs")))
-    idf = p.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).select("word", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weight = (1 + F.log("tf")) * F.col("idf")
-    d = p.join(idf, "word").select(doc_key, "word", weight.alias("dw"))
-    q = postings(queries, query_key, query_words).join(idf, "word").select(query_key, "word", weight.alias("qw"))
-    dn = d.groupBy(doc_key).agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dn"))
-    qn = q.groupBy(query_key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = q.join(d, "word").groupBy(query_key, doc_key).agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
-    return dots.join(dn, doc_key).join(qn, query_key).select(query_key, doc_key, (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score"))
+from tidemark.operators.search import word_counts
 
 
 def hashed_vectors(docs: DataFrame, key: str, words: Column, dimension: int) -> DataFrame:
     """(key, dim, value): hashed embedding. A word's sha256 gives its dimension and sign, its weight is 1 + ln tf; vectors have length 1."""
-    p = postings(docs, key, words)
+    p = word_counts(docs, key, words)
     h = F.sha2(F.col("word"), 256)
     dim = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dimension)).cast("int")
     sign = F.when(F.pmod(F.conv(F.substring(h, 9, 2), 16, 10).cast("int"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
@@ -69,156 +21,6 @@ def hashed_vectors(docs: DataFrame, key: str, words: Column, dimension: int) ->
     return v.join(norm, key).filter("x <> 0").select(key, "dim", (F.col("x") / F.col("norm")).alias("value"))
 
 
-def sparse_dot(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str) -> DataFrame:
-    """(query_key, doc_key, score) of (key, dim, value) vectors: positive dot products over shared dimensions."""
-    q = queries.select(query_key, "dim", F.col("value").alias("_qv"))
-    return q.join(docs, "dim").groupBy(query_key, doc_key).agg(F.sum(F.col("_qv") * F.col("value")).alias("score")).filter("score > 0")
-
-
-def _blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
-    n = max(1, -(-df.count() // VECTOR_BLOCK))
-    rows = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    return rows.groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).alias("b")).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("rows"))
-
-
-def _multiply(batches: Iterator[pa.RecordBatch], n: int, places: int) -> Iterator[pa.RecordBatch]:
-    def unit(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        width = max(len(r["v"]) for r in rows)
-        m = np.zeros((len(rows), width))
-        for i, r in enumerate(rows):
-            v = np.array([0.0 if x is None else x for x in r["v"]])
-            length = np.sqrt((v * v).sum())
-            if len(v) == width and length > 0:
-                m[i] = v / length
-        return np.array([r["k"] for r in rows]), m
-
-    for batch in batches:
-        for qs, ds in zip(batch.column("q").to_pylist(), batch.column("d").to_pylist(), strict=True):
-            qk, q = unit(qs)
-            dk, d = unit(ds)
-            scores = np.round(q @ d.T, places) if q.shape[1] == d.shape[1] else np.zeros((len(qk), len(dk)))
-            out = [[], [], []]
-            for i, k in enumerate(qk):
-                order = np.lexsort((dk, -scores[i]))
-                order = order[dk[order] != k][:n]
-                out[0].extend([k] * len(order))
-                out[1].extend(dk[order])
-                out[2].extend(scores[i][order])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "doc_id", "score"])
-
-
-def dense_top(queries: DataFrame, docs: DataFrame, key: str, vector: str, n: int, places: int = 9) -> DataFrame:
-    """(query_id, doc_id, score, rank_no): the n documents with the greatest cosine for each query, itself left out.
-
-    Exact: both sides are cut into blocks of about VECTOR_BLOCK vectors, every
-    pair of blocks is one matrix product in one task, which keeps n rows a
-    query. Null vectors are left out; zero vectors and vectors of another
-    length score 0. Ties go to the smaller id.
-    """
-    pairs = _blocks(queries, key, vector).select(F.col("rows").alias("q")).crossJoin(_blocks(docs, key, vector).select(F.col("rows").alias("d")))
-    best = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(lambda b: _multiply(b, n, places), "query_id bigint, doc_id bigint, score double")
-    return top_rows(best, ["query_id"], [F.col("score").desc(), F.col("doc_id").asc()], n)
-
-
-#: Records of a block in entity ranking.
-ENTITY_BLOCK = 2048
-
-
-def _record_blocks(df: DataFrame, name: str) -> DataFrame:
-    n = max(1, -(-df.count() // ENTITY_BLOCK))
-    return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("_b")).agg(F.sort_array(F.collect_list(F.struct("id", "severity", "family", "t", "items"))).alias(name)).select(name)
-
-
-def _entity_pairs(batches: Iterator[pa.RecordBatch], n: int, places: int, severity: float, family: float, earlier: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lefts, rights in zip(batch.column("l").to_pylist(), batch.column("r").to_pylist(), strict=True):
-            lists: dict[str, tuple[list[int], list[float]]] = {}
-            for i, r in enumerate(rights):
-                for x in r["items"]:
-                    got = lists.setdefault(x["item"], ([], []))
-                    got[0].append(i)
-                    got[1].append(x["w"])
-            posted = {k: (np.array(a), np.array(w)) for k, (a, w) in lists.items()}
-            ids = [r["id"] for r in rights]
-            sev = np.array([r["severity"] or "" for r in rights])
-            fam = np.array([r["family"] or "" for r in rights])
-            when = np.array([np.iinfo(np.int64).max if r["t"] is None else r["t"] for r in rights], dtype=np.int64)
-            out: list[tuple] = []
-            for x in lefts:
-                found = [posted[i["item"]] for i in x["items"] if i["item"] in posted]
-                if not found:
-                    continue
-                at, w = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
-                shared = np.bincount(at, minlength=len(ids))
-                score = np.bincount(at, weights=w, minlength=len(ids))
-                if severity and x["severity"]:
-                    score = score + severity * (sev == x["severity"])
-                if family and x["family"]:
-                    score = score + family * (fam == x["family"])
-                ok = shared > 0
-                if earlier:
-                    ok &= when < (x["t"] if x["t"] is not None else np.iinfo(np.int64).min)
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
-                s = np.round(score[at], places)
-                if len(at) > n:
-                    least = np.partition(s, len(s) - n)[len(s) - n]
-                    at, s = at[s >= least], s[s >= least]
-                order = np.lexsort((at, -s))[:n]
-                out.extend((x["id"], ids[at[o]], float(s[o]), int(shared[at[o]])) for o in order)
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["left_id", "right_id", "score", "n_shared"])
-
-
-def entity_top(left: DataFrame, right: DataFrame, n: int, places: int = 6, severity: float = 0.0, family: float = 0.0, earlier: bool = False) -> DataFrame:
-    """(left_id, right_id, score, n_shared, rank_no): the n right records that share entities of most weight with each left record.
-
-    Both sides are (id string, severity string, family string, t bigint, items
-    array<struct<item string, w double>>), an item once in a record; the right
-    side's weights count. `severity` and `family` are added where the known
-    values are equal; with `earlier` only right records with a smaller t count,
-    and a null time on either side matches nothing. Records that share nothing
-    have no row; ties go to the smaller id. An entity that a fifth of both
-    sides hold would make a join of entities quadratic, so blocks of records
-    are compared over inverted lists, and a block pair keeps n rows a record.
-    """
-    pairs = _record_blocks(left, "l").crossJoin(_record_blocks(right, "r"))
-    best = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(lambda b: _entity_pairs(b, n, places, severity, family, earlier), "left_id string, right_id string, score double, n_shared bigint")
-    return top_rows(best, ["left_id"], [F.col("score").desc(), F.col("right_id").asc()], n)
-
-
-def _kind_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, int] = {}
-    for batch in batches:
-        for lefts, rights in zip(batch.column("l").to_pylist(), batch.column("r").to_pylist(), strict=True):
-            lists: dict[str, list[int]] = {}
-            for i, r in enumerate(rights):
-                for x in r["items"]:
-                    lists.setdefault(x["item"], []).append(i)
-            posted = {k: np.array(a) for k, a in lists.items()}
-            for x in lefts:
-                kinds: dict[str, list[np.ndarray]] = {}
-                for i in x["items"]:
-                    if i["item"] in posted:
-                        kinds.setdefault(i["item"].split(":", 1)[0], []).append(posted[i["item"]])
-                for kind, found in kinds.items():
-                    total[kind] = total.get(kind, 0) + (len(found[0]) if len(found) == 1 else len(np.unique(np.concatenate(found))))
-    if total:
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(list(total)), "n": pa.array(list(total.values()), pa.int64())})
-
-
-def entity_pair_counts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(kind, n_pairs): pairs of a left and a right record that share an entity of a kind; counted over blocks, no pair leaves its task.
-
-    Both sides as for `entity_top`, with items named 'kind:value'.
-    """
-    pairs = _record_blocks(left, "l").crossJoin(_record_blocks(right, "r"))
-    counts = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(_kind_pairs, "kind string, n bigint")
-    return counts.groupBy("kind").agg(F.sum("n").alias("n_pairs"))
-
-
 def rrf(lists: DataFrame, groups: Sequence[str], item: str, source: str, rank: str, k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
     """(groups, item, score, first_source, first_rank): reciprocal rank fusion, sum of weight / (k + rank).
 

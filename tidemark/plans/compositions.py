@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import metrics as M
 from tidemark.operators import rank as R
+from tidemark.operators import search as N
 from tidemark.operators.relations import gold_matches, top_rows
 from tidemark.plans import evaluation as E
 from tidemark.plans import ranking as K
@@ -20,8 +21,8 @@ def r4_candidate_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = V.windows(spark, sf_dir)
     g = gold_matches(w, V.tickets(spark, sf_dir))
     e = table(spark, sf_dir, "telemetry_windows").groupBy("window_id").agg(F.max("triage_evidence_text").alias("t"))
-    q = R.postings(e, "window_id", T.words_b(F.col("t"))).select("window_id", "word", F.col("tf").alias("qtf"))
-    d = R.postings(V.tickets(spark, sf_dir).select("ticket_id", F.concat_ws(" ", "root_cause", "fix").alias("t")), "ticket_id", T.words_b(F.col("t")))
+    q = N.word_counts(e, "window_id", T.words_b(F.col("t"))).select("window_id", "word", F.col("tf").alias("qtf"))
+    d = N.word_counts(V.tickets(spark, sf_dir).select("ticket_id", F.concat_ws(" ", "root_cause", "fix").alias("t")), "ticket_id", T.words_b(F.col("t")))
     c = g.join(d, "ticket_id")
     state = c.groupBy("window_id", "ticket_id").agg(F.max("len").alias("l")).groupBy("window_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("l").alias("avg_len"))
     df = c.groupBy("window_id", "word").agg(F.count(F.lit(1)).alias("df"))
@@ -35,16 +36,8 @@ def r4_candidate_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r7_frequent_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best other ticket by TF-IDF cosine over words that two tickets or more hold, for every twentieth ticket."""
     q, k = K._tickets(spark, sf_dir)
-    p = R.postings(k, "ticket_id", T.words_a(F.col("t")))
-    kept = p.groupBy("word").agg(F.count(F.lit(1)).alias("df")).filter("df >= 2")
-    n = F.broadcast(k.agg(F.count(F.lit(1)).alias("n")))
-    idf = kept.crossJoin(n).select("word", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    d = p.join(idf, "word").select("ticket_id", "word", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = d.groupBy("ticket_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    u = d.join(norm, "ticket_id").select("ticket_id", "word", (F.col("w") / F.col("norm")).alias("w"))
-    a = u.join(q.select(F.col("query_id").alias("ticket_id")), "ticket_id", "left_semi").select(F.col("ticket_id").alias("query_id"), "word", F.col("w").alias("qw"))
-    s = a.join(u, "word").filter("query_id <> ticket_id").groupBy("query_id", "ticket_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
-    return top_rows(s, ["query_id"], [F.col("score").desc(), F.col("ticket_id").asc()], 1).select("query_id", "ticket_id", "score")
+    best = N.tfidf_top(q, k, "query_id", "ticket_id", T.words_a(F.col("q")), T.words_a(F.col("t")), 1, least_df=2)
+    return best.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("ticket_id"), "score")
 
 
 def r26_vector_blend(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators.asof import asof_join, latest_rows
 from tidemark.operators.relations import attach_gold, baseline_deltas, common_to_all, entity_records, entity_rows, gold_matches, top_rows
-from tidemark.operators.rank import entity_top
+from tidemark.operators.search import entity_top
 from tidemark.plans import views as V
 from tidemark.tables import table
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import rank as R
+from tidemark.operators import search as N
 from tidemark.operators.relations import entity_records, entity_rows, gold_matches, top_rows
 from tidemark.plans import views as V
 from tidemark.plans.joins import FIELDS, WEIGHTS
@@ -19,45 +20,47 @@ def _tickets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return asked.select(F.col("ticket_id").alias("query_id"), F.col("ts_us").alias("q_us"), F.col("t").alias("q")), k
 
 
-def _best(scores: DataFrame, n: int = 5, places: int = 6) -> DataFrame:
-    rows = scores.withColumn("score", F.round("score", places))
-    return top_rows(rows, ["query_id"], [F.col("score").desc(), F.col("ticket_id").asc()], n).select("query_id", "ticket_id", "score", "rank_no")
+def _texts(found: DataFrame) -> DataFrame:
+    return found.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("ticket_id"), "score", "rank_no")
 
 
 def r1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best tickets by BM25 for every twentieth ticket, itself left out."""
     q, k = _tickets(spark, sf_dir)
-    s = R.bm25_scores(q, k, "query_id", "ticket_id", T.words_b(F.col("q")), T.words_b(F.col("t")))
-    return _best(s.filter("query_id <> ticket_id"))
+    return _texts(N.bm25_top(q, k, "query_id", "ticket_id", T.words_b(F.col("q")), T.words_b(F.col("t")), 5))
 
 
 def r2_bm25_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same among tickets that were there before: the time is applied before the cut."""
     q, k = _tickets(spark, sf_dir)
-    s = R.bm25_scores(q, k, "query_id", "ticket_id", T.words_b(F.col("q")), T.words_b(F.col("t")))
-    s = s.join(q.select("query_id", "q_us"), "query_id").join(k.select("ticket_id", "ts_us"), "ticket_id").filter("ts_us < q_us")
-    return _best(s)
+    return _texts(N.bm25_top(q, k, "query_id", "ticket_id", T.words_b(F.col("q")), T.words_b(F.col("t")), 5, query_time="q_us", doc_time="ts_us", with_self=True))
 
 
 def r3_bm25_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best other ticket's BM25 as a share of the query's own."""
+    """The best other ticket's BM25 as a share of the greatest."""
     q, k = _tickets(spark, sf_dir)
-    s = R.bm25_scores(q, k, "query_id", "ticket_id", T.words_b(F.col("q")), T.words_b(F.col("t")))
-    peak = s.groupBy("query_id").agg(F.max("score").alias("peak"), F.max(F.when(F.col("query_id") != F.col("ticket_id"), F.col("score"))).alias("second"))
-    return peak.select("query_id", F.round(F.col("second") / F.col("peak"), 6).alias("share"))
+    two = N.bm25_top(q, k, "query_id", "ticket_id", T.words_b(F.col("q")), T.words_b(F.col("t")), 2, places=9, with_self=True)
+    # Of the two best at most one is the query itself.
+    best = two.groupBy("left_id").agg(F.max("score").alias("peak"), F.max(F.when(F.col("left_id") != F.col("right_id"), F.col("score"))).alias("other"))
+    return best.select(F.col("left_id").alias("query_id"), F.round(F.col("other") / F.col("peak"), 6).alias("share"))
 
 
 def r6_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best tickets by TF-IDF cosine for every twentieth ticket, itself left out."""
     q, k = _tickets(spark, sf_dir)
-    s = R.tfidf_scores(q, k, "query_id", "ticket_id", T.words_b(F.col("q")), T.words_b(F.col("t")))
-    return _best(s.filter("query_id <> ticket_id"))
+    return _texts(N.tfidf_top(q, k, "query_id", "ticket_id", T.words_b(F.col("q")), T.words_b(F.col("t")), 5))
 
 
 def r8_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest vectors for every twentieth vector."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return R.dense_top(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 5, places=6).select("query_id", "doc_id", "score", "rank_no")
+    return N.dense_top(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 5, places=6).select("query_id", "doc_id", "score", "rank_no")
+
+
+def r8_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an index of cells (recall 0.9 or more, measured in the tests)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return N.dense_cells(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 5, places=6)
 
 
 def r10_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +74,8 @@ def r11_sparse_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, k = _tickets(spark, sf_dir)
     a = R.hashed_vectors(q, "query_id", T.words_a(F.col("q")), 4096)
     b = R.hashed_vectors(k, "ticket_id", T.words_a(F.col("t")), 4096)
-    return _best(R.sparse_dot(a, b, "query_id", "ticket_id").filter("query_id <> ticket_id"))
+    items = lambda df, key: df.groupBy(F.col(key).alias("id")).agg(F.collect_list(F.struct(F.col("dim").cast("string").alias("item"), F.col("value").alias("w"))).alias("items"))
+    return _texts(N.sparse_top(items(a, "query_id"), items(b, "ticket_id"), 5, with_self=False).filter("score > 0"))
 
 
 def r12_entity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +84,7 @@ def r12_entity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = V.tickets(spark, sf_dir).select("ticket_id", F.col("ts_us").alias("t"))
     a = entity_records(table(spark, sf_dir, "window_entities").join(starts, "window_id"), "window_id", FIELDS, WEIGHTS)
     b = entity_records(table(spark, sf_dir, "kg_tickets").join(times, "ticket_id"), "ticket_id", FIELDS, WEIGHTS)
-    s = R.entity_top(a, b, 5, severity=0.5, family=1.0, earlier=True)
+    s = N.entity_top(a, b, 5, severity=0.5, family=1.0, earlier=True)
     return s.select(F.col("left_id").alias("window_id"), F.col("right_id").alias("ticket_id"), "score", "rank_no")
 
 
@@ -153,7 +157,7 @@ def r27_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct(F.concat_ws(":", "kind", "value").alias("item"), F.col("rarity").alias("w"))
     left = a.withColumn("rarity", F.lit(1.0)).groupBy(F.col("window_id").alias("id")).agg(F.collect_list(item).alias("items")).select("id", *none, "items")
     right = b.join(rarity, ["kind", "value"]).groupBy(F.col("ticket_id").alias("id")).agg(F.collect_list(item).alias("items")).select("id", *none, "items")
-    s = R.entity_top(left, right, 1)
+    s = N.entity_top(left, right, 1)
     return s.select(F.col("left_id").alias("window_id"), F.col("right_id").alias("ticket_id"), "score", F.col("n_shared").alias("bridges"))
 
 
@@ -177,7 +181,7 @@ def r28_kind_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = gold.join(a, "window_id").join(b, ["ticket_id", "kind", "value"]).select("kind", "window_id", "ticket_id").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n_hits"))
     left = entity_records(table(spark, sf_dir, "window_entities"), "window_id", FIELDS, WEIGHTS)
     right = entity_records(table(spark, sf_dir, "kg_tickets"), "ticket_id", FIELDS, WEIGHTS)
-    c = R.entity_pair_counts(left, right).join(hits, "kind", "left").select("kind", F.coalesce("n_hits", F.lit(0).cast("bigint")).alias("n_hits"), "n_pairs")
+    c = N.sets_that_meet(left, right).join(hits, "kind", "left").select("kind", F.coalesce("n_hits", F.lit(0).cast("bigint")).alias("n_hits"), "n_pairs")
     return c.withColumn("weight", F.round(F.greatest(F.lit(0.05), F.col("n_hits") / F.col("n_pairs")), 6))
 
 
@@ -202,7 +206,7 @@ def r36_top_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> dict:
-    return {f.__name__: f for f in (r1_bm25, r2_bm25_visible, r3_bm25_share, r6_tfidf, r8_dense, r10_hashed, r11_sparse_dot, r12_entity_score, r13_rrf, r14_weighted_rrf, r15_cascade, r22_blend, r23_global_scale, r24_ensemble, r25_rerank, r27_bridges, r28_kind_weights, r30_error_bonus, r32_evidence_rerank, r36_top_misses)}
+    return {f.__name__: f for f in (r1_bm25, r2_bm25_visible, r3_bm25_share, r6_tfidf, r8_dense, r8_cells, r10_hashed, r11_sparse_dot, r12_entity_score, r13_rrf, r14_weighted_rrf, r15_cascade, r22_blend, r23_global_scale, r24_ensemble, r25_rerank, r27_bridges, r28_kind_weights, r30_error_bonus, r32_evidence_rerank, r36_top_misses)}
 
 
 QUERIES = _all()
