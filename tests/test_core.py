@@ -101,7 +101,14 @@ def test_components_random(spark):
 def test_gold_and_deltas(spark):
     w = spark.createDataFrame([("w1", "f", "s", 10), ("w2", "f", None, 10), ("w3", None, "s", 10), ("w4", "f", "s", None)], "window_id string, family string, service string, start_us bigint")
     k = spark.createDataFrame([("k1", "f", ["s"], 9), ("k2", "f", ["t"], 9), ("k3", "f", ["s"], 10), ("k4", "f", None, 1)], "ticket_id string, family string, services array<string>, ts_us bigint")
-    assert rows(relations.gold_matches(w, k)) == [("w1", "k1"), ("w2", "k1"), ("w2", "k2"), ("w2", "k4")]
+    assert rows(relations.gold_counts(w, k)) == [("w1", 1, "k1", "k1"), ("w2", 3, "k1", "k4"), ("w3", 0, None, None), ("w4", 0, None, None)]
+    every = w.select("window_id").crossJoin(k.select(F.col("ticket_id").alias("issue_id"))).withColumn("family", F.lit("z"))
+    want = [("w1", "k1"), ("w2", "k1"), ("w2", "k2"), ("w2", "k4")]
+    assert rows(relations.gold_pairs(every, w, k).select("window_id", "issue_id")) == want
+    # With reasons and runs: equal reasons, other runs.
+    w2, k2 = w.withColumn("reason", F.lit("a")).withColumn("run", F.lit("r1")), k.withColumn("reason", F.when(F.col("ticket_id") != "k2", "a")).withColumn("run", F.when(F.col("ticket_id") == "k4", "r1"))
+    assert rows(relations.gold_pairs(every, w2, k2).select("window_id", "issue_id")) == [("w1", "k1"), ("w2", "k1")]
+    assert rows(relations.gold_counts(w2, k2).select("window_id", "n_gold")) == [("w1", 1), ("w2", 1), ("w3", 0), ("w4", 0)]
     d = spark.createDataFrame([("e", "s", 1, "pre", 5.0), ("e", "s", 2, "pre", 7.0), ("e", "s", 3, "act", 9.0), ("x", "s", 1, "act", 3.0), ("e", "s", 4, "act", None)], "e string, s string, t int, p string, f double")
     got = relations.baseline_deltas(d, ["e", "s"], ["t"], F.col("p") == "pre", ["f"])
     assert rows(got.select("e", "t", "f_delta")) == [("e", 1, 0.0), ("e", 2, 0.0), ("e", 3, 2.0), ("e", 4, -7.0), ("x", 1, 0.0)]
@@ -261,8 +268,6 @@ def test_entity_top_equals_brute(spark, monkeypatch):
                     found.append((-score, y[0], len(shared)))
             want += [(x[0], i, -s, n, k) for k, (s, i, n) in enumerate(sorted(found)[:3], 1)]
         assert rows(got.select("left_id", "right_id", "score", "n_shared", "rank_no")) == sorted(want, key=str)
-        counts = {r.kind: r.n_pairs for r in search.sets_that_meet(*frames).collect()}
-        assert counts == {k: sum(any(a[0] == k for a in items(x) & items(y)) for x in left for y in right) for k in kinds}
 
 
 @pytest.mark.parametrize("postings", [40, 8_000_000])
@@ -292,3 +297,74 @@ def test_sparse_top_empty(spark):
     df = spark.createDataFrame([("a", [("x", 1.0)]), ("b", None), ("c", [])], "id string, items array<struct<item string, w double>>").withColumn("score", F.lit(1))
     assert rows(search.sparse_top(df, df, 2).select("left_id", "right_id")) == [("a", "a")]
     assert search.sparse_top(df.limit(0), df, 2).count() == 0 and search.sparse_top(df, df.limit(0), 2).count() == 0
+
+
+def test_gold_counts_equal_pairs(spark):
+    rnd = random.Random(21)
+    day = 86_400_000_000
+    w = spark.createDataFrame([(f"w{i}", rnd.choice(["f", "f", "g", None]), rnd.choice(["s", "t", None]), rnd.choice([None, rnd.randint(0, 3 * day)])) for i in range(60)], "window_id string, family string, service string, start_us bigint")
+    k = spark.createDataFrame([(f"k{i:02}", rnd.choice(["f", "g", None]), rnd.choice([None, [], ["s"], ["s", "t", "s"]]), rnd.choice([None, rnd.randint(0, 3 * day)])) for i in range(40)], "ticket_id string, family string, services array<string>, ts_us bigint")
+    every = w.select("window_id").crossJoin(k.select(F.col("ticket_id").alias("issue_id")))
+    found = relations.gold_pairs(every, w, k).groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.min("issue_id").alias("a"), F.max("issue_id").alias("b"))
+    assert rows(relations.gold_counts(w, k).filter("n_gold > 0")) == rows(found)
+
+
+def test_quantiles(spark):
+    rnd = random.Random(3)
+    data = [(g, rnd.choice([None, 5.0, rnd.random() * 100])) for g in ("a", "a", "b", None) for _ in range(80)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double").withColumn("n", F.lit("x"))
+    got = {r.g: (r.p50, r.p95) for r in telemetry.quantiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    for g in ("a", "b", None, "one"):
+        v = [x for k, x in data if k == g and x is not None]
+        assert got[g] == pytest.approx((np.quantile(v, 0.5), np.quantile(v, 0.95)))
+    assert "none" not in got and telemetry.quantiles(df.limit(0), ["g"], "v", {"m": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+def test_hashed_numbers(spark, digits):
+    df = spark.createDataFrame([(g, f"k{i}") for g in ("a", None) for i in range(50)], "g string, k string").withColumn("n", F.lit(1))
+    r = sorted(telemetry.hashed_numbers(df, ["g"], "k", "7", digits).collect(), key=lambda r: (r.g or "", r.place))
+    import hashlib
+
+    for g in ("a", None):
+        here = [x for x in r if x.g == g]
+        assert [x.place for x in here] == list(range(1, 51)) and all(x.of == 50 for x in here)
+        digest = [hashlib.md5(f"7|{x.k}".encode()).hexdigest() for x in here]
+        assert digest == sorted(digest)
+
+
+@pytest.mark.parametrize("limit", [2, 1000])
+def test_self_pairs(spark, limit):
+    rnd = random.Random(6)
+    data = [(rnd.choice(["hot", "hot", "a", None]), f"i{rnd.randint(0, 30):02}") for _ in range(80)]
+    df = spark.createDataFrame(data, "k string, id string").distinct()
+    got = rows(skew.self_pairs(df, ["k"], "id", limit))
+    every = set(data)
+    assert got == sorted({(k, a, b) for k, a in every for j, b in every if k == j and k is not None and a < b})
+
+
+@pytest.mark.parametrize("width", [3, 1000])
+def test_recent_others(spark, width):
+    rnd = random.Random(width)
+    data = [(rnd.choice(["s", "s", "t"]), f"w{i:03}", rnd.choice(["e1", "e1", "e1", "e2", "e3", "e4", None]), rnd.randint(0, 60)) for i in range(150)]
+    df = spark.createDataFrame(data, "k string, id string, owner string, t bigint").withColumn("place", F.lit(0))
+    want = []
+    for k, i, e, t in data:
+        found = sorted((-t2, j) for k2, j, e2, t2 in data if k2 == k and t2 < t and e2 != e)[:3]
+        want += [(i, j, n) for n, (_, j) in enumerate(found, 1)]
+    got = asof.recent_others(df, ["k"], "id", "owner", "t", 3, F.floor(F.col("t") / width))
+    assert rows(got) == sorted(want, key=str)
+
+
+def test_jaccard_top(spark, monkeypatch):
+    rnd = random.Random(2)
+    data = [(f"r{i:02}", rnd.choice(["f", "f", "g"]), rnd.choice([None, *range(9)]), rnd.sample([f"w{j}" for j in range(12)], rnd.randint(0, 7))) for i in range(60)]
+    df = spark.createDataFrame(data, "id string, family string, t bigint, ws array<string>")
+    want = []
+    for i, f, t, x in data:
+        found = sorted((-round(len(set(x) & set(y)) / len(set(x) | set(y)), 6), j) for j, g, u, y in data if g == f and t is not None and u is not None and u < t and set(x) & set(y))
+        want += [(i, j, -s, n) for n, (s, j) in enumerate([p for p in found if -p[0] >= 0.3][:2], 1)]
+    for first in (1, 4096):
+        monkeypatch.setattr(search, "FIRST_POSTINGS", first)
+        got = search.jaccard_top(df, df, F.col("ws"), F.col("ws"), 2, 0.3, within="family", earlier=True)
+        assert rows(got.select("left_id", "right_id", "score", "rank_no")) == sorted(want, key=str)

@@ -6,8 +6,10 @@ the curves need go over distinct scores, not over rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,17 +94,15 @@ def calibration_error(table: DataFrame, groups: Sequence[str]) -> DataFrame:
     return table.groupBy(*groups).agg(F.round(F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))) / F.sum("n"), 6).alias("ece"))
 
 
-def retrieval_by_query(ranked: DataFrame, gold: DataFrame, groups: Sequence[str], query: str, item: str, rank: str, ks: Sequence[int]) -> DataFrame:
+def retrieval_by_query(hits: DataFrame, n_gold: DataFrame, systems: DataFrame, groups: Sequence[str], query: str, rank: str, ks: Sequence[int]) -> DataFrame:
     """(groups, query, n_gold, hit_k, recall_k, reciprocal_rank, ndcg_3) of every group for every query with gold.
 
-    `groups` name systems; a system without rows for a query misses it. Gold
-    counts once. nDCG is binary.
+    `hits` are the retrieved rows that are gold, `n_gold` is (query, n_gold)
+    with n_gold > 0, `systems` the groups (few); a system without hits for a
+    query misses it. nDCG is binary.
     """
-    n_gold = gold.select(query, item).distinct().groupBy(query).agg(F.count(F.lit(1)).alias("n_gold"))
-    hits = ranked.join(gold.select(query, item).distinct(), [query, item])
     found = hits.groupBy(*groups, query).agg(*[F.count_if(F.col(rank) <= k).alias(f"_h{k}") for k in ks], F.min(rank).alias("_first"), F.sum(F.when(F.col(rank) <= 3, 1 / F.log2(F.col(rank) + 1))).alias("_dcg"))
-    systems = ranked.select(*groups).distinct()
-    every = n_gold.crossJoin(F.broadcast(systems))
+    every = n_gold.select(query, "n_gold").crossJoin(F.broadcast(systems))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_gold"), F.lit(3)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     j = every.join(found, [*groups, query], "left")
     out = [*groups, query, "n_gold"]
@@ -129,29 +129,53 @@ def benjamini_hochberg(df: DataFrame, p: str, order: Sequence[str], families: Se
 POISSON = (1580030169, 3160060337, 3950075422, 4213413783, 4279248374, 4292415292, 4294609778, 4294923276)
 
 
-def poisson_weights(df: DataFrame, key: str, replicates: int, seed: str) -> DataFrame:
-    """Rows once per replicate with weight > 0: how often the row is drawn in that bootstrap replicate.
-
-    The weight is a Poisson variable with mean 1 from the hash of seed,
-    replicate and key, so a replicate needs no pass of its own, every system
-    sees the same draws, and the result doesn't depend on the partitions.
+def _draws(digests: np.ndarray, replicates: int) -> np.ndarray:
+    """Weights (rows x replicates) from the rows' digests: Poisson variables with mean 1."""
+    u = digests.view(">u4").reshape(len(digests), -1)[:, :replicates]
+    return np.searchsorted(np.array(POISSON, dtype=np.uint32), u.astype(np.uint32), side="right")
+
+
+def _replicate_sums(batches: Iterator[pa.RecordBatch], replicates: int) -> Iterator[pa.RecordBatch]:
+    """Per group of a task: for every replicate the sum of weights and of weights times values."""
+    total: dict[str, np.ndarray] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        digests = np.frombuffer(b"".join(batch.column("digest").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+        w, v = _draws(digests, replicates).astype(np.float64), batch.column("value").to_numpy()
+        group = batch.column("groups").dictionary_encode()
+        code = group.indices.to_numpy()
+        for k, name in enumerate(group.dictionary.to_pylist()):
+            at = code == k
+            sums = np.stack((w[at].sum(axis=0), v[at] @ w[at]))
+            total[name] = total[name] + sums if name in total else sums
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total)), *[pa.array([x[i] for x in total.values()], pa.list_(pa.float64())) for i in (0, 1)]], names=["groups", "weights", "sums"])
+
+
+def replicate_means(rows: DataFrame, groups: Sequence[str], key: str, value: str, replicates: int, seed: str) -> DataFrame:
+    """(groups, replicate, m): mean of `value` in every bootstrap replicate.
+
+    A row is drawn as often as a Poisson variable with mean 1 from the hash of
+    seed, replicate and key says, so every system sees the same draws and the
+    result doesn't depend on the partitions. A task returns two vectors a group.
+    Replicates without any draw have no row; null values don't count.
     """
+    groups = list(groups)
     # A digest of 128 bits serves four replicates.
-    reps = df.withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))))
-    reps = reps.withColumn("_md5", F.md5(F.concat_ws("|", F.lit(seed), F.col("_four").cast("string"), F.col(key))))
-    draws = F.array(*[F.struct((F.col("_four") * 4 + i).alias("replicate"), F.substring("_md5", 8 * i + 1, 8).alias("u")) for i in range(4)])
-    reps = reps.withColumn("_d", F.explode(draws)).withColumn("replicate", F.col("_d.replicate")).withColumn("_u", F.conv(F.col("_d.u"), 16, 10).cast("bigint")).drop("_d", "_md5", "_four").filter(F.col("replicate") < replicates)
-    u = F.col("_u")
-    w = F.lit(0)
-    for end in POISSON:
-        w = w + F.when(u >= end, 1).otherwise(0)
-    return reps.withColumn("weight", w).drop("_u").filter("weight > 0")
+    digest = F.concat(*[F.unhex(F.md5(F.concat_ws("|", F.lit(seed), F.lit(str(i)), F.col(key)))) for i in range(-(-replicates // 4))])
+    named = F.to_json(F.struct(*groups)) if groups else F.lit("{}")
+    made = rows.filter(F.col(value).isNotNull()).select(named.alias("groups"), F.col(value).cast("double").alias("value"), digest.alias("digest"))
+    sums = made.mapInArrow(lambda b: _replicate_sums(b, replicates), "groups string, weights array<double>, sums array<double>")
+    long = sums.select("groups", F.posexplode(F.arrays_zip("weights", "sums")).alias("replicate", "x"))
+    per = long.groupBy("groups", "replicate").agg(F.sum("x.weights").alias("w"), F.sum("x.sums").alias("s")).filter("w > 0")
+    names = [F.get_json_object("groups", f"$.{g}").alias(g) for g in groups]
+    return per.select(*names, "replicate", (F.col("s") / F.col("w")).alias("m"))
 
 
 def bootstrap_interval(rows: DataFrame, groups: Sequence[str], key: str, value: str, replicates: int = 200, alpha: float = 0.05, seed: str = "b") -> DataFrame:
-    """(groups, mean, low, high): mean of `value` over rows and its percentile interval, index int(alpha n) of the sorted replicates."""
-    reps = poisson_weights(rows.filter(F.col(value).isNotNull()), key, replicates, seed)
-    means = reps.groupBy(*groups, "replicate").agg((F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("m"))
+    """(groups, mean, low, high): mean of `value` over rows (groups are strings) and its percentile interval, index int(alpha n) of the sorted replicates."""
+    means = replicate_means(rows, groups, key, value, replicates, seed)
     sorted_ = means.groupBy(*groups).agg(F.sort_array(F.collect_list(F.round("m", 9))).alias("ms"))
     n = F.size("ms")
     low = F.get("ms", F.floor(n * (alpha / 2)).cast("int"))
@@ -164,7 +188,7 @@ def bootstrap_interval(rows: DataFrame, groups: Sequence[str], key: str, value:
 def paired_bootstrap(rows: DataFrame, key: str, a: str, b: str, replicates: int = 200, seed: str = "b") -> DataFrame:
     """(delta, low, high, p_value): mean of a - b over rows, its interval, and twice the smaller share of replicates on one side of 0 (ties half)."""
     d = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, (F.col(a).cast("double") - F.col(b).cast("double")).alias("d"))
-    means = poisson_weights(d, key, replicates, seed).groupBy("replicate").agg(F.round(F.sum(F.col("weight") * F.col("d")) / F.sum("weight"), 9).alias("m"))
+    means = replicate_means(d, [], key, "d", replicates, seed).select(F.round("m", 9).alias("m"))
     s = means.agg(F.sort_array(F.collect_list("m")).alias("ms"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("m") < 0, 1.0).when(F.col("m") == 0, 0.5).otherwise(0.0)).alias("below"))
     p = F.least(F.lit(1.0), 2 * F.least(F.col("below") / F.col("n"), 1 - F.col("below") / F.col("n")))
     return d.agg(F.round(F.avg("d"), 6).alias("delta")).crossJoin(s).select("delta", F.round(F.get("ms", F.floor(F.col("n") * 0.025).cast("int")), 6).alias("low"), F.round(F.get("ms", F.least(F.floor(F.col("n") * 0.975), F.col("n") - 1).cast("int")), 6).alias("high"), F.round(p, 6).alias("p_value"))

@@ -7,32 +7,69 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import asof_join
 
-def gold_matches(windows: DataFrame, tickets: DataFrame) -> DataFrame:
-    """(window_id, ticket_id): tickets of the window's family and service that were there before it started.
 
-    `windows` has window_id, family, service, start_us; `tickets` has ticket_id,
-    family, services (array), ts_us. A window without service matches any
-    service; one without family or start matches nothing. Both are equi-joins;
-    the time is a condition on the joined rows.
-    """
-    t = tickets.filter("family is not null and ts_us is not null")
-    by_service = t.select("ticket_id", "family", "ts_us", F.explode("services").alias("service")).distinct()
-    w = windows.filter("family is not null and start_us is not null")
-    one = w.filter("service is not null").join(by_service, ["family", "service"]).filter("ts_us < start_us")
-    other = w.filter("service is null").join(t.select("ticket_id", "family", "ts_us"), "family").filter("ts_us < start_us")
-    return one.select("window_id", "ticket_id").unionByName(other.select("window_id", "ticket_id")).distinct()
+#: Width of the time buckets in which tickets and windows meet.
+GOLD_BUCKET_US = 6 * 3_600_000_000
+
 
+def gold_counts(windows: DataFrame, tickets: DataFrame) -> DataFrame:
+    """(window_id, n_gold, first_gold, last_gold): gold tickets of each window, and the least and greatest id among them.
 
-def attach_gold(windows: DataFrame, matches: DataFrame, label: str, expected: str) -> DataFrame:
+    A ticket is gold for a window of its family and service that starts after
+    it; a window without service takes any service, one without family or start
+    has no gold. `windows` has window_id, family, service, start_us; `tickets`
+    has ticket_id, family, services (array), ts_us. Where both have `reason`, it
+    must be equal too; where both have `run`, tickets of the window's own run
+    don't count (then the two ids are null). Counted along time by buckets, no
+    pair is formed. Windows without gold have a row with 0.
+    """
+    reason = [c for c in ("reason",) if c in windows.columns and c in tickets.columns]
+    runs = "run" in windows.columns and "run" in tickets.columns
+    t = tickets.filter("family is not null and ts_us is not null").select("ticket_id", "family", "services", "ts_us", *reason, *(["run"] if runs else [])).distinct()
+    by_service = t.select(*[c for c in t.columns if c != "services"], F.explode(F.array_distinct("services")).alias("service")).distinct()
+    w = windows.select("window_id", "family", "service", "start_us", *reason, *(["run"] if runs else []))
+
+    def counted(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        join = lambda k, ends: asof_join(left, right.drop(*[c for c in ("run",) if c not in k]), k, "start_us", "ts_us", "ticket_id", width=GOLD_BUCKET_US, ends=ends)
+        found = join(keys, not runs)
+        if not runs:
+            return found.select("window_id", F.col("n_before").alias("n_gold"), F.col("low_value").alias("first_gold"), F.col("high_value").alias("last_gold"))
+        own = join([*keys, "run"], False).select("window_id", F.col("n_before").alias("_own"))
+        none = F.lit(None).cast("string")
+        return found.join(own, "window_id").select("window_id", (F.col("n_before") - F.col("_own")).alias("n_gold"), none.alias("first_gold"), none.alias("last_gold"))
+
+    one = counted(w.filter("service is not null"), by_service, ["family", *reason, "service"])
+    other = counted(w.filter("service is null"), t.drop("services"), ["family", *reason])
+    return one.unionByName(other)
+
+
+def gold_pairs(pairs: DataFrame, windows: DataFrame, tickets: DataFrame, item: str = "issue_id") -> DataFrame:
+    """The rows of `pairs` (window_id, `item`, ...) whose ticket is gold for the window, by the rule of `gold_counts`.
+
+    Each pair is tested on its own, so a hot family costs no more than its
+    retrieved pairs. Pairs of unknown windows or tickets are no gold.
+    """
+    both = [c for c in ("reason", "run") if c in windows.columns and c in tickets.columns]
+    w = windows.select("window_id", *[F.col(c).alias(f"_w_{c}") for c in ("family", "service", "start_us", *both)])
+    t = tickets.select(F.col("ticket_id").alias(item), *[F.col(c).alias(f"_t_{c}") for c in ("family", "services", "ts_us", *both)])
+    rule = (F.col("_w_family") == F.col("_t_family")) & (F.col("_t_ts_us") < F.col("_w_start_us")) & (F.col("_w_service").isNull() | F.array_contains("_t_services", F.col("_w_service")))
+    if "reason" in both:
+        rule = rule & (F.col("_w_reason") == F.col("_t_reason"))
+    if "run" in both:
+        rule = rule & ~F.col("_w_run").eqNullSafe(F.col("_t_run"))
+    return pairs.join(w, "window_id").join(t, item).filter(rule).select(*pairs.columns)
+
+
+def attach_gold(windows: DataFrame, counts: DataFrame, label: str, expected: str) -> DataFrame:
     """Windows with n_gold and is_novel.
 
     Only ticket_worthy and borderline windows are matched; a ticket_worthy one
     without match is novel. Where `expected` is false, there is no gold, and a
     ticket_worthy window is novel; null leaves the matches as they are.
     """
-    n = matches.groupBy("window_id").agg(F.count(F.lit(1)).alias("_n"))
-    rows = windows.join(n, "window_id", "left")
+    rows = windows.join(counts.select("window_id", F.col("n_gold").alias("_n")), "window_id", "left")
     orphan = F.col(expected).eqNullSafe(False)
     matched = F.col(label).isin("ticket_worthy", "borderline") & ~orphan
     n_gold = F.when(matched, F.coalesce("_n", F.lit(0))).otherwise(F.lit(0)).cast("bigint")

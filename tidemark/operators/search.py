@@ -44,6 +44,7 @@ class Index:
         self.t, self.severity, self.family = number("t", np.iinfo(np.int64).max), number("severity", 0), number("family", 0)
         lists = rows.column("items").combine_chunks()
         sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        self.size = sizes
         items, weights = lists.flatten().to_numpy(zero_copy_only=False), rows.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         order = np.argsort(items, kind="stable")
         self.doc, self.w, items = np.repeat(np.arange(len(self.ids)), sizes)[order], weights[order], items[order]
@@ -51,12 +52,14 @@ class Index:
         self.vocabulary, self.begin = items[new], np.append(new, len(items))
         self.most, self.least = (f.reduceat(self.w, new) if len(items) else self.w for f in (np.maximum, np.minimum))
 
-    def best(self, items: np.ndarray, weights: np.ndarray, own: str, t: int | None, severity: int | None, family: int | None, n: int, places: int, plus: tuple[float, float], earlier: bool, with_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def best(self, items: np.ndarray, weights: np.ndarray, own: str, t: int | None, severity: int | None, family: int | None, n: int, places: int, plus: tuple[float, float], earlier: bool, with_self: bool, jaccard: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places of records, rounded scores, numbers of shared items) of the n best, by score, then id.
 
         Short lists are added up first. Where the n-th best so far beats all that
-        the other lists could give, only its candidates are searched in them.
+        the other lists could give, only its candidates are searched in them. With
+        `jaccard` the score is shared / all items, where it is that great or more.
         """
+        asked = len(items)
         none = np.empty(0, dtype=np.int64)
         if not len(self.vocabulary) or not len(items):
             return none, none, none
@@ -101,11 +104,21 @@ class Index:
                 out = out + plus[1] * (self.family[doc] == family)
             return out
 
+        def measured(doc: np.ndarray, s: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            if jaccard is None:
+                return self._first(doc, s + bonus(doc), count, n, places)
+            s = np.round(count / (asked + self.size[doc] - count), places)
+            ok = s >= jaccard
+            return self._first(doc[ok], s[ok], count[ok], n, places)
+
         lists = len(begin)
         if first < lists:
             doc, s, count = added(0, first)
             ok = kept(doc)
             doc, s, count = doc[ok], s[ok], count[ok]
+            if jaccard is not None:
+                # What shares only the other lists' items shares no more than their number.
+                s, adds, takes, plus = count / (asked + self.size[doc] - count), np.array([0.0] * first + [(lists - first) / asked]), np.zeros(first), (0.0, 0.0)
             rest = adds[first:].sum() + takes[first:].sum() + (plus[0] if severity else 0.0) + (plus[1] if family else 0.0)
             if len(doc) >= n and np.partition(s, len(s) - n)[len(s) - n] > rest + 10.0**-places:
                 for i in range(first, lists):
@@ -114,11 +127,11 @@ class Index:
                     found = held[p] == doc
                     s = s + np.where(found, self.w[begin[i] : end[i]][p] * weights[i], 0.0)
                     count = count + found
-                return self._first(doc, s + bonus(doc), count, n, places)
+                return measured(doc, s, count)
         doc, s, count = added(0, lists)
         ok = kept(doc)
         doc, s, count = doc[ok], s[ok], count[ok]
-        return self._first(doc, s + bonus(doc), count, n, places) if len(doc) else (none, none, none)
+        return measured(doc, s, count) if len(doc) else (none, none, none)
 
     @staticmethod
     def _first(doc: np.ndarray, s: np.ndarray, count: np.ndarray, n: int, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +212,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], args: tuple) -> Iterator[pa.Reco
                 yield from _answers(part, index, args)
 
 
-def sparse_top(left: DataFrame, right: DataFrame, n: int, places: int = 6, severity: float = 0.0, family: float = 0.0, earlier: bool = False, with_self: bool = True) -> DataFrame:
+def sparse_top(left: DataFrame, right: DataFrame, n: int, places: int = 6, severity: float = 0.0, family: float = 0.0, earlier: bool = False, with_self: bool = True, jaccard: float | None = None) -> DataFrame:
     """(left_id, right_id, score, n_shared, rank_no): the n right records with the greatest score for each left record.
 
     Both sides are (id string, severity string, family string, t bigint, items
@@ -210,7 +223,9 @@ def sparse_top(left: DataFrame, right: DataFrame, n: int, places: int = 6, sever
     records with a smaller t count, and a null time on either side matches
     nothing. Without `with_self` a record is no match of its own id. Records
     that share nothing have no row. Scores are rounded to `places`, ties go to
-    the smaller id. Null ids and empty sides give no rows. Exact: an item that a
+    the smaller id. With `jaccard` the score is the share of common items among
+    all items of the two instead, `jaccard` or more. Null ids and empty sides give
+    no rows. Exact: an item that a
     fifth of both sides hold is a long list, which is searched only where the
     shorter lists leave a doubt.
     """
@@ -223,7 +238,7 @@ def sparse_top(left: DataFrame, right: DataFrame, n: int, places: int = 6, sever
 
     a, b = plain(left), keep(plain(right).filter("size(items) > 0"))
     spark = left.sparkSession
-    args = (n, places, (severity, family), earlier, with_self)
+    args = (n, places, (severity, family), earlier, with_self, jaccard)
     n_post = b.agg(F.sum(F.size("items"))).first()[0] or 0
     if n_post <= MAX_POSTINGS:
         sent = spark.sparkContext.broadcast(_Sent(b.toArrow()))
@@ -244,6 +259,22 @@ def entity_top(left: DataFrame, right: DataFrame, n: int, places: int = 6, sever
     return sparse_top(ones, right, n, places, severity, family, earlier)
 
 
+def jaccard_top(left: DataFrame, right: DataFrame, left_words: Column, right_words: Column, n: int, least: float, within: str | None = None, earlier: bool = False, places: int = 6) -> DataFrame:
+    """(left_id, right_id, score, n_shared, rank_no): the n right records with the greatest Jaccard similarity of words, `least` or more.
+
+    Both sides have id, t where `earlier`, and where `within` names a column,
+    only records with equal (known) values of it match. Repeated words count once.
+    """
+
+    def items(df: DataFrame, words: Column) -> DataFrame:
+        part = F.concat(F.col(within), F.lit("|")) if within else F.lit("")
+        rows = df.filter(F.col(within).isNotNull()) if within else df
+        item = F.transform(F.array_distinct(F.coalesce(words, F.array().cast("array<string>"))), lambda x: F.struct(F.concat(part, x).alias("item"), F.lit(1.0).alias("w")))
+        return rows.select("id", *(["t"] if earlier else []), item.alias("items"))
+
+    return sparse_top(items(left, left_words), items(right, right_words), n, places, earlier=earlier, with_self=True, jaccard=least)
+
+
 def word_counts(docs: DataFrame, key: str, words: Column) -> DataFrame:
     """(key, word, tf, len): how often each word occurs in a document, and the document's number of words; texts are shuffled once."""
     w = docs.select(key, words.alias("_ws")).withColumn("len", F.size("_ws"))
@@ -293,52 +324,6 @@ def tfidf_top(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str,
     return sparse_top(unit(word_counts(queries, query_key, query_words), query_key), unit(p, doc_key), n, places, with_self=with_self)
 
 
-def sets_that_meet(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(kind, n_pairs): pairs of a left and a right record that share an item of a kind.
-
-    Both sides as for `sparse_top`, items named 'kind:value'. Left records with
-    the same items of a kind count once, with their number; a set's partners are
-    counted as the union of its lists, never listed.
-    """
-
-    def sets(df: DataFrame) -> DataFrame:
-        e = df.filter("id is not null").select("id", F.explode("items").alias("x")).select("id", F.substring_index("x.item", ":", 1).alias("kind"), F.xxhash64("x.item").alias("item"))
-        per = e.groupBy("id", "kind").agg(F.array_sort(F.collect_set("item")).alias("items"))
-        return per.groupBy("kind", "items").agg(F.count(F.lit(1)).alias("n"))
-
-    a, b = sets(left), keep(sets(right).withColumn("no", F.xxhash64("kind", "items")))
-    n_post = b.agg(F.sum(F.size("items"))).first()[0] or 0
-    blocks = max(1, -(-n_post // MAX_POSTINGS))
-    spark = left.sparkSession
-    parts = []
-    for k in range(blocks):
-        sent = spark.sparkContext.broadcast(b.filter(F.pmod("no", F.lit(blocks)) == k).select("items", "n").toArrow())
-        parts.append(a.mapInArrow(lambda x, sent=sent: _meeting(x, sent.value), "kind string, n bigint"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("kind").agg(F.sum("n").alias("n_pairs"))
-
-
-def _meeting(batches: Iterator[pa.RecordBatch], right: pa.Table) -> Iterator[pa.RecordBatch]:
-    lists: dict[int, list[int]] = {}
-    for i, items in enumerate(right.column("items").to_pylist()):
-        for x in items:
-            lists.setdefault(x, []).append(i)
-    posted = {x: np.array(at) for x, at in lists.items()}
-    size = right.column("n").to_numpy()
-    alone = {x: int(size[at].sum()) for x, at in posted.items()}
-    total: dict[str, int] = {}
-    for batch in batches:
-        for kind, items, n in zip(*[batch.column(c).to_pylist() for c in ("kind", "items", "n")], strict=True):
-            here = [x for x in items if x in posted]
-            if here:
-                met = alone[here[0]] if len(here) == 1 else int(size[np.unique(np.concatenate([posted[x] for x in here]))].sum())
-                total[kind] = total.get(kind, 0) + n * met
-    if total:
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(list(total)), "n": pa.array(list(total.values()), pa.int64())})
-
-
 def _units(keys: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Vectors by length, each of length 1 (or zero): {dimensions: (keys, matrix)}."""
     size = vectors.value_lengths().to_numpy(zero_copy_only=False)

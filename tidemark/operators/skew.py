@@ -88,3 +88,21 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", sh
     l2 = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*others) if others else F.xxhash64(on), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
     r2 = right.join(hot, on, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return l2.join(r2, [on, "_salt"], how).drop("_salt")
+
+
+def self_pairs(df: DataFrame, keys: Sequence[str], id: str, limit: int = 2_000) -> DataFrame:
+    """(keys, id_a, id_b) with id_a < id_b: pairs of ids that share a key, for distinct rows (keys, id).
+
+    A key with more than `limit` rows is cut into blocks, and each pair of its
+    blocks meets in a task of its own. Null keys share nothing.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, id)
+    for k in keys:
+        rows = rows.filter(F.col(k).isNotNull())
+    blocks = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).cast("int").alias("_n"))
+    rows = rows.join(blocks.filter("_n > 1"), keys, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_b", F.pmod(F.xxhash64(id, F.lit(11)), F.col("_n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    a = rows.select(*keys, F.col(id).alias("id_a"), F.col("_b").alias("_i"), other.alias("_j"))
+    b = rows.select(*keys, F.col(id).alias("id_b"), F.col("_b").alias("_j"), other.alias("_i"))
+    return a.join(b, [*keys, "_i", "_j"]).filter("id_a < id_b").select(*keys, "id_a", "id_b")

@@ -74,13 +74,51 @@ def histogram_quantile(buckets: DataFrame, groups: Sequence[str], upper: str, co
     return total.select(*groups).join(found, list(groups), "left")
 
 
+def value_ranks(df: DataFrame, groups: Sequence[str], value: str, buckets: int = 256) -> DataFrame:
+    """(_g, value, upto, n): each distinct value of a group, how many rows do not exceed it, and the group's rows; nulls and NaN don't count.
+
+    _g is a struct of the groups. Rows are first reduced to a count per value;
+    running sums go over buckets of values, then within a bucket, so no task
+    sorts a whole group.
+    """
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.struct(*groups, F.lit(0).alias("_")).alias("_g"), F.col(value).alias("_v"))
+    c = rows.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    cuts = c.groupBy("_g").agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"), F.sum("_k").alias("n"))
+    c = c.join(cuts, "_g").withColumn("_b", F.size(F.filter("_cuts", lambda x: x <= F.col("_v")))).drop("_cuts")
+    below = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = c.groupBy("_g", "_b").agg(F.sum("_k").alias("_s")).select("_g", "_b", F.coalesce(F.sum("_s").over(below), F.lit(0)).alias("_s0"))
+    here = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return c.withColumn("_u", F.sum("_k").over(here)).join(sums, ["_g", "_b"]).select("_g", F.col("_v").alias(value), (F.col("_u") + F.col("_s0")).alias("upto"), "n")
+
+
 def nearest_rank(df: DataFrame, groups: Sequence[str], value: str, q: float) -> DataFrame:
-    """(groups, n, quantile): the value at rank ceil(q n), 1 at least; over distinct values, so a hot group is reduced first."""
-    c = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*groups).orderBy(F.col(value).asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = c.groupBy(*groups).agg(F.sum("_n").alias("n"))
-    r = c.withColumn("_up", F.sum("_n").over(w)).join(total, list(groups)).filter(F.col("_up") >= F.greatest(F.ceil(F.col("n") * q), F.lit(1)))
-    return r.groupBy(*groups).agg(F.max("n").alias("n"), F.min(value).alias("quantile"))
+    """(groups, n, quantile): the value at rank ceil(q n), 1 at least; exact."""
+    r = value_ranks(df, groups, value).filter(F.col("upto") >= F.greatest(F.ceil(F.col("n") * q), F.lit(1)))
+    return r.groupBy("_g").agg(F.max("n").alias("n"), F.min(value).alias("quantile")).select(*[F.col("_g")[g].alias(g) for g in groups], "n", "quantile")
+
+
+def quantiles(df: DataFrame, groups: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:
+    """(groups, named quantiles): exact, linear between neighbouring values; groups without values have no row."""
+    r = value_ranks(df, groups, value)
+    n, v = F.col("n"), F.col(value).cast("double")
+    at = {k: (F.floor((n - 1) * q), F.ceil((n - 1) * q), (n - 1) * q) for k, q in named.items()}
+    ends = [x for k, (low, high, _) in at.items() for x in (F.min(F.when(F.col("upto") > low, v)).alias(f"_l_{k}"), F.min(F.when(F.col("upto") > high, v)).alias(f"_h_{k}"))]
+    g = r.groupBy("_g").agg(F.max("n").alias("n"), *ends)
+    return g.select(*[F.col("_g")[c].alias(c) for c in groups], *[(F.col(f"_l_{k}") + (F.col(f"_h_{k}") - F.col(f"_l_{k}")) * (h - low)).alias(k) for k, (low, _, h) in at.items()])
+
+
+def hashed_numbers(df: DataFrame, groups: Sequence[str], key: str, seed: str, digits: int = 3) -> DataFrame:
+    """Rows with `place` (from 1, in the order of md5 of seed and key, then key, within the group) and `of` (the group's rows).
+
+    The first hex digits of the hash cut a group into 16 ** digits even buckets;
+    rows are numbered within their bucket and moved by the buckets before.
+    """
+    rows = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col(key)))).withColumn("_g", F.struct(*groups, F.lit(0).alias("_"))).withColumn("_b", F.substring("_h", 1, digits))
+    sums = rows.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_s"))
+    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_g", "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.sum("_s").over(Window.partitionBy("_g")).alias("of"))
+    here = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h", key))
+    return rows.withColumn("_p", here).join(sums, ["_g", "_b"]).select(*df.columns, (F.col("_p") + F.col("_s0")).alias("place"), "of")
 
 
 def quota_sample(df: DataFrame, groups: Sequence[str], key: str, quota: Column | int, seed: str) -> DataFrame:

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import metrics as M
 from tidemark.operators import rank as R
 from tidemark.operators import search as N
-from tidemark.operators.relations import gold_matches, top_rows
+from tidemark.operators import telemetry as A
+from tidemark.operators.relations import top_rows
 from tidemark.plans import evaluation as E
 from tidemark.plans import ranking as K
 from tidemark.plans import views as V
 from tidemark.tables import table
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(window_id, ticket_id): retrieved tickets (twenty a pipeline) that were there before the window."""
+    r = V.ranked(spark, sf_dir).select("window_id", F.col("issue_id").alias("ticket_id")).distinct()
+    w, k = V.windows(spark, sf_dir).select("window_id", "start_us"), V.tickets(spark, sf_dir).select("ticket_id", "ts_us")
+    return r.join(w, "window_id").join(k, "ticket_id").filter("ts_us < start_us").select("window_id", "ticket_id")
+
+
 def r4_candidate_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best gold candidate of every window by BM25 with document frequencies among the window's own candidates, as a share of its peak."""
-    w = V.windows(spark, sf_dir)
-    g = gold_matches(w, V.tickets(spark, sf_dir))
+    """Best candidate of every window by BM25 with document frequencies among the window's own candidates: its retrieved tickets that were there before it."""
+    g = candidates(spark, sf_dir)
     e = table(spark, sf_dir, "telemetry_windows").groupBy("window_id").agg(F.max("triage_evidence_text").alias("t"))
     q = N.word_counts(e, "window_id", T.words_b(F.col("t"))).select("window_id", "word", F.col("tf").alias("qtf"))
     d = N.word_counts(V.tickets(spark, sf_dir).select("ticket_id", F.concat_ws(" ", "root_cause", "fix").alias("t")), "ticket_id", T.words_b(F.col("t")))
@@ -120,11 +127,9 @@ def z7_holdout_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def z12_trace_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a trace: per type calls, users, total and 95th percentile value at index int(0.95 (n - 1))."""
     e = table(spark, sf_dir, "events").filter("value is not null")
-    c = e.groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("k"))
-    up = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_calls"), F.count_distinct("user_id").alias("n_users"), F.round(F.sum("value"), 4).alias("total"))
-    q = c.withColumn("up", F.sum("k").over(up)).join(total, "event_type").filter(F.col("up") > F.floor(0.95 * (F.col("n_calls") - 1)))
-    return total.join(q.groupBy("event_type").agg(F.min("value").alias("p95")), "event_type").select("event_type", "n_calls", "n_users", "total", "p95")
+    q = A.value_ranks(e, ["event_type"], "value").filter(F.col("upto") > F.floor(0.95 * (F.col("n") - 1))).groupBy(F.col("_g.event_type").alias("event_type")).agg(F.min("value").alias("p95"))
+    return total.join(q, "event_type").select("event_type", "n_calls", "n_users", "total", "p95")
 
 
 def f11_body_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +163,6 @@ def s16_timeline_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _F = (r4_candidate_bm25, r7_frequent_tfidf, r26_vector_blend, r31_combined, a12_signature, m19_stratified_interval, m24_leave_run_out, z5_diagnosis, z7_holdout_audit, z12_trace_costs, f11_body_summary, f12_evidence_text, s16_timeline_join)
 QUERIES = {f.__name__: f for f in _F}
 
-_WG = f"{V.WINDOWS}, {V.TICKETS}, {V.GOLD}"
 _B = K._B
 _A = K._A
 _ITEMS = "list_distinct(list_transform(list_filter(list_concat(list_concat(coalesce(components, []), coalesce(error_classes, [])), coalesce(symptoms, [])), lambda v: v is not null and trim(v) <> ''), lambda v: lower(trim(v))))"
@@ -170,7 +174,7 @@ def _get(*keys: str) -> str:
 
 
 SQL = {
-    "r4_candidate_bm25": f"with {_WG}, e as (select window_id, max(triage_evidence_text) as t from telemetry_windows group by 1), q as (select window_id, word, count(*) as qtf from (select window_id, unnest({_B.format(t='t')}) as word from e) group by 1, 2), d as (select ticket_id, word, count(*) as tf, max(n) as len from (select ticket_id, len(ws) as n, unnest(ws) as word from (select ticket_id, {_B.format(t='concat_ws(chr(32), root_cause, fix)')} as ws from k)) group by 1, 2), c as (select g.window_id, d.* from g join d using (ticket_id)), st as (select window_id, count(*) as n_docs, avg(l) as avg_len from (select window_id, ticket_id, max(len) as l from c group by 1, 2) group by 1), f as (select window_id, word, count(*) as df from c group by 1, 2), s as (select c.window_id, ticket_id, round(sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) as score from c join q using (window_id, word) join f using (window_id, word) join st using (window_id) group by 1, 2) select window_id, ticket_id, score from s qualify row_number() over (partition by window_id order by score desc, ticket_id) = 1",
+    "r4_candidate_bm25": f"with {V.WINDOWS}, {V.TICKETS}, {V.RANKED}, g as (select distinct r.window_id, ticket_id from r join w using (window_id) join k on issue_id = ticket_id where ts_us < start_us), e as (select window_id, max(triage_evidence_text) as t from telemetry_windows group by 1), q as (select window_id, word, count(*) as qtf from (select window_id, unnest({_B.format(t='t')}) as word from e) group by 1, 2), d as (select ticket_id, word, count(*) as tf, max(n) as len from (select ticket_id, len(ws) as n, unnest(ws) as word from (select ticket_id, {_B.format(t='concat_ws(chr(32), root_cause, fix)')} as ws from k)) group by 1, 2), c as (select g.window_id, d.* from g join d using (ticket_id)), st as (select window_id, count(*) as n_docs, avg(l) as avg_len from (select window_id, ticket_id, max(len) as l from c group by 1, 2) group by 1), f as (select window_id, word, count(*) as df from c group by 1, 2), s as (select c.window_id, ticket_id, round(sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) as score from c join q using (window_id, word) join f using (window_id, word) join st using (window_id) group by 1, 2) select window_id, ticket_id, score from s qualify row_number() over (partition by window_id order by score desc, ticket_id) = 1",
     "r7_frequent_tfidf": f"with {V.TICKETS}, d as (select ticket_id, {_A.format(t='concat_ws(chr(32), root_cause, fix)')} as ws from k), p as (select ticket_id, word, count(*) as tf from (select ticket_id, unnest(ws) as word from d) group by 1, 2), i as (select word, ln((1 + (select count(*) from d)) / (1 + count(*))) + 1 as idf from p group by 1 having count(*) >= 2), w_ as (select ticket_id, word, (1 + ln(tf)) * idf as w from p join i using (word)), n as (select ticket_id, sqrt(sum(w * w)) as n from w_ group by 1), u as (select ticket_id, word, w / n as w from w_ join n using (ticket_id)), s as (select a.ticket_id as query_id, b.ticket_id, round(sum(a.w * b.w), 6) as score from u a join u b on a.word = b.word and a.ticket_id <> b.ticket_id where cast(regexp_extract(a.ticket_id, '(\\d+)$', 1) as bigint) % 20 = 0 group by 1, 2) select query_id, ticket_id, score from s qualify row_number() over (partition by query_id order by score desc, ticket_id) = 1",
     "r26_vector_blend": f"with {V.RANKED}, l as (select *, max(score) over (partition by window_id) as peak from r where pipeline_name = 'bm25_retrieval' and score > 0), s as (select l.window_id, l.issue_id, round(0.5 * l.score / peak + 0.5 * coalesce(greatest(d.score, 0.0), 0.0), 6) as score from l left join r d on d.pipeline_name = 'bi_encoder_retrieval' and l.window_id = d.window_id and l.issue_id = d.issue_id) select * from s qualify row_number() over (partition by window_id order by score desc, issue_id) = 1",
     "r31_combined": f"with {V.RANKED}, e as (select *, min(score) over (partition by window_id, pipeline_name) as lo, max(score) over (partition by window_id, pipeline_name) as hi from r), z as (select window_id, pipeline_name, issue_id, {_SCALED} as v from e), n as (select window_id, issue_id, count(*) as agree from r group by 1, 2), s as (select a.window_id, a.issue_id, round(least(1.0, greatest(0.0, 0.55::double * coalesce(b.v, 0.0) + 0.45::double * a.v + 0.05::double * least(agree, 5))), 6) as score from z a left join z b on b.pipeline_name = 'bi_encoder_retrieval' and a.window_id = b.window_id and a.issue_id = b.issue_id join n on n.window_id = a.window_id and n.issue_id = a.issue_id where a.pipeline_name = 'kg_retrieval') select * from s qualify row_number() over (partition by window_id order by score desc, issue_id) = 1",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as M
-from tidemark.operators.relations import gold_matches
+from tidemark.operators.relations import gold_counts, gold_pairs
 from tidemark.plans import views as V
 from tidemark.tables import table
 
@@ -17,10 +17,21 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.windows(spark, sf_dir).filter("label is not null").select("window_id", "source", "family", "service", "window_type", "is_hard_case", s.alias("score"), (F.col("label") == "ticket_worthy").alias("y"))
 
 
+def gold_found(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
+    """The retrieved rows that are gold."""
+    return gold_pairs(ranked, V.windows(spark, sf_dir).drop("run"), V.tickets(spark, sf_dir))
+
+
+def gold_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(window_id, n_gold, first_gold, last_gold) of the windows that have gold."""
+    return gold_counts(V.windows(spark, sf_dir).drop("run"), V.tickets(spark, sf_dir)).filter("n_gold > 0")
+
+
 def _retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir)).withColumnRenamed("ticket_id", "issue_id")
+    r = V.ranked(spark, sf_dir)
     asked = table(spark, sf_dir, "hits").select("window_id").distinct()
-    return M.retrieval_by_query(V.ranked(spark, sf_dir), gold.join(asked, "window_id", "left_semi"), ["pipeline_name"], "window_id", "issue_id", "rank_no", (1, 3, 5))
+    n = gold_numbers(spark, sf_dir).join(asked, "window_id", "left_semi")
+    return M.retrieval_by_query(gold_found(spark, sf_dir, r), n, r.select("pipeline_name").distinct(), ["pipeline_name"], "window_id", "rank_no", (1, 3, 5))
 
 
 def m1_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +73,7 @@ def m11_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall and F1 of novelty among ticket-worthy windows, against missing gold."""
     s = V.states(spark, sf_dir).filter("decision = 'ticket_worthy' and is_novel is not null").select("window_id", "is_novel")
     w = V.windows(spark, sf_dir).filter("label = 'ticket_worthy'")
-    gold = gold_matches(w, V.tickets(spark, sf_dir)).select("window_id").distinct().withColumn("has_gold", F.lit(True))
+    gold = gold_numbers(spark, sf_dir).select("window_id", F.lit(True).alias("has_gold"))
     rows = w.join(s, "window_id").join(gold, "window_id", "left")
     return M.confusion(rows, [], F.col("is_novel"), F.col("has_gold").isNull(), beta=1.0)
 
@@ -70,7 +81,7 @@ def m11_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m12_novelty_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of novelty as signals are joined by 'or', per family and over all (family null): no hits, weak hits, decided novel."""
     w = V.windows(spark, sf_dir).filter("label = 'ticket_worthy'").select("window_id", "family")
-    gold = gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir)).select("window_id").distinct()
+    gold = gold_numbers(spark, sf_dir).select("window_id")
     novel = w.join(gold, "window_id", "left_anti")
     top = V.ranked(spark, sf_dir, 1).filter("pipeline_name = 'bi_encoder_retrieval'").select("window_id", "score")
     s = V.states(spark, sf_dir).select("window_id", "is_novel")
@@ -160,7 +171,7 @@ def m25_depth_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m26_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit rate among the top five when each place turns into a distractor with probability 0, 10, 25 and 50 % (hashed draws)."""
     r = V.ranked(spark, sf_dir, 5).filter("pipeline_name = 'hybrid_rrf'").select("window_id", "issue_id", "rank_no")
-    gold = gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir)).withColumnRenamed("ticket_id", "issue_id").withColumn("hit", F.lit(1))
+    gold = gold_found(spark, sf_dir, r).select("window_id", "issue_id", F.lit(1).alias("hit"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", "window_id", F.col("rank_no").cast("string"))), 1, 6), 16, 10).cast("bigint")
     rows = r.join(gold, ["window_id", "issue_id"], "left").withColumn("u", u).withColumn("percent", F.explode(F.array(*[F.lit(x) for x in (0, 10, 25, 50)])))
     kept = rows.groupBy("percent", "window_id").agg(F.max(F.when((F.col("u") * 100 >= F.col("percent") * (1 << 24)) & (F.col("hit") == 1), 1).otherwise(0)).alias("h"))

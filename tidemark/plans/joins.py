@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators.asof import asof_join, latest_rows
-from tidemark.operators.relations import attach_gold, baseline_deltas, common_to_all, entity_records, entity_rows, gold_matches, top_rows
-from tidemark.operators.search import entity_top
+from tidemark.operators.asof import asof_join, latest_rows, recent_others
+from tidemark.operators.relations import attach_gold, baseline_deltas, common_to_all, entity_records, entity_rows, gold_counts, gold_pairs, top_rows
+from tidemark.operators.search import entity_top, jaccard_top
+from tidemark.operators.skew import self_pairs
+from tidemark.operators.telemetry import hashed_numbers
 from tidemark.plans import views as V
 from tidemark.tables import table
 
@@ -19,7 +21,7 @@ FIELDS = {"service": "affected_services", "component": "components", "error": "e
 def s7_gold_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows with the number of gold tickets and novelty; expectations from the decisions."""
     w = V.windows(spark, sf_dir)
-    g = gold_matches(w, V.tickets(spark, sf_dir))
+    g = gold_counts(w.drop("run"), V.tickets(spark, sf_dir))
     s = V.states(spark, sf_dir).select("window_id", "expected_in_memory")
     out = attach_gold(w.join(s, "window_id", "left"), g, "label", "expected_in_memory")
     return out.select("window_id", "label", "n_gold", "is_novel")
@@ -34,8 +36,7 @@ def j1_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j2_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold tickets of each window: how many, the first and the last by id."""
-    g = gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir))
-    return g.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_gold"), F.min("ticket_id").alias("first_gold"), F.max("ticket_id").alias("last_gold"))
+    return gold_counts(V.windows(spark, sf_dir).drop("run"), V.tickets(spark, sf_dir)).filter("n_gold > 0")
 
 
 def j4_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +50,7 @@ def j7_shared_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of tickets of a family that share a component, with the similarity of their causes' words; weak ones and strong ones (> 0.15)."""
     k = table(spark, sf_dir, "kg_tickets").filter("family is not null").dropDuplicates(["ticket_id"])
     c = entity_rows(k, "ticket_id", {"component": "components"}).join(k.select("ticket_id", "family"), "ticket_id").select("ticket_id", "family", "value")
-    a, b = c.withColumnRenamed("ticket_id", "id_a"), c.withColumnRenamed("ticket_id", "id_b")
-    pairs = a.join(b, ["family", "value"]).filter("id_a < id_b").select("id_a", "id_b").distinct()
+    pairs = self_pairs(c, ["family", "value"], "ticket_id").select("id_a", "id_b").distinct()
     words = k.select("ticket_id", T.symptom_words(F.col("root_cause")).alias("ws"))
     pairs = pairs.join(words.select(F.col("ticket_id").alias("id_a"), F.col("ws").alias("x")), "id_a").join(words.select(F.col("ticket_id").alias("id_b"), F.col("ws").alias("y")), "id_b")
     every = F.size(F.array_union("x", "y"))
@@ -60,13 +60,9 @@ def j7_shared_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j9_word_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per ticket its five most similar earlier tickets of the family by words (Jaccard >= 0.10)."""
-    k = V.tickets(spark, sf_dir).select("ticket_id", "family", "ts_us", T.corpus_words(F.concat_ws(" ", "root_cause", "fix")).alias("ws")).filter("family is not null")
-    a = k.select(F.col("ticket_id").alias("id"), "family", F.col("ts_us").alias("t"), F.col("ws").alias("x"))
-    pairs = a.join(k, "family").filter("ts_us < t")
-    n = F.size(F.array_intersect("x", "ws"))
-    sim = F.round(n / F.greatest(F.size("x") + F.size("ws") - n, F.lit(1)), 6)
-    best = top_rows(pairs.select("id", "ticket_id", sim.alias("similarity")).filter("similarity >= 0.10"), ["id"], [F.col("similarity").desc(), F.col("ticket_id").asc()], 5)
-    return best.select("id", "ticket_id", "similarity", "rank_no")
+    k = V.tickets(spark, sf_dir).select(F.col("ticket_id").alias("id"), "family", F.col("ts_us").alias("t"), T.corpus_words(F.concat_ws(" ", "root_cause", "fix")).alias("ws"))
+    best = jaccard_top(k, k, F.col("ws"), F.col("ws"), 5, 0.10, within="family", earlier=True)
+    return best.select(F.col("left_id").alias("id"), F.col("right_id").alias("ticket_id"), F.col("score").alias("similarity"), "rank_no")
 
 
 def j10_shared_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +99,7 @@ def j16_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pool of hard negatives: a window's retrieved tickets that are not gold and not among the lexical top five."""
     r = V.ranked(spark, sf_dir)
     pool = r.select("window_id", F.col("issue_id").alias("ticket_id")).distinct()
-    gold = gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir))
+    gold = gold_pairs(pool, V.windows(spark, sf_dir).drop("run"), V.tickets(spark, sf_dir), "ticket_id")
     lexical = r.filter("pipeline_name = 'bm25_retrieval' and rank_no <= 5").select("window_id", F.col("issue_id").alias("ticket_id"))
     left = pool.join(gold, ["window_id", "ticket_id"], "left_anti").join(lexical, ["window_id", "ticket_id"], "left_anti")
     return left.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_negatives"), F.min("ticket_id").alias("first_negative"))
@@ -111,10 +107,9 @@ def j16_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j17_same_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per window the three latest earlier windows of its family from other episodes (of the same service)."""
-    w = V.windows(spark, sf_dir).filter("family is not null and service is not null and start_us is not null").select("window_id", "family", "service", "episode", "start_us")
-    o = w.select("family", "service", F.col("window_id").alias("other"), F.col("episode").alias("e"), F.col("start_us").alias("t"))
-    pairs = w.join(o, ["family", "service"]).filter("t < start_us and not (e <=> episode)")
-    return top_rows(pairs, ["window_id"], [F.col("t").desc(), F.col("other").asc()], 3).select("window_id", "other", "rank_no")
+    w = V.windows(spark, sf_dir)
+    found = recent_others(w, ["family", "service"], "window_id", "episode", "start_us", 3, F.floor(F.col("start_us") / (6 * 3_600_000_000)))
+    return found.select(F.col("id").alias("window_id"), "other", F.col("place").alias("rank_no"))
 
 
 def u4_first_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +121,7 @@ def u4_first_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def u5_complementarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows with a gold hit among the top five of one pipeline, of the other, of both."""
-    hit = V.ranked(spark, sf_dir, 5).join(gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir)).withColumnRenamed("ticket_id", "issue_id"), ["window_id", "issue_id"])
+    hit = gold_pairs(V.ranked(spark, sf_dir, 5), V.windows(spark, sf_dir).drop("run"), V.tickets(spark, sf_dir))
     flags = hit.groupBy("window_id").agg(F.max(F.col("pipeline_name") == "kg_retrieval").alias("kg"), F.max(F.col("pipeline_name") == "bi_encoder_retrieval").alias("dense"))
     return flags.agg(F.count_if(F.col("kg") & F.col("dense")).alias("both"), F.count_if(F.col("kg") & ~F.col("dense")).alias("only_kg"), F.count_if(~F.col("kg") & F.col("dense")).alias("only_dense"))
 
@@ -152,12 +147,9 @@ def p2_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """70/15/15 within each family in a fixed hashed order; train and validation are rounded, test takes the rest."""
-    w = V.windows(spark, sf_dir).filter("family is not null").select("window_id", "family")
-    n = w.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("family").orderBy(F.md5(F.concat_ws("|", F.lit("42"), "window_id")), "window_id")
-    r = w.withColumn("r", F.row_number().over(order)).join(n, "family")
-    train, val = F.expr("(n * 70 + 50) div 100"), F.expr("(n * 15 + 50) div 100")
-    return r.select("window_id", F.when(F.col("r") <= train, "train").when(F.col("r") <= train + val, "validation").otherwise("test").alias("split"))
+    r = hashed_numbers(V.windows(spark, sf_dir).filter("family is not null").select("window_id", "family"), ["family"], "window_id", "42")
+    train, val = F.expr("(of * 70 + 50) div 100"), F.expr("(of * 15 + 50) div 100")
+    return r.select("window_id", F.when(F.col("place") <= train, "train").when(F.col("place") <= train + val, "validation").otherwise("test").alias("split"))
 
 
 def p7_flat_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import rank as R
 from tidemark.operators import search as N
-from tidemark.operators.relations import entity_records, entity_rows, gold_matches, top_rows
+from tidemark.operators.relations import entity_records, entity_rows, gold_pairs, top_rows
 from tidemark.plans import views as V
 from tidemark.plans.joins import FIELDS, WEIGHTS
 from tidemark.tables import table
@@ -174,14 +174,13 @@ def r30_error_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r28_kind_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precision of each kind of shared entity as evidence of a gold ticket, 0.05 at least."""
+    """Precision of each kind of shared entity as evidence of a gold ticket, 0.05 at least, over the retrieved pairs that share one."""
     a = entity_rows(table(spark, sf_dir, "window_entities").filter("window_id is not null"), "window_id", FIELDS)
-    b = entity_rows(table(spark, sf_dir, "kg_tickets").filter("ticket_id is not null"), "ticket_id", FIELDS)
-    gold = gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir))
-    hits = gold.join(a, "window_id").join(b, ["ticket_id", "kind", "value"]).select("kind", "window_id", "ticket_id").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n_hits"))
-    left = entity_records(table(spark, sf_dir, "window_entities"), "window_id", FIELDS, WEIGHTS)
-    right = entity_records(table(spark, sf_dir, "kg_tickets"), "ticket_id", FIELDS, WEIGHTS)
-    c = N.sets_that_meet(left, right).join(hits, "kind", "left").select("kind", F.coalesce("n_hits", F.lit(0).cast("bigint")).alias("n_hits"), "n_pairs")
+    b = entity_rows(table(spark, sf_dir, "kg_tickets").filter("ticket_id is not null"), "ticket_id", FIELDS).withColumnRenamed("ticket_id", "issue_id")
+    pairs = V.ranked(spark, sf_dir).select("window_id", "issue_id").distinct()
+    gold = gold_pairs(pairs, V.windows(spark, sf_dir).drop("run"), V.tickets(spark, sf_dir)).withColumn("hit", F.lit(True))
+    shared = pairs.join(a, "window_id").join(b, ["issue_id", "kind", "value"]).select("kind", "window_id", "issue_id").distinct().join(gold, ["window_id", "issue_id"], "left")
+    c = shared.groupBy("kind").agg(F.count("hit").alias("n_hits"), F.count(F.lit(1)).alias("n_pairs"))
     return c.withColumn("weight", F.round(F.greatest(F.lit(0.05), F.col("n_hits") / F.col("n_pairs")), 6))
 
 
@@ -198,9 +197,8 @@ def r32_evidence_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r36_top_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows whose first lexical ticket is wrong: it beside the first right one, and the latter's rank."""
-    gold = gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir)).withColumnRenamed("ticket_id", "issue_id")
     r = V.ranked(spark, sf_dir).filter("pipeline_name = 'bm25_retrieval'")
-    right = r.join(gold, ["window_id", "issue_id"]).groupBy("window_id").agg(F.min(F.struct("rank_no", "issue_id")).alias("g"))
+    right = gold_pairs(r, V.windows(spark, sf_dir).drop("run"), V.tickets(spark, sf_dir)).groupBy("window_id").agg(F.min(F.struct("rank_no", "issue_id")).alias("g"))
     top = r.filter("rank_no = 1").select("window_id", F.col("issue_id").alias("top_ticket"))
     return top.join(right, "window_id").filter("g.rank_no > 1").select("window_id", "top_ticket", F.col("g.issue_id").alias("gold_ticket"), F.col("g.rank_no").alias("gold_rank"))
 
@@ -253,7 +251,7 @@ SQL = {
     "r24_ensemble": f"with {V.RANKED}, {_RRF.format(w='1.0::double', where='')}, t as (select window_id, issue_id from x qualify row_number() over (partition by window_id order by score desc, f, issue_id) = 1), n as (select window_id, bool_and(is_novel) as is_novel from window_states group by 1) select t.window_id, issue_id, is_novel from t left join n using (window_id)",
     "r25_rerank": f"with {V.RANKED}, e as (select *, min(score) over (partition by window_id, pipeline_name) as lo, max(score) over (partition by window_id, pipeline_name) as hi from r), z as (select window_id, pipeline_name, issue_id, rank_no, case when hi - lo <= 1e-12 then 1.0 else (score - lo) / (hi - lo) end as v from e), x as (select a.window_id, a.issue_id, a.rank_no as old, round(0.4 * a.v + 0.6 * coalesce(b.v, 0.0), 9) as score from z a left join z b on b.pipeline_name = 'cross_encoder' and a.window_id = b.window_id and a.issue_id = b.issue_id where a.pipeline_name = 'bm25_retrieval') select window_id, issue_id, cast(row_number() over (partition by window_id order by score desc, old) as integer) as rank_no, cast(old as integer) as lexical_rank from x qualify rank_no <= 3",
     "r27_bridges": f"with {_AB}, n as (select count(distinct ticket_id) as n from b), ra as (select kind, value, greatest(0.05, 1 - count(*) / (select n from n)) as rarity from b group by 1, 2), x as (select window_id, ticket_id, round(sum(rarity), 6) as score, count(*) as bridges from a join ra using (kind, value) join b using (kind, value) group by 1, 2) select window_id, ticket_id, score, bridges from x qualify row_number() over (partition by window_id order by score desc, ticket_id) = 1",
-    "r28_kind_weights": f"with {V.WINDOWS}, {V.TICKETS}, {V.GOLD}, {_AB}, p as (select distinct kind, window_id, ticket_id from a join b using (kind, value)), h as (select p.kind, g.window_id is not null as hit from p left join g on p.window_id = g.window_id and p.ticket_id = g.ticket_id) select kind, count(*) filter (hit) as n_hits, count(*) as n_pairs, round(greatest(0.05, count(*) filter (hit) / count(*)), 6) as weight from h group by 1",
+    "r28_kind_weights": f"with {V.WINDOWS}, {V.TICKETS}, {V.RANKED}, {_AB}, d as (select distinct window_id, issue_id from r), p as (select distinct a.kind, d.window_id, d.issue_id from d join a on d.window_id = a.window_id join b on d.issue_id = b.ticket_id and a.kind = b.kind and a.value = b.value), h as (select kind, coalesce(w.family = k.family and k.ts_us < w.start_us and (w.service is null or list_contains(k.services, w.service)), false) as hit from p left join w on p.window_id = w.window_id left join k on p.issue_id = k.ticket_id) select kind, count(*) filter (hit) as n_hits, count(*) as n_pairs, round(greatest(0.05, count(*) filter (hit) / count(*)), 6) as weight from h group by 1",
     "r30_error_bonus": f"with {_AB}, n as (select count(distinct ticket_id) as n from b), ra as (select value, greatest(0.05, 1 - count(*) / (select n from n)) as rarity from b where kind = 'error' group by 1), h as (select distinct window_id, issue_id from hits where window_id is not null and issue_id is not null) select h.window_id, h.issue_id, round(sum(0.5 + 0.5 * rarity), 6) as bonus, count(*) as n_shared from h join a on h.window_id = a.window_id and a.kind = 'error' join b on h.issue_id = b.ticket_id and b.kind = 'error' and a.value = b.value join ra on a.value = ra.value group by 1, 2",
     "r32_evidence_rerank": f"with {V.TICKETS}, {V.RANKED}, e as (select window_id, max(triage_evidence_text) as t from telemetry_windows group by 1), ew as (select window_id, {_rerank('t')} as x from e), kw as (select ticket_id, {_rerank('concat_ws(chr(32), root_cause, fix)')} as y from k), z as (select r.window_id, issue_id, rank_no, len(list_intersect(x, y)) as n, len(x) as m from r join ew using (window_id) join kw on issue_id = ticket_id where pipeline_name = 'hybrid_rrf' and rank_no <= 5), s as (select window_id, issue_id, rank_no, round(0.4 / rank_no + 0.6 * case when n >= 2 then n / greatest(m, 1) else 0.0 end, 6) as score from z) select window_id, issue_id, score, cast(row_number() over (partition by window_id order by score desc, rank_no) as integer) as place from s",
     "r36_top_misses": f"with {V.WINDOWS}, {V.TICKETS}, {V.GOLD}, {V.RANKED}, m as (select r.window_id, min(rank_no) as gold_rank, arg_min(issue_id, rank_no) as gold_ticket from r join g on r.window_id = g.window_id and issue_id = ticket_id where pipeline_name = 'bm25_retrieval' group by 1) select m.window_id, r.issue_id as top_ticket, gold_ticket, cast(gold_rank as integer) as gold_rank from m join r on r.window_id = m.window_id and r.pipeline_name = 'bm25_retrieval' and r.rank_no = 1 where gold_rank > 1",

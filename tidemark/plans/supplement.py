@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import rank as R
 from tidemark.operators.asof import latest_rows
-from tidemark.operators.relations import gold_matches, top_rows
+from tidemark.operators.relations import top_rows
+from tidemark.operators.telemetry import hashed_numbers
 from tidemark.plans import evaluation as E
 from tidemark.plans import views as V
 from tidemark.tables import table
@@ -43,11 +44,9 @@ def _first(c, rules, default):
 
 def split_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """70 % and 15 % of each service, truncated, in a hashed order; the rest is test."""
-    w = V.windows(spark, sf_dir).filter("service is not null").select("window_id", "service")
-    n = w.groupBy("service").agg(F.count(F.lit(1)).alias("n"))
-    r = w.withColumn("r", F.row_number().over(Window.partitionBy("service").orderBy(F.md5(F.concat_ws("|", F.lit("7"), "window_id")), "window_id"))).join(n, "service")
-    a, b = F.expr("n * 70 div 100"), F.expr("n * 15 div 100")
-    return r.select("window_id", F.when(F.col("r") <= a, "train").when(F.col("r") <= a + b, "val").otherwise("test").alias("split"))
+    r = hashed_numbers(V.windows(spark, sf_dir).filter("service is not null").select("window_id", "service"), ["service"], "window_id", "7")
+    a, b = F.expr("of * 70 div 100"), F.expr("of * 15 div 100")
+    return r.select("window_id", F.when(F.col("place") <= a, "train").when(F.col("place") <= a + b, "val").otherwise("test").alias("split"))
 
 
 def split_by_run_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +84,9 @@ def candidate_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scope of the five best lexical candidates: positive, negative of the same family, hard negative of another; by rank."""
     w = V.windows(spark, sf_dir).select("window_id", F.col("family").alias("wf"))
     k = V.tickets(spark, sf_dir).select(F.col("ticket_id").alias("issue_id"), F.col("family").alias("kf"))
-    gold = gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir)).withColumnRenamed("ticket_id", "issue_id").withColumn("hit", F.lit(1))
-    r = V.ranked(spark, sf_dir, 5).filter("pipeline_name = 'bm25_retrieval'").join(w, "window_id").join(k, "issue_id").join(gold, ["window_id", "issue_id"], "left")
+    top = V.ranked(spark, sf_dir, 5).filter("pipeline_name = 'bm25_retrieval'")
+    gold = E.gold_found(spark, sf_dir, top).select("window_id", "issue_id", F.lit(1).alias("hit"))
+    r = top.join(w, "window_id").join(k, "issue_id").join(gold, ["window_id", "issue_id"], "left")
     scope = F.when(F.col("hit") == 1, "positive").when(F.col("wf") == F.col("kf"), "same_family_negative").otherwise("hard_negative")
     return r.groupBy("rank_no", scope.alias("scope")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -172,9 +172,9 @@ def recut_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def diagnosis_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modelled search time per pipeline: 30 s a place up to the first gold ticket, 1800 s without, nothing without gold."""
-    gold = gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir)).withColumnRenamed("ticket_id", "issue_id")
-    asked = V.ranked(spark, sf_dir).select("window_id", "pipeline_name").distinct().join(gold.select("window_id").distinct(), "window_id")
-    first = V.ranked(spark, sf_dir).join(gold, ["window_id", "issue_id"]).groupBy("window_id", "pipeline_name").agg(F.min("rank_no").alias("r"))
+    r = V.ranked(spark, sf_dir)
+    asked = r.select("window_id", "pipeline_name").distinct().join(E.gold_numbers(spark, sf_dir).select("window_id"), "window_id")
+    first = E.gold_found(spark, sf_dir, r).groupBy("window_id", "pipeline_name").agg(F.min("rank_no").alias("r"))
     j = asked.join(first, ["window_id", "pipeline_name"], "left")
     return j.groupBy("pipeline_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("r") * 30, F.lit(1800))).cast("bigint").alias("seconds"))
 
@@ -249,15 +249,13 @@ def ablation_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = F.explode(F.array(*[F.struct(F.lit(n).alias("profile"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for n, a, b, c in PROFILES]))
     p = _pairs(spark, sf_dir).withColumn("p", profiles).select("window_id", "issue_id", "p.profile", F.round(F.col("p.a") * F.col("text_score") + F.col("p.b") * F.col("service_score") + F.col("p.c") * F.col("severity_score"), 9).alias("score"))
     r = R.numbered(p, ["profile", "window_id"], [F.col("score").desc(), F.col("issue_id").asc()])
-    gold = gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir)).withColumnRenamed("ticket_id", "issue_id")
-    first = r.join(gold, ["window_id", "issue_id"]).groupBy("profile", "window_id").agg(F.min("rank_no").alias("first"))
+    first = E.gold_found(spark, sf_dir, r).groupBy("profile", "window_id").agg(F.min("rank_no").alias("first"))
     return first.groupBy("profile").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(1 / F.col("first")), 6).alias("mrr"))
 
 
 def first_gold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least rank of a gold ticket for every window and pipeline that finds one."""
-    gold = gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir)).withColumnRenamed("ticket_id", "issue_id")
-    return V.ranked(spark, sf_dir).join(gold, ["window_id", "issue_id"]).groupBy("window_id", "pipeline_name").agg(F.min("rank_no").alias("first_gold"))
+    return E.gold_found(spark, sf_dir, V.ranked(spark, sf_dir)).groupBy("window_id", "pipeline_name").agg(F.min("rank_no").alias("first_gold"))
 
 
 def latest_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,7 +300,7 @@ def service_narrowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def novelty_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows whose best dense score lies below several thresholds, among those with and without gold."""
-    gold = gold_matches(V.windows(spark, sf_dir), V.tickets(spark, sf_dir)).select("window_id").distinct().withColumn("g", F.lit(1))
+    gold = E.gold_numbers(spark, sf_dir).select("window_id", F.lit(1).alias("g"))
     r = V.ranked(spark, sf_dir, 1).filter("pipeline_name = 'bi_encoder_retrieval'").join(gold, "window_id", "left")
     t = r.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (0.1, 0.3, 0.5, 0.7, 0.9)])))
     return t.groupBy("threshold").agg(F.count_if(F.col("g").isNull() & (F.col("score") < F.col("threshold"))).alias("novel_below"), F.count_if(F.col("g").isNotNull() & (F.col("score") < F.col("threshold"))).alias("known_below"), F.count_if(F.col("g").isNull()).alias("n_novel"))

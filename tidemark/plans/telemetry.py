@@ -37,7 +37,9 @@ def a4_warning_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a6_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latency by service: median and 95th percentile (interpolated), and how many windows had errors."""
     w = V.windows(spark, sf_dir)
-    return w.groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile(V.FEATURES[0], 0.5), 6).alias("p50"), F.round(F.percentile(V.FEATURES[0], 0.95), 6).alias("p95"), F.count_if(F.col(V.FEATURES[1]) > 0).alias("n_errors"))
+    n = w.groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(V.FEATURES[1]) > 0).alias("n_errors"))
+    q = A.quantiles(w, ["service"], V.FEATURES[0], {"p50": 0.5, "p95": 0.95}).withColumnRenamed("service", "_s")
+    return n.join(q, n["service"].eqNullSafe(q["_s"]), "left").select("service", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "n_errors")
 
 
 def a7_phase_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +101,9 @@ def a15_corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by source: counts, empty ones, code points (sum, mean, median), first and last time."""
     d = table(spark, sf_dir, "documents")
     n = F.col("n_chars")
-    return d.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) == 0).alias("n_empty"), F.sum(n).alias("chars"), F.round(F.avg(n), 6).alias("mean_chars"), F.round(F.median(n), 6).alias("median_chars"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
+    g = d.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) == 0).alias("n_empty"), F.sum(n).alias("chars"), F.round(F.avg(n), 6).alias("mean_chars"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
+    q = A.quantiles(d, ["source"], "n_chars", {"median_chars": 0.5}).withColumnRenamed("source", "_s")
+    return g.join(q, g["source"].eqNullSafe(q["_s"]), "left").drop("_s").withColumn("median_chars", F.round("median_chars", 6))
 
 
 def a16_split_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
