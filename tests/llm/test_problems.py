@@ -315,6 +315,25 @@ def test_leaked(spark):
     assert leakage.leaked_passages(frames[0], frames[1].limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limits", [("MAX_PASSAGE_CHARS",), ("MAX_PASSAGE_CHARS", "MAX_BROADCAST")])
+def test_leaked_by_joins(spark, monkeypatch, limits):
+    """The ways beyond the limits of what is sent, with many items too short for a hash, equal ids and several passages of an item."""
+    for name in limits:
+        monkeypatch.setattr(leakage, name, 0)
+    ws = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(ws)), (1, " ".join(ws[5:20])), (2, " ".join(ws[:11])), (3, " ".join(ws[20:34]))], "doc_id bigint, text string")
+    short = [(100 + i, " ".join(ws[i % 30 : i % 30 + 5])) for i in range(3000)]
+    items = spark.createDataFrame([(1, " ".join(ws[:15])), (1, " ".join(ws[18:])), (2, " ".join(ws[20:33])), *short], "item_id bigint, text string")
+    assert rows(leakage.leaked_passages(docs, items)) == [(1, 1, 22, 22), (1, 2, 13, 13), (3, 1, 14, 22), (3, 2, 13, 13)]
+
+
+def test_only_passages_with_hits_are_sent(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    items = spark.createDataFrame([(1, text)], "item_id bigint, text string").unionByName(spark.range(100_000).select((F.col("id") + 10).alias("item_id"), F.lit("a few words only").alias("text")))
+    plan = leakage.leaked_passages(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), items)
+    assert rows(plan) == [(1, 1, 20, 20)] and "a few words" not in plan._jdf.queryExecution().toString()
+
+
 def test_plain_words():
     assert leakage.plain_words("Ｆｕｌｌ​wi­dth <br/>ﬁne <!-- x --> a<b") == ["fullwidth", "fine", "a", "b"]
     assert leakage.plain_words(None) == []

@@ -140,7 +140,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, _TOGETHER)
 
 
-def _packed(cells: np.ndarray, size: int) -> tuple[list[int], list[bytes]]:
+def packed(cells: np.ndarray, size: int) -> tuple[list[int], list[bytes]]:
     """The chunks of a vector that are not empty, compressed."""
     parts = cells.reshape(-1, size)
     some = np.flatnonzero(parts.any(axis=1))
@@ -160,7 +160,7 @@ def _merged(batches: Iterator[pa.RecordBatch], kind: str, add: bool) -> Iterator
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(total), pa.int32()), "cells": pa.array([zlib.compress(np.minimum(v, most).astype(kind).tobytes(), 1) for v in total.values()], pa.binary())})
 
 
-def _gathered(parts: DataFrame, cells: int, size: int, kind: str, add: bool) -> np.ndarray:
+def gathered(parts: DataFrame, cells: int, size: int, kind: str, add: bool) -> np.ndarray:
     """One vector of fixed size from the tasks' vectors; merged in the executors, so the driver gets each chunk once."""
     out = np.zeros(cells, dtype=kind)
     for r in parts.repartition(min(64, cells // size), "chunk").mapInArrow(lambda b: _merged(b, kind, add), "chunk int, cells binary").collect():
@@ -194,10 +194,10 @@ def _sets(batches: Iterator[pa.RecordBatch], prepare: Callable, n: int, least: i
         a, b = _digests(g)
         none = pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(g.at)), pa.array(np.diff(g.offsets).astype(np.int32)), pa.array(a), pa.array(b), *none], schema=_ARROW_SETS)
-    chunks, packed = _packed(cells, _CHUNK)
+    chunks, parts = packed(cells, _CHUNK)
     if chunks:
         none = [pa.nulls(len(chunks), t) for t in (pa.string(), pa.int32(), pa.int64(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())], schema=_ARROW_SETS)
+        yield pa.RecordBatch.from_arrays([*none, pa.array(chunks, pa.int32()), pa.array(parts, pa.binary())], schema=_ARROW_SETS)
 
 
 _ARROW_SETS = pa.schema([("id", pa.string()), ("size", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("chunk", pa.int32()), ("cells", pa.binary())])
@@ -219,12 +219,12 @@ def _side_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = _places(batch.column("id").to_pylist()) + np.where(batch.column("is_eval").to_numpy(zero_copy_only=False), 0, SIDE_BITS)
         np.bitwise_or.at(cells, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    chunks, packed = _packed(cells, _BIT_CHUNK)
+    chunks, parts = packed(cells, _BIT_CHUNK)
     if chunks:
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int32()), "cells": pa.array(packed, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int32()), "cells": pa.array(parts, pa.binary())})
 
 
-class _Vector:
+class Vector:
     """A vector that travels compressed and is unpacked once in each process."""
 
     def __init__(self, cells: np.ndarray):
@@ -241,8 +241,8 @@ class _Vector:
 class _Sent(NamedTuple):
     """What every task of the join gets; each part has a fixed or checked size."""
 
-    sketch: _Vector
-    sides: _Vector
+    sketch: Vector
+    sides: Vector
     copied: dict[tuple[int, int, bool], str] | None
 
 
@@ -292,12 +292,12 @@ def _gram_bits(batches: Iterator[pa.RecordBatch], *args) -> Iterator[pa.RecordBa
     for p in _prefixes(batches, *args):
         at = _gram_places(p.gram)
         np.bitwise_or.at(cells, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    chunks, packed = _packed(cells, _BIT_CHUNK)
+    chunks, parts = packed(cells, _BIT_CHUNK)
     if chunks:
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int32()), "cells": pa.array(packed, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int32()), "cells": pa.array(parts, pa.binary())})
 
 
-def _posted(batches: Iterator[pa.RecordBatch], held: _Vector, sent: _Sent, is_eval: bool, *args) -> Iterator[pa.RecordBatch]:
+def _posted(batches: Iterator[pa.RecordBatch], held: Vector, sent: _Sent, is_eval: bool, *args) -> Iterator[pa.RecordBatch]:
     """Per n-gram of a prefix: hash, class, size and position, and the parity bits of the whole set. The training side leaves out what no evaluation prefix holds."""
     for p in _prefixes(batches, sent, is_eval, *args):
         keep = slice(None)
@@ -367,8 +367,8 @@ def cross_side_classes(texts: DataFrame, sides: DataFrame, threshold: float = 0.
     texts = texts.filter("id is not null and text is not null").select("id", "text")
     sides = sides.filter("id is not null and is_eval is not null").select("id", "is_eval").distinct()
     sets = keep(texts.mapInArrow(lambda b: _sets(b, prepare, n, least), _SETS))
-    sketch = _gathered(sets.filter("chunk is not null").select("chunk", "cells"), SKETCH, _CHUNK, "int32", True)
-    side_bits = _gathered(sides.mapInArrow(_side_bits, "chunk int, cells binary"), 2 * SIDE_BITS // 8, _BIT_CHUNK, "uint8", False)
+    sketch = gathered(sets.filter("chunk is not null").select("chunk", "cells"), SKETCH, _CHUNK, "int32", True)
+    side_bits = gathered(sides.mapInArrow(_side_bits, "chunk int, cells binary"), 2 * SIDE_BITS // 8, _BIT_CHUNK, "uint8", False)
     key = ["c1", "c2", "size"]
     members = keep(sets.filter("id is not null").select("id", *key).distinct().join(sides, "id"))
     is_eval = F.col("is_eval")
@@ -377,8 +377,8 @@ def cross_side_classes(texts: DataFrame, sides: DataFrame, threshold: float = 0.
     copied = classes.filter("n_eval > 1 or n_train > 1")
     known = copied.count() <= MAX_COPIED
     first = {(r["c1"], r["c2"], side): r[name] for r in copied.collect() for side, name in ((True, "first_eval"), (False, "first_train"))} if known else None
-    sent = send(_Sent(_Vector(sketch), _Vector(side_bits), first))
-    held = send(_Vector(_gathered(texts.mapInArrow(lambda b: _gram_bits(b, sent.value, True, prepare, n, least, threshold), "chunk int, cells binary"), GRAM_BITS // 8, _BIT_CHUNK, "uint8", False)))
+    sent = send(_Sent(Vector(sketch), Vector(side_bits), first))
+    held = send(Vector(gathered(texts.mapInArrow(lambda b: _gram_bits(b, sent.value, True, prepare, n, least, threshold), "chunk int, cells binary"), GRAM_BITS // 8, _BIT_CHUNK, "uint8", False)))
 
     def posted(is_eval: bool, x: str) -> DataFrame:
         made = texts.mapInArrow(lambda b: _posted(b, held.value, sent.value, is_eval, prepare, n, least, threshold), "gram bigint, c bigint, place bigint, " + ", ".join(f"{w} bigint" for w in _WORDS))
