@@ -206,6 +206,29 @@ def test_segmentation_is_optimal():
         assert sum(cost(chain[a:b]) + penalty for a, b in found) == pytest.approx(best)
 
 
+def test_equal_segments_are_those_of_the_recursion():
+    """The comparison of neighbours gives what the dynamic programming gives over whole sequences, for any penalty below a half."""
+    rnd = random.Random(10)
+    for _ in range(200):
+        sig = [rnd.choice([1, 1, 2, 3]) for _ in range(rnd.randint(1, 25))]
+        chain = [piece(i, s) for i, s in enumerate(sig)]
+        found = runs.segment(chain, rnd.choice([0.1, 0.25, 0.45]))
+        first = np.zeros(len(sig), dtype=bool)
+        first[0] = True
+        assert [a for a, _ in found] == runs.equal_segments(np.array(sig), first).tolist()
+
+
+def test_blocks_by_rows(spark):
+    """A sequence is cut into as many blocks as its rows need, dense stretches again."""
+    data = [("hot", i) for i in range(3000)] + [("hot", 10**15 + i) for i in range(3000)] + [("short", i) for i in range(9)]
+    df = spark.createDataFrame(data, "id string, at bigint")
+    blocked = runs._blocked(df, runs.long_sequences(df, ["id"], "at", 100), ["id"])
+    sizes = {(r["id"], r["block"]): r["count"] for r in blocked.groupBy("id", "block").count().collect()}
+    assert sizes["short", 0] == 9 and len(sizes) > 20 and max(n for (k, _), n in sizes.items() if k == "hot") <= 300
+    order = [r.block for r in blocked.filter("id = 'hot'").orderBy("at").collect()]
+    assert order == sorted(order)
+
+
 @pytest.mark.parametrize("block_rows", [3, 1000])
 @pytest.mark.parametrize("with_tokens", [False, True])
 def test_collapse_runs(spark, block_rows, with_tokens):
