@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import keep
+
 BLOCK = 4096
 
 _DIGIT = re.compile(r"[0-9]")
@@ -110,13 +112,13 @@ def log_entries(lines: DataFrame) -> DataFrame:
     head of a stream belong to no entry. Other columns of the input are ignored.
     An empty table gives no rows.
     """
-    parsed = parse_heads(lines)
-    heads = _one_row(parsed.repartition("stream_id", "block"))
     block = Window.partitionBy("stream_id", "block").orderBy("line_no")
-    heads = heads.withColumn("next", F.lead("line_no").over(block))
+    heads = _one_row(parse_heads(lines).repartition("stream_id", "block"))
+    # Each line is parsed once; all but the last head of a block know their next one in the same stage.
+    heads = keep(heads.withColumn("next", F.lead("line_no").over(block)))
+    firsts = heads.groupBy("stream_id", "block").agg(F.min("line_no").alias("first_head"))
     # Per block of lines: its last line and its first head; then the next head after the block. A row per block, not per line.
     ends = lines.filter("stream_id is not null and line_no is not null").groupBy(F.col("stream_id").cast("string").alias("stream_id"), _block()).agg(F.max("line_no").cast("bigint").alias("end"))
-    firsts = parsed.groupBy("stream_id", "block").agg(F.min("line_no").alias("first_head"))
     after = Window.partitionBy("stream_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
     carry = ends.join(firsts, ["stream_id", "block"], "left").select(
         "stream_id",
@@ -124,8 +126,10 @@ def log_entries(lines: DataFrame) -> DataFrame:
         F.first("first_head", ignorenulls=True).over(after).alias("later_head"),
         F.max("end").over(Window.partitionBy("stream_id")).alias("stream_end"),
     )
-    last = F.coalesce(F.col("next"), F.col("later_head"), F.col("stream_end") + 1) - 1
-    return heads.join(carry, ["stream_id", "block"]).select("stream_id", F.col("line_no").alias("first_line"), last.alias("last_line"), "ts_us", "level", "component", "message_len")
+    entry = lambda rows, last: rows.select("stream_id", F.col("line_no").alias("first_line"), (last - 1).alias("last_line"), "ts_us", "level", "component", "message_len")
+    inner = entry(heads.filter("next is not null"), F.col("next"))
+    edge = entry(heads.filter("next is null").join(carry, ["stream_id", "block"]), F.coalesce(F.col("later_head"), F.col("stream_end") + 1))
+    return inner.unionByName(edge)
 
 
 def entry_bodies(lines: DataFrame, templated: bool = True) -> DataFrame:
@@ -138,26 +142,32 @@ def entry_bodies(lines: DataFrame, templated: bool = True) -> DataFrame:
     """
     parsed = _input(lines).mapInArrow(lambda b: _parse(b, False, templated), _TEXT_FIELDS)
     rows = _one_row(parsed.select("*", _block()).repartition("stream_id", "block"))
-    before = Window.partitionBy("stream_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("head", F.last(F.when(F.col("is_head"), F.col("line_no")), ignorenulls=True).over(before))
-    # Pieces: an entry's lines within one block. Their number in an entry is its lines / BLOCK.
+    block = Window.partitionBy("stream_id", "block")
+    head = F.when(F.col("is_head"), F.col("line_no"))
+    rows = rows.withColumn("head", F.last(head, ignorenulls=True).over(block.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("last_head", F.max(head).over(block))
+    # Pieces: an entry's lines within one block, made where the lines are. Their number in an entry is its lines / BLOCK.
+    glue = " " if templated else "\n"
     line = F.struct("line_no", "body")
     piece = rows.groupBy("stream_id", "block", "head").agg(
-        F.array_sort(F.collect_list(F.when(F.col("body") != "", line) if templated else line)).alias("lines"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("body") != "", line) if templated else line)), lambda x: x["body"]), glue).alias("body"),
         F.max(F.when(F.col("is_head"), F.struct("ts_us", "level", "component", "message_len"))).alias("h"),
+        F.max("last_head").alias("last_head"),
     )
-    # A piece without a head continues the last head of an earlier block: a row per block says which. It comes from a
-    # second, lighter look at the lines, so that the messages are shuffled once.
-    heads = parse_heads(lines).groupBy("stream_id", "block").agg(F.max("line_no").alias("last_head"))
-    blocks = lines.filter("stream_id is not null and line_no is not null").select(F.col("stream_id").cast("string").alias("stream_id"), _block()).distinct()
+    piece = keep(piece)
+    whole = piece.filter("head < last_head").select("stream_id", F.col("head").alias("first_line"), "h.ts_us", "h.level", "h.component", "h.message_len", "body")
+    # Only the last entry of a block may go on in the next one, and a piece without a head continues the last head of an
+    # earlier block: a row per block says which.
+    blocks = piece.groupBy("stream_id", "block").agg(F.max("last_head").alias("last_head"))
     earlier = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = blocks.join(heads, ["stream_id", "block"], "left").select("stream_id", "block", F.last("last_head", ignorenulls=True).over(earlier).alias("carried"))
-    glue = " " if templated else "\n"
-    return (
-        piece.join(carry, ["stream_id", "block"], "left")
+    carry = blocks.select("stream_id", "block", F.last("last_head", ignorenulls=True).over(earlier).alias("carried"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "body"))), lambda p: p["body"])
+    edge = (
+        piece.filter("head is null or head = last_head")
+        .join(carry, ["stream_id", "block"])
         .withColumn("first_line", F.coalesce("head", "carried"))
         .filter("first_line is not null")
         .groupBy("stream_id", "first_line")
-        .agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "lines"))), lambda p: F.transform(p["lines"], lambda x: x["body"]))), glue).alias("body"), F.max("h").alias("h"))
+        .agg(F.array_join(F.filter(parts, lambda x: x != "") if templated else parts, glue).alias("body"), F.max("h").alias("h"))
         .select("stream_id", "first_line", "h.ts_us", "h.level", "h.component", "h.message_len", "body")
     )
+    return whole.unionByName(edge)
