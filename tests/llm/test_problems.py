@@ -97,9 +97,10 @@ def test_t_occurrence():
         assert sorted(setjoin.t_occurrence(lists, t)) == want
 
 
-@pytest.mark.parametrize("block", [2, 2000])
-def test_similar_sets(spark, monkeypatch, block):
-    monkeypatch.setattr(setjoin, "LIST_BLOCK", block)
+@pytest.mark.parametrize(("block", "copies"), [(2, 0), (2000, 200_000)])
+def test_similar_sets(spark, monkeypatch, block, copies):
+    monkeypatch.setattr(setjoin, "MAX_COPIED", copies)
+    monkeypatch.setattr(setjoin, "MAX_BROADCAST_PAIRS", copies)
     rnd = random.Random(block)
     sets = {}
     for i in range(120):
@@ -107,7 +108,7 @@ def test_similar_sets(spark, monkeypatch, block):
         sets[f"r{i:03}"] = (base - {rnd.choice(sorted(base) or ["x0"])} | ({f"x{rnd.randint(0, 80)}"} if rnd.random() < 0.5 else set())) if rnd.random() < 0.7 else set(base)
     data = [(k, sorted(v)) for k, v in sets.items()]
     df = spark.createDataFrame([*data, *data[:20], (None, ["a"] * 6), ("null", None), ("empty", [])], "id string, items array<string>").withColumn("rep", F.lit(1))
-    assert rows(setjoin.id_pairs(*setjoin.similar_sets(df))) == set_pairs(sets)
+    assert rows(setjoin.id_pairs(*setjoin.similar_sets(df, list_block=block))) == set_pairs(sets)
 
 
 def test_item_set(spark):
@@ -115,6 +116,22 @@ def test_item_set(spark):
     assert [r[0] for r in df.select(setjoin.item_set([("c", "c"), ("s", "s"), ("e", "e")])).collect()] == [["c:a", "e:a"], []]
 
 
+def test_hashed_sets_are_item_sets(spark):
+    values = [None, "", " ", "a", "A ", "\u00a0a\u3000", "\x1fa", "É", "e\u0301", "İx", "b"]
+    rnd = random.Random(3)
+    pick = lambda: rnd.choice([None, [], [rnd.choice(values) for _ in range(5)]])
+    df = spark.createDataFrame([(str(i), pick(), pick(), pick()) for i in range(60)], "id string, c array<string>, s array<string>, e array<string>")
+    fields = [("c", "c"), ("s", "s"), ("e", "e")]
+    named = {r.id: r["items"] for r in df.select("id", setjoin.item_set(fields).alias("items")).collect()}
+    hashed = {r.id: r["items"] for r in setjoin.hashed_sets(df, "id", fields).collect()}
+    code = {}
+    for k, items in named.items():
+        assert len(items) == len(hashed[k])
+        for x in items:
+            code.setdefault(x, set(hashed[k])).intersection_update(hashed[k])
+    assert all(code.values())
+
+
 def test_no_sets(spark):
     members, pairs = setjoin.similar_sets(spark.createDataFrame([], "id string, items array<string>"))
     assert members.count() == 0 and pairs.count() == 0

@@ -9,12 +9,12 @@ from tidemark.llm.bpe import token_ids
 from tidemark.llm.leakage import leaked_passages
 from tidemark.llm.overlap import cross_side_classes, evidence, record_pairs
 from tidemark.llm.runs import collapse_runs, long_sequences
-from tidemark.llm.setjoin import id_pairs, item_set, similar_sets
+from tidemark.llm.setjoin import hashed_sets, id_pairs, similar_sets
 from tidemark.llm.spam import stuffed_pages
 from tidemark.llm.splits import assigned_windows, family_key, grouped_splits, related_groups, torn_groups, trimmed, valid_manifest
 from tidemark.llm.topn import top_n
 from tidemark.operators.logs import entry_bodies
-from tidemark.session import cut
+from tidemark.session import cut, keep
 from tidemark.tables import table
 
 
@@ -130,7 +130,7 @@ _ITEMS = [("c", "components"), ("s", "symptoms"), ("e", "error_classes")]
 
 def _entity_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows, tickets = table(spark, sf_dir, "window_entities"), table(spark, sf_dir, "kg_tickets")
-    return windows.select(F.col("window_id").alias("id"), item_set(_ITEMS).alias("items")).unionByName(tickets.select(F.col("ticket_id").alias("id"), item_set(_ITEMS).alias("items")))
+    return hashed_sets(windows, "window_id", _ITEMS).unionByName(hashed_sets(tickets, "ticket_id", _ITEMS))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per record in a set class: its class, the class's records and its links to other classes."""
     members, pairs = similar_sets(_entity_sets(spark, sf_dir), threshold=0.7, least=5)
-    members, pairs = cut(members), cut(pairs)
+    members, pairs = keep(members), keep(pairs)
     ends = pairs.select(F.col("rep_a").alias("rep")).unionByName(pairs.select(F.col("rep_b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n_equal"))
     return members.join(sizes, "rep").join(ends, "rep", "left").select("id", F.col("rep").alias("class_id"), "n_equal", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
