@@ -128,19 +128,20 @@ def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ITEMS = [("c", "components"), ("s", "symptoms"), ("e", "error_classes")]
 
 
-def _entity_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _similar_entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     windows, tickets = table(spark, sf_dir, "window_entities"), table(spark, sf_dir, "kg_tickets")
-    return hashed_sets(windows, "window_id", _ITEMS).unionByName(hashed_sets(tickets, "ticket_id", _ITEMS))
+    sets = hashed_sets(windows, "window_id", _ITEMS).unionByName(hashed_sets(tickets, "ticket_id", _ITEMS))
+    return similar_sets(sets, threshold=0.7, least=5, n_records=windows.count() + tickets.count())
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of windows and tickets whose items overlap with a Jaccard similarity of 0.7 or more."""
-    return id_pairs(*similar_sets(_entity_sets(spark, sf_dir), threshold=0.7, least=5))
+    return id_pairs(*_similar_entities(spark, sf_dir))
 
 
 def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per record in a set class: its class, the class's records and its links to other classes."""
-    members, pairs = similar_sets(_entity_sets(spark, sf_dir), threshold=0.7, least=5)
+    members, pairs = _similar_entities(spark, sf_dir)
     members, pairs = keep(members), keep(pairs)
     ends = pairs.select(F.col("rep_a").alias("rep")).unionByName(pairs.select(F.col("rep_b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n_equal"))

@@ -342,7 +342,7 @@ def _post(batches: Iterator[pa.RecordBatch], counts: Vector, lists: Vector, copi
         yield pa.RecordBatch.from_arrays([pa.array(ordered[at].view(np.int64)), pa.array((-(-size[at] // list_block)).astype(np.int32)), batch.column("id").take(rows), pa.array(place[at].astype(np.int32)), whole.take(rows)], names=["item", "blocks", "rep", "at", "items"])
 
 
-def similar_sets(records: DataFrame, threshold: float = 0.7, least: int = 5, list_block: int = LIST_BLOCK) -> tuple[DataFrame, DataFrame]:
+def similar_sets(records: DataFrame, threshold: float = 0.7, least: int = 5, list_block: int = LIST_BLOCK, n_records: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Similar pairs of sets, by classes of equal sets.
 
     `records` is (id string, items): array<bigint> as `hashed_sets` makes them,
@@ -359,11 +359,12 @@ def similar_sets(records: DataFrame, threshold: float = 0.7, least: int = 5, lis
     posted by few. A second vector tells how long each list will be at most: an
     item that no other prefix holds is not posted, and a list of more than
     `list_block` records is cut into blocks; pairs of blocks go to different tasks.
+    `n_records`, where it is known, only sizes the vectors.
     """
     if records.schema["items"].dataType.simpleString() != "array<bigint>":
         records = records.select("id", F.array_sort(F.array_distinct(F.transform("items", lambda x: F.xxhash64(x)))).alias("items"))
     send = records.sparkSession.sparkContext.broadcast
-    cells = 1 << min(MAX_CELL_BITS, max(16, (records.count() * 8).bit_length()))
+    cells = 1 << min(MAX_CELL_BITS, max(16, ((records.count() if n_records is None else n_records) * 8).bit_length()))
     sets = records.filter(F.col("id").isNotNull() & (F.size("items") >= least)).select("id", "items")
     kept = keep(sets.mapInArrow(lambda b: _counted(b, cells), _KEPT))
     counts = send(Vector(gathered(kept.filter("chunk is not null").select("chunk", "cells"), cells, _CHUNK, "int64", True)))
