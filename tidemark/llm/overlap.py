@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut, keep
 
-#: Cells of the frequency sketch: a fixed size, whatever the data.
-SKETCH = 1 << 20
+#: Cells of the frequency sketch: two a record, within these powers of two (4 to 64 MB).
+SKETCH_BITS = (20, 24)
 _CHUNK = 1 << 14
 #: Bits of the filter that says which ids lie on a side: a fixed size, 4 MB for both sides. What it can't exclude is only work, never a wrong result.
 SIDE_BITS = 1 << 24
@@ -120,7 +120,8 @@ def _grams(texts: list[str | None], hashes: WordHashes, n: int, least: int) -> _
 
 def _rarest_first(g: _Grams, sketch: np.ndarray) -> np.ndarray:
     """The n-grams of each text by frequency, then hash, as places in `g.gram`."""
-    seen = np.minimum(sketch[(g.gram & np.uint64(SKETCH - 1)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64)
+    # Counts as logarithms in 20 bits: no count is too great, and greater ones are never put before smaller ones.
+    seen = (np.log2(sketch[(g.gram & np.uint64(len(sketch) - 1)).astype(np.int64)] + 1.0) * 16_000).astype(np.uint64)
     place = (np.arange(len(g.gram)) - g.offsets[g.owner]).astype(np.uint64)
     key = np.sort(g.owner.astype(np.uint64) << np.uint64(51) | seen << np.uint64(31) | place)
     return (key & np.uint64((1 << 31) - 1)).astype(np.int64) + g.offsets[(key >> np.uint64(51)).astype(np.int64)]
@@ -183,14 +184,14 @@ _WORDS = [f"w{i}" for i in range(PARITY // 64)]
 _SETS = "id string, size int, c1 bigint, c2 bigint, chunk int, cells binary"
 
 
-def _sets(batches: Iterator[pa.RecordBatch], prepare: Callable, n: int, least: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], prepare: Callable, n: int, least: int, size: int) -> Iterator[pa.RecordBatch]:
     """Size and digests of every set; at the end of the task, how often each cell of the sketch was hit."""
-    hashes, cells = WordHashes(), np.zeros(SKETCH, dtype=np.int32)
+    hashes, cells = WordHashes(), np.zeros(size, dtype=np.int32)
     for batch in _slices(batches):
         g = _grams([prepare(t) for t in batch.column("text").to_pylist()], hashes, n, least)
         if g is None:
             continue
-        cells += np.bincount((g.gram & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32)
+        cells += np.bincount((g.gram & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.int32)
         a, b = _digests(g)
         none = pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(g.at)), pa.array(np.diff(g.offsets).astype(np.int32)), pa.array(a), pa.array(b), *none], schema=_ARROW_SETS)
@@ -366,8 +367,9 @@ def cross_side_classes(texts: DataFrame, sides: DataFrame, threshold: float = 0.
     send = spark.sparkContext.broadcast
     texts = texts.filter("id is not null and text is not null").select("id", "text")
     sides = sides.filter("id is not null and is_eval is not null").select("id", "is_eval").distinct()
-    sets = keep(texts.mapInArrow(lambda b: _sets(b, prepare, n, least), _SETS))
-    sketch = gathered(sets.filter("chunk is not null").select("chunk", "cells"), SKETCH, _CHUNK, "int32", True)
+    size = 1 << min(SKETCH_BITS[1], max(SKETCH_BITS[0], (texts.count() * 2).bit_length()))
+    sets = keep(texts.mapInArrow(lambda b: _sets(b, prepare, n, least, size), _SETS))
+    sketch = gathered(sets.filter("chunk is not null").select("chunk", "cells"), size, _CHUNK, "int32", True)
     side_bits = gathered(sides.mapInArrow(_side_bits, "chunk int, cells binary"), 2 * SIDE_BITS // 8, _BIT_CHUNK, "uint8", False)
     key = ["c1", "c2", "size"]
     members = keep(sets.filter("id is not null").select("id", *key).distinct().join(sides, "id"))
