@@ -34,6 +34,8 @@ VOLATILE = (
     (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "<ip>"),
     (r":\d{4,5}\b", ":<port>"),
     (r"-[a-f0-9]{8,10}-[a-z0-9]{5}\b", "-<pod>"),
+    (r"(/product/)[A-Z0-9]{8,16}\b", "$1<sku>"),
+    (r"(product\s+#\"?)[A-Z0-9]{8,16}(\")?", "$1<sku>"),
 )
 # The same for event sequences.
 SEQUENCE = (

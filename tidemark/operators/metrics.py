@@ -192,3 +192,13 @@ def paired_bootstrap(rows: DataFrame, key: str, a: str, b: str, replicates: int
     s = means.agg(F.sort_array(F.collect_list("m")).alias("ms"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("m") < 0, 1.0).when(F.col("m") == 0, 0.5).otherwise(0.0)).alias("below"))
     p = F.least(F.lit(1.0), 2 * F.least(F.col("below") / F.col("n"), 1 - F.col("below") / F.col("n")))
     return d.agg(F.round(F.avg("d"), 6).alias("delta")).crossJoin(s).select("delta", F.round(F.get("ms", F.floor(F.col("n") * 0.025).cast("int")), 6).alias("low"), F.round(F.get("ms", F.least(F.floor(F.col("n") * 0.975), F.col("n") - 1).cast("int")), 6).alias("high"), F.round(p, 6).alias("p_value"))
+
+
+def paired_by_group(rows: DataFrame, groups: Sequence[str], key: str, difference: str, replicates: int = 100, seed: str = "b") -> DataFrame:
+    """(groups, delta, low, high, p_value): as `paired_bootstrap`, for every group (strings) of differences at once."""
+    groups = list(groups)
+    means = replicate_means(rows, groups, key, difference, replicates, seed).withColumn("m", F.round("m", 9))
+    s = means.groupBy(*groups).agg(F.sort_array(F.collect_list("m")).alias("ms"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("m") < 0, 1.0).when(F.col("m") == 0, 0.5).otherwise(0.0)).alias("below"))
+    p = F.least(F.lit(1.0), 2 * F.least(F.col("below") / F.col("n"), 1 - F.col("below") / F.col("n")))
+    low, high = F.get("ms", F.floor(F.col("n") * 0.025).cast("int")), F.get("ms", F.least(F.floor(F.col("n") * 0.975), F.col("n") - 1).cast("int"))
+    return rows.groupBy(*groups).agg(F.round(F.avg(difference), 6).alias("delta")).join(s, groups).select(*groups, "delta", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), F.round(p, 6).alias("p_value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -24,11 +24,11 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(w, "window_id").join(k, "ticket_id").filter("ts_us < start_us").select("window_id", "ticket_id")
 
 
-def r4_candidate_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best candidate of every window by BM25 with document frequencies among the window's own candidates: its retrieved tickets that were there before it."""
+def candidate_scores(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    """(window_id, ticket_id, score): BM25 of a window's candidates for `text` (of its evidence t), with document frequencies among its own candidates."""
     g = candidates(spark, sf_dir)
     e = table(spark, sf_dir, "telemetry_windows").groupBy("window_id").agg(F.max("triage_evidence_text").alias("t"))
-    q = N.word_counts(e, "window_id", T.words_b(F.col("t"))).select("window_id", "word", F.col("tf").alias("qtf"))
+    q = N.word_counts(e, "window_id", T.words_b(text)).select("window_id", "word", F.col("tf").alias("qtf"))
     d = N.word_counts(V.tickets(spark, sf_dir).select("ticket_id", F.concat_ws(" ", "root_cause", "fix").alias("t")), "ticket_id", T.words_b(F.col("t")))
     c = g.join(d, "ticket_id")
     state = c.groupBy("window_id", "ticket_id").agg(F.max("len").alias("l")).groupBy("window_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("l").alias("avg_len"))
@@ -36,7 +36,12 @@ def r4_candidate_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = c.join(q, ["window_id", "word"]).join(df, ["window_id", "word"]).join(state, "window_id")
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("qtf") * idf * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
-    s = x.groupBy("window_id", "ticket_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return x.groupBy("window_id", "ticket_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def r4_candidate_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best candidate of every window by BM25 with document frequencies among the window's own candidates: its retrieved tickets that were there before it."""
+    s = candidate_scores(spark, sf_dir, F.col("t"))
     return top_rows(s, ["window_id"], [F.col("score").desc(), F.col("ticket_id").asc()], 1).select("window_id", "ticket_id", "score")
 
 
@@ -173,8 +178,17 @@ def _get(*keys: str) -> str:
     return "coalesce(" + ", ".join(f"json_extract_string(line, '$.{k}')" for k in keys) + ")"
 
 
+def candidate_sql(text: str, p: str, first: bool = True) -> str:
+    """CTEs up to `<p>_s` (window_id, ticket_id, score), for an expression over the evidence t."""
+    base = f"{V.WINDOWS}, {V.TICKETS}, {V.RANKED}, cd as (select distinct r.window_id, ticket_id from r join w using (window_id) join k on issue_id = ticket_id where ts_us < start_us), " if first else ""
+    return base + f"""{p}_e as (select window_id, max(triage_evidence_text) as t from telemetry_windows group by 1), {p}_q as (select window_id, word, count(*) as qtf from (select window_id, unnest({_B.format(t=text)}) as word from {p}_e) group by 1, 2),
+{p}_d as (select ticket_id, word, count(*) as tf, max(n) as len from (select ticket_id, len(ws) as n, unnest(ws) as word from (select ticket_id, {_B.format(t='concat_ws(chr(32), root_cause, fix)')} as ws from k)) group by 1, 2), {p}_c as (select cd.window_id, {p}_d.* from cd join {p}_d using (ticket_id)),
+{p}_st as (select window_id, count(*) as n_docs, avg(l) as avg_len from (select window_id, ticket_id, max(len) as l from {p}_c group by 1, 2) group by 1), {p}_f as (select window_id, word, count(*) as df from {p}_c group by 1, 2),
+{p}_s as (select window_id, ticket_id, round(sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) as score from {p}_c join {p}_q using (window_id, word) join {p}_f using (window_id, word) join {p}_st using (window_id) group by 1, 2)"""
+
+
 SQL = {
-    "r4_candidate_bm25": f"with {V.WINDOWS}, {V.TICKETS}, {V.RANKED}, g as (select distinct r.window_id, ticket_id from r join w using (window_id) join k on issue_id = ticket_id where ts_us < start_us), e as (select window_id, max(triage_evidence_text) as t from telemetry_windows group by 1), q as (select window_id, word, count(*) as qtf from (select window_id, unnest({_B.format(t='t')}) as word from e) group by 1, 2), d as (select ticket_id, word, count(*) as tf, max(n) as len from (select ticket_id, len(ws) as n, unnest(ws) as word from (select ticket_id, {_B.format(t='concat_ws(chr(32), root_cause, fix)')} as ws from k)) group by 1, 2), c as (select g.window_id, d.* from g join d using (ticket_id)), st as (select window_id, count(*) as n_docs, avg(l) as avg_len from (select window_id, ticket_id, max(len) as l from c group by 1, 2) group by 1), f as (select window_id, word, count(*) as df from c group by 1, 2), s as (select c.window_id, ticket_id, round(sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) as score from c join q using (window_id, word) join f using (window_id, word) join st using (window_id) group by 1, 2) select window_id, ticket_id, score from s qualify row_number() over (partition by window_id order by score desc, ticket_id) = 1",
+    "r4_candidate_bm25": f"with {candidate_sql('t', 'l')} select window_id, ticket_id, score from l_s qualify row_number() over (partition by window_id order by score desc, ticket_id) = 1",
     "r7_frequent_tfidf": f"with {V.TICKETS}, d as (select ticket_id, {_A.format(t='concat_ws(chr(32), root_cause, fix)')} as ws from k), p as (select ticket_id, word, count(*) as tf from (select ticket_id, unnest(ws) as word from d) group by 1, 2), i as (select word, ln((1 + (select count(*) from d)) / (1 + count(*))) + 1 as idf from p group by 1 having count(*) >= 2), w_ as (select ticket_id, word, (1 + ln(tf)) * idf as w from p join i using (word)), n as (select ticket_id, sqrt(sum(w * w)) as n from w_ group by 1), u as (select ticket_id, word, w / n as w from w_ join n using (ticket_id)), s as (select a.ticket_id as query_id, b.ticket_id, round(sum(a.w * b.w), 6) as score from u a join u b on a.word = b.word and a.ticket_id <> b.ticket_id where cast(regexp_extract(a.ticket_id, '(\\d+)$', 1) as bigint) % 20 = 0 group by 1, 2) select query_id, ticket_id, score from s qualify row_number() over (partition by query_id order by score desc, ticket_id) = 1",
     "r26_vector_blend": f"with {V.RANKED}, l as (select *, max(score) over (partition by window_id) as peak from r where pipeline_name = 'bm25_retrieval' and score > 0), s as (select l.window_id, l.issue_id, round(0.5 * l.score / peak + 0.5 * coalesce(greatest(d.score, 0.0), 0.0), 6) as score from l left join r d on d.pipeline_name = 'bi_encoder_retrieval' and l.window_id = d.window_id and l.issue_id = d.issue_id) select * from s qualify row_number() over (partition by window_id order by score desc, issue_id) = 1",
     "r31_combined": f"with {V.RANKED}, e as (select *, min(score) over (partition by window_id, pipeline_name) as lo, max(score) over (partition by window_id, pipeline_name) as hi from r), z as (select window_id, pipeline_name, issue_id, {_SCALED} as v from e), n as (select window_id, issue_id, count(*) as agree from r group by 1, 2), s as (select a.window_id, a.issue_id, round(least(1.0, greatest(0.0, 0.55::double * coalesce(b.v, 0.0) + 0.45::double * a.v + 0.05::double * least(agree, 5))), 6) as score from z a left join z b on b.pipeline_name = 'bi_encoder_retrieval' and a.window_id = b.window_id and a.issue_id = b.issue_id join n on n.window_id = a.window_id and n.issue_id = a.issue_id where a.pipeline_name = 'kg_retrieval') select * from s qualify row_number() over (partition by window_id order by score desc, issue_id) = 1",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import compositions, evaluation, general, joins, learning, ranking, supplement, telemetry, text
+from tidemark.plans import compositions, evaluation, further, general, joins, learning, ranking, supplement, telemetry, text
 
-MODULES = (general, text, joins, ranking, evaluation, telemetry, supplement, compositions, learning)
+MODULES = (general, text, joins, ranking, evaluation, telemetry, supplement, compositions, further, learning)
 
 
 def queries() -> dict:

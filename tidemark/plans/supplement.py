@@ -15,13 +15,18 @@ from tidemark.plans import views as V
 from tidemark.tables import table
 
 # Words of a scenario by which its family is told, the first that fits.
-FAMILY_WORDS = (("baseline", ("baseline",)), ("near_miss", ("nearmiss",)), ("restart", ("restart", "reset", "flap")), ("latency", ("latency", "slow", "stall")), ("configuration", ("config", "drift")), ("outage_or_degradation", ("unavailable", "degradation", "failure", "exhaustion", "starvation")), ("traffic", ("traffic", "overflow")))
+FAMILY_WORDS = (("baseline", ("baseline",)), ("near_miss", ("nearmiss",)), ("restart", ("restart",)), ("latency", ("latency",)), ("configuration", ("config",)), ("outage_or_degradation", ("unavailable", "degradation", "failure")), ("traffic", ("traffic",)))
 # Words that give away how a data set was made.
-LEAK_WORDS = ("fault", "injected", "lab", "labonly", "nearmiss", "borderline", "ticket_worthy", "noise_window")
-LEAK_PARTS = ("expected_severity", "expected_in_memory", "triage_label", "triage_severity", "is_hard_case", "chaos-mesh", "chaosmesh", "dnschaos", "stresschaos")
+LEAK_WORDS = ("fault", "injected", "lab", "labonly", "nearmiss", "near-miss", "borderline", "ticket_worthy", "noise_window")
+LEAK_PARTS = (
+    "scenario-", "scenario_id", "scenario_family", "dataset-", "dataset_run", "fault.injected", "fault_injected", "fault_compatibility", "expected_severity", "expected_in_memory",
+    "triage_label", "triage_severity", "triage_components", "triage_reason_class", "is_hard_case", "is_novel", "incident_type", "root_cause_category",
+    "synthetic-incident", "synthetic_incident", "telemetry-linked", "telemetry_linked", "chaos-mesh", "chaosmesh", "chaos_mesh", "networkchaos", "dnschaos", "stresschaos", "iochaos", "podchaos",
+)
 # Words of lines about traces and about the cluster.
-TRACE_WORDS = ("traceid", "trace_id", "spanid", "span_id", "span ", "spans ", "p50", "p95", "p99", "latency_ms", "duration_ms")
-CLUSTER_WORDS = ("pod ", "pod_", "kubelet", "deployment", "oom", "crashloopbackoff", "imagepullbackoff", "restartcount", "restart count", "unschedulable")
+TRACE_WORDS = ("traceid", "trace_id", "spanid", "span_id", "span ", "p50", "p95", "p99", "latency_ms", "duration_ms")
+CLUSTER_WORDS = ("pod ", "pod_", "kubelet", "deployment", "oom", "crashloopbackoff", "imagepullbackoff", "containerstatuses", "restartcount", "restart count", "unschedulable", "nodename", "back-off restarting")
+_PARTS = "|".join(x.replace(".", r"\.") for x in LEAK_PARTS)
 # Kinds of fixes, by what a text mentions.
 FIXES = (("config_change", ("limit", "timeout", "config", "tune")), ("restart", ("restart", "recycled", "drained")), ("scale_up", ("scale", "doubled", "raised", "replica")), ("rollback", ("rolled back", "rollback", "previous", "revert")))
 SEVERITIES = ("none", "minor", "major", "critical")
@@ -128,7 +133,7 @@ def channel_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in evidence that give the data set away: documents and occurrences."""
     w = table(spark, sf_dir, "telemetry_windows").groupBy("window_id").agg(F.max("triage_evidence_text").alias("t"))
-    pattern = "(?i)(?:" + "|".join(LEAK_PARTS) + r")|\b(?:" + "|".join(LEAK_WORDS) + r")\b"
+    pattern = "(?i)(?:" + _PARTS + r")|\b(?:" + "|".join(LEAK_WORDS) + r")\b"
     f = w.select("window_id", F.explode(F.transform(F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(pattern), F.lit(0)), F.lower)).alias("word"))
     return f.groupBy("word").agg(F.count_distinct("window_id").alias("n_windows"), F.count(F.lit(1)).alias("n"))
 
@@ -136,7 +141,7 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leak_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence with those words redacted, for windows that hold any."""
     w = table(spark, sf_dir, "telemetry_windows").groupBy("window_id").agg(F.max("triage_evidence_text").alias("t"))
-    out = F.regexp_replace("t", "(?i)(?:" + "|".join(LEAK_PARTS) + ")", "<REDACTED>")
+    out = F.regexp_replace("t", "(?i)(?:" + _PARTS + ")", "<REDACTED>")
     out = F.regexp_replace(out, r"(?i)\b(?:" + "|".join(LEAK_WORDS) + r")\b", "<REDACTED>")
     return w.select("window_id", out.alias("text")).filter("text like '%<REDACTED>%'")
 
@@ -380,7 +385,7 @@ _EV = "ev as (select window_id, max(triage_evidence_text) as t, max(window_type)
 _EL = f"{_EV}, el as (select window_id, window_type, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) - 1 as pos from ev)"
 _WG = f"{V.WINDOWS}, {V.TICKETS}, {V.GOLD}, {V.RANKED}"
 _MS = "ms as (select distinct e.key as window_id, case when lower(trim(e.value)) in ('train', 'training') then 'train' when lower(trim(e.value)) in ('val', 'validation') then 'validation' when lower(trim(e.value)) = 'test' then 'test' end as split from (select unnest(map_entries(window_assignment)) as e from split_manifest qualify generated_at = max(generated_at) over (partition by dataset_run_id)))"
-_LEAK = "(?:" + "|".join(LEAK_PARTS) + r")|\b(?:" + "|".join(LEAK_WORDS) + r")\b"
+_LEAK = "(?:" + _PARTS + r")|\b(?:" + "|".join(LEAK_WORDS) + r")\b"
 _U = "('0x' || left(sha256('{seed}|' || ticket_id), 8))::bigint % {n}"
 _SEV = "list_position(['none', 'minor', 'major', 'critical'], coalesce({c}, ''))"
 _PAIRS = f"""{_WG}, e as (select window_id, max(severity) as sw from window_entities group by 1), bm as (select *, max(score) over (partition by window_id) as peak from r where pipeline_name = 'bm25_retrieval' and score > 0),
@@ -402,7 +407,7 @@ SQL = {
     "capabilities": f"with w as (select window_id, max(triage_evidence_text) as t, coalesce({', '.join(f'max({f})' for f in V.FEATURES)}) as f from telemetry_windows group by 1) select array_to_string(list_filter([case when length(t) >= 8 then 'text' end, case when f is not null then 'numbers' end, case when window_id in (select window_id from window_entities) then 'entities' end, case when window_id in (select window_id from hits) then 'tickets' end, case when window_id in (select window_id from k8s_events where window_id is not null) then 'events' end], lambda x: x is not null), '+') as capabilities, count(*) as n from w group by 1",
     "channel_lines": f"with {_EL} select window_type, count(*) filter ({_sql_any('lower(line)', TRACE_WORDS)}) as n_trace, count(*) filter ({_sql_any('lower(line)', CLUSTER_WORDS)}) as n_cluster, count(*) filter (not {_sql_any('lower(line)', TRACE_WORDS)} and not {_sql_any('lower(line)', CLUSTER_WORDS)}) as n_other from el where trim(line) <> '' group by 1",
     "leak_scan": f"with {_EV}, f as (select window_id, unnest(list_transform(regexp_extract_all(coalesce(t, ''), '(?i){_LEAK}'), lambda x: lower(x))) as word from ev) select word, count(distinct window_id) as n_windows, count(*) as n from f group by 1",
-    "leak_redacted": f"with {_EV}, x as (select window_id, regexp_replace(regexp_replace(t, '(?:{'|'.join(LEAK_PARTS)})', '<REDACTED>', 'gi'), '\\b(?:{'|'.join(LEAK_WORDS)})\\b', '<REDACTED>', 'gi') as text from ev) select * from x where text like '%<REDACTED>%'",
+    "leak_redacted": f"with {_EV}, x as (select window_id, regexp_replace(regexp_replace(t, '(?:{_PARTS})', '<REDACTED>', 'gi'), '\\b(?:{'|'.join(LEAK_WORDS)})\\b', '<REDACTED>', 'gi') as text from ev) select * from x where text like '%<REDACTED>%'",
     "fix_kinds": f"with k as (select distinct ticket_id, lower(coalesce(fix, '')) as f, fix_kind from kg_tickets) select {_sql_first('f', FIXES, 'other')} as told, fix_kind as recorded, count(*) as n from k group by 1, 2",
     "cause_sentence": f"with {V.TICKETS}, s as (select ticket_id, string_split(concat_ws(' ', root_cause, fix), '. ') as s from k) select ticket_id, coalesce(list_filter(s, lambda x: regexp_matches(lower(x), 'caused|turned out|traced|failed'))[1], s[1]) as sentence from s",
     "ticket_text": "with k as (select distinct ticket_id, severity, coalesce(symptoms, []) as s, root_cause, fix from kg_tickets where ticket_id is not null) select ticket_id, concat_ws(chr(10), 'severity: ' || severity, 'symptoms: ' || array_to_string(list_transform(list_slice(list_filter(list_transform(s, lambda x: trim(x)), lambda x: x is not null and x <> ''), 1, 3), lambda x: left(x, 40)), '; '), root_cause, fix) as text from k",

@@ -256,7 +256,7 @@ _LEVEL = "case " + " ".join(f"when lower(trim(severity)) in ({', '.join(repr(w)
 _EV = "ev as (select window_id, max(triage_evidence_text) as t, max(window_type) as window_type from telemetry_windows group by 1), el as (select * from (select window_id, window_type, unnest(string_split(t, chr(10))) as line from ev) where line <> '' and not line like 'WINDOW %')"
 _VOL = "line"
 for _p, _b in T.VOLATILE:
-    _VOL = f"regexp_replace({_VOL}, '{_p}', '{_b}', 'g')"
+    _VOL = f"regexp_replace({_VOL}, '{_p}', '{_b.replace("$1", chr(92) + "1")}', 'g')"
 _ENT = "select distinct {key}, kind, lower(trim(v)) as value from (" + " union all ".join(f"select {{key}}, '{kind}' as kind, unnest({c}) as v from {{table}} where {{key}} is not null" for kind, c in FIELDS.items()) + ") where v is not null and trim(v) <> ''"
 _BACK = ", ".join(f"lag(struct_pack(w := window_id, t := top1_match, f := family, k := window_type), {i}) over o as l{i}" for i in (1, 2, 3))
 _HIT = "(l{i}.t = top1_match and l{i}.f = family)"

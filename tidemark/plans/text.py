@@ -133,7 +133,7 @@ def _in(words: tuple[str, ...]) -> str:
 def _replace(expr: str, rules: tuple[tuple[str, str], ...]) -> str:
     for pattern, by in rules:
         flags = "'gi'" if pattern.startswith("(?i)") else "'g'"
-        expr = f"regexp_replace({expr}, '{pattern.removeprefix('(?i)')}', '{by}', {flags})"
+        expr = f"regexp_replace({expr}, '{pattern.removeprefix('(?i)')}', '{by.replace("$1", chr(92) + "1")}', {flags})"
     return expr
 
 
