@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators.asof import asof_join, latest_rows, recent_others
+from tidemark.operators.manifest import assigned_windows, valid_manifest
 from tidemark.operators.relations import attach_gold, baseline_deltas, common_to_all, entity_records, entity_rows, gold_counts, gold_pairs, top_rows
 from tidemark.operators.search import entity_top, jaccard_top
 from tidemark.operators.skew import self_pairs
@@ -128,19 +129,16 @@ def u5_complementarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_manifest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split of each window by its run's latest manifest; '__unassigned__' where it names none."""
-    m = table(spark, sf_dir, "split_manifest")
-    latest = m.groupBy("dataset_run_id").agg(F.max("generated_at").alias("generated_at"))
-    names = m.join(latest, ["dataset_run_id", "generated_at"]).select(F.explode("window_assignment").alias("window_id", "name")).select("window_id", F.lower(F.btrim("name")).alias("name")).distinct()
-    split = F.when(F.col("name").isin("train", "training"), "train").when(F.col("name").isin("val", "validation"), "validation").when(F.col("name") == "test", "test")
+    names = assigned_windows(table(spark, sf_dir, "split_manifest"))
     w = V.windows(spark, sf_dir).select("window_id").join(names, "window_id", "left")
-    return w.select("window_id", F.coalesce(split, F.lit("__unassigned__")).alias("split"))
+    return w.select("window_id", F.coalesce("split", F.lit("__unassigned__")).alias("split"))
 
 
 def p2_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of leave-one-family-out folds: windows held out and windows to train on; folds without windows left out."""
-    w = V.windows(spark, sf_dir).filter("family is not null")
+    w = V.windows(spark, sf_dir).filter("family is not null").select(T.family_key(F.col("family")).alias("family"))
     n = w.groupBy("family").agg(F.count(F.lit(1)).alias("n_eval"))
-    folds = table(spark, sf_dir, "split_manifest").select(F.explode("leave_one_family_out_folds").alias("family")).filter("family is not null").distinct()
+    folds = valid_manifest(table(spark, sf_dir, "split_manifest")).select(F.explode("leave_one_family_out_folds").alias("family")).filter("family is not null").select(T.family_key(F.col("family")).alias("family")).distinct()
     total = w.agg(F.count(F.lit(1)).alias("n"))
     return n.join(folds, "family", "left_semi").crossJoin(F.broadcast(total)).select("family", "n_eval", (F.col("n") - F.col("n_eval")).alias("n_train"))
 
@@ -195,8 +193,8 @@ SQL = {
     "j17_same_family": f"with {V.WINDOWS}, x as (select a.window_id, b.window_id as other, b.start_us as t from w a join w b on a.family = b.family and a.service = b.service and b.start_us < a.start_us and a.episode is distinct from b.episode) select window_id, other, cast(row_number() over (partition by window_id order by t desc, other) as integer) as rank_no from x qualify rank_no <= 3",
     "u4_first_messages": "with e as (select object_name, lower(trim(reason)) as reason, substring(message, 1, 80) as start, ts_ns, event_uid from k8s_events where object_name is not null and ts_ns > 0) select object_name, reason, start, arg_min(event_uid, (ts_ns, event_uid)) as event_uid, count(distinct event_uid) as n from e group by 1, 2, 3",
     "u5_complementarity": f"with {V.WINDOWS}, {V.TICKETS}, {V.GOLD}, {V.RANKED}, f as (select r.window_id, bool_or(pipeline_name = 'kg_retrieval') as kg, bool_or(pipeline_name = 'bi_encoder_retrieval') as dense from r join g on r.window_id = g.window_id and r.issue_id = g.ticket_id where rank_no <= 5 group by 1) select count(*) filter (kg and dense) as both, count(*) filter (kg and not dense) as only_kg, count(*) filter (dense and not kg) as only_dense from f",
-    "split_manifest": f"with {V.WINDOWS}, m as (select distinct e.key as window_id, lower(trim(e.value)) as name from (select unnest(map_entries(window_assignment)) as e from split_manifest qualify generated_at = max(generated_at) over (partition by dataset_run_id))) select w.window_id, coalesce(case when name in ('train', 'training') then 'train' when name in ('val', 'validation') then 'validation' when name = 'test' then 'test' end, '__unassigned__') as split from w left join m on w.window_id = m.window_id",
-    "split_leave_one_out": f"with {V.WINDOWS}, n as (select family, count(*) as n_eval from w where family is not null group by 1) select family, n_eval, (select sum(n_eval) from n)::bigint - n_eval as n_train from n where family in (select unnest(leave_one_family_out_folds) from split_manifest)",
+    "split_manifest": f"with {V.WINDOWS}, m as (select distinct e.key as window_id, lower(trim(e.value)) as name from (select unnest(map_entries(window_assignment)) as e from split_manifest qualify generated_at is not distinct from max(generated_at) over (partition by dataset_run_id))), n as (select distinct window_id, case when name in ('train', 'training') then 'train' when name in ('val', 'valid', 'validation', 'dev') then 'validation' when name in ('test', 'testing') then 'test' end as split from m) select w.window_id, coalesce(split, '__unassigned__') as split from w left join (select * from n where split is not null) n on w.window_id = n.window_id",
+    "split_leave_one_out": f"with {V.WINDOWS}, n as (select regexp_replace(lower(trim(family)), '[-_ ]+', '-', 'g') as family, count(*) as n_eval from w where family is not null group by 1), v as (select leave_one_family_out_folds as f from split_manifest qualify generated_at is not distinct from max(generated_at) over (partition by dataset_run_id)) select family, n_eval, (select sum(n_eval) from n)::bigint - n_eval as n_train from n where family in (select regexp_replace(lower(trim(x)), '[-_ ]+', '-', 'g') from (select unnest(f) as x from v) where x is not null)",
     "split_stratified": f"with {V.WINDOWS}, r as (select window_id, row_number() over (partition by family order by md5('42|' || window_id), window_id) as r, count(*) over (partition by family) as n from w where family is not null) select window_id, case when r <= (n * 70 + 50) // 100 then 'train' when r <= (n * 70 + 50) // 100 + (n * 15 + 50) // 100 then 'validation' else 'test' end as split from r",
     "flat_episodes": f"with {V.WINDOWS} select episode, count(*) as n_windows, count(distinct service) as n_services, count(distinct window_type) as n_phases, min(start_us) as first_us, max(start_us) as last_us from w where episode is not null group by 1",
     "s20_last_delivery": "with w as (select window_id, triage_label, source from telemetry_windows qualify row_number() over (partition by window_id order by ingested_at desc nulls last, triage_label desc nulls last) = 1) select triage_label, source, count(*) as n from w group by 1, 2",

@@ -384,7 +384,7 @@ def _sql_first(c: str, rules, default: str) -> str:
 _EV = "ev as (select window_id, max(triage_evidence_text) as t, max(window_type) as window_type from telemetry_windows group by 1)"
 _EL = f"{_EV}, el as (select window_id, window_type, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) - 1 as pos from ev)"
 _WG = f"{V.WINDOWS}, {V.TICKETS}, {V.GOLD}, {V.RANKED}"
-_MS = "ms as (select distinct e.key as window_id, case when lower(trim(e.value)) in ('train', 'training') then 'train' when lower(trim(e.value)) in ('val', 'validation') then 'validation' when lower(trim(e.value)) = 'test' then 'test' end as split from (select unnest(map_entries(window_assignment)) as e from split_manifest qualify generated_at = max(generated_at) over (partition by dataset_run_id)))"
+_MS = "ms as (select distinct window_id, case when name in ('train', 'training') then 'train' when name in ('val', 'valid', 'validation', 'dev') then 'validation' when name in ('test', 'testing') then 'test' end as split from (select e.key as window_id, lower(trim(e.value)) as name from (select unnest(map_entries(window_assignment)) as e from split_manifest qualify generated_at is not distinct from max(generated_at) over (partition by dataset_run_id))))"
 _LEAK = "(?:" + _PARTS + r")|\b(?:" + "|".join(LEAK_WORDS) + r")\b"
 _U = "('0x' || left(sha256('{seed}|' || ticket_id), 8))::bigint % {n}"
 _SEV = "list_position(['none', 'minor', 'major', 'critical'], coalesce({c}, ''))"
