@@ -428,6 +428,28 @@ def test_short_pages_of_links_and_tags(spark):
     assert sorted(r.doc_id for r in spam.stuffed_pages(df, "doc_id").collect()) == [0, 1, 2]
 
 
+def test_early_answers_are_those_of_whole_texts():
+    rnd = random.Random(8)
+    lines = [x for t in [*STUFFED, *CLEAN] for x in t.split("\n")[:6]] + ["see www.a.test, x<b>y</b>z#tag and https://b.test/c?d=e", "#a #b", "[one](two) three"]
+    for _ in range(400):
+        text = "\n".join(rnd.choice(lines) for _ in range(rnd.randint(1, 12)))
+        whole, early = spam.shares(text, {}), spam.shares(text, {}, 0.5)
+        over = whole.n_words > 0 and whole.link_words + whole.tag_words + whole.keyword_words > 0.5 * whole.n_words
+        assert over == (early is not None and early.link_words + early.tag_words + early.keyword_words > 0.5 * early.n_words)
+
+
+def test_other_scripts_need_repetition(spark):
+    prose = ["Кошка, собака, мышь, слон, лиса и волк пришли домой, а потом, как всегда, легли спать. ", "猫、狗、鸟、鱼、马都来了，然后回家了。", "Η γάτα, ο σκύλος, το άλογο, η αλεπού και ο λύκος γύρισαν σπίτι. "]
+    stuffed = ["дешёвый мониторинг логов " * 40, "便宜监控 " * 60]
+    df = spark.createDataFrame(list(enumerate(stuffed)) + [(100 + i, t * 3) for i, t in enumerate(prose)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in spam.stuffed_pages(df, "doc_id").collect()) == [0, 1]
+
+
+def test_short_keyword_pages(spark):
+    df = spark.createDataFrame([(0, "dns, cache, dns, cache, dns, cache"), (1, "n/a"), (2, "+1")], "doc_id bigint, text string")
+    assert [r.doc_id for r in spam.stuffed_pages(df, "doc_id").collect()] == [0]
+
+
 def test_very_long_texts():
     e = bpe.encoder()
     for text in ("a" * 10**5, "[" * 10**5, "<a " * 10**5, "<!--" * 10**5, "word " * 10**5, " " * 10**5, "#x " * 10**5, "x\n" * 10**5, "あ" * 10**5, "[](" * 10**5):

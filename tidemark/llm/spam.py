@@ -41,6 +41,8 @@ _PARTICLE = re.compile("|".join(sorted(JAPANESE, key=len, reverse=True)))
 _LANGUAGES: dict[str, tuple[str, ...]] = {w: tuple(k for k in _FUNCTION if w in _FUNCTION[k]) for v in _FUNCTION.values() for w in v}
 _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 _KANA = re.compile(r"[぀-ヿ]")
+# Letters beyond the Latin blocks.
+_OTHER = re.compile(r"[^\W\d_\u0000-\u024f\u1e00-\u1eff\uff21-\uff5a]")
 _LINE = re.compile(r"[\r\n\v\f  ]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 _ENDED = re.compile(r"[.!?…。！？][\"'”’)\]]*$")
@@ -115,27 +117,60 @@ def usual(text: str | None) -> tuple[str, float] | None:
     return language, _function_counts(ws, text).get(language, 0) / weight(ws)
 
 
-def shares(text: str | None, thresholds: dict[str, float]) -> Shares:
-    """Kinds of units of a text. Null, empty and blank texts have no words."""
+def unlisted(text: str) -> bool:
+    """Whether most letters belong to a script whose function words aren't known (neither Latin nor Japanese)."""
+    if text.isascii() or _KANA.search(text):
+        return False
+    other = len(_OTHER.findall(text))
+    return other > 0 and 2 * other > sum(map(str.isalpha, text))
+
+
+def shares(text: str | None, thresholds: dict[str, float], above: float | None = None) -> Shares | None:
+    """Kinds of units of a text. Null, empty and blank texts have no words.
+
+    Where `above` is given, the answer is None as soon as it is certain that
+    links, tags and keywords don't make up more than that share of the words:
+    what was seen to be none of them, less the words that links and tags may
+    have cut in two, is then too much.
+    """
     lower = text.lower() if text else ""
     ws = words(lower)
     n = weight(ws)
     if not n:
         return Shares("en", 0, 0, 0, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0)
-    language = language_of(ws, lower)
+    told: list[str] = []
+
+    def language() -> str:
+        """The text's language, looked at where a unit doesn't tell its own."""
+        if not told:
+            told.append(language_of(ws, lower))
+        return told[0]
+
     pairs = Counter(zip(ws, ws[1:], strict=False))
     stuffed = {p for p, c in pairs.items() if c >= 5 and c >= 0.08 * n}
     lines = [x for x in (line.strip() for line in _LINE.split(text)) if x]
     repeated, singles = Counter(lines), Counter(ws)
-    link = tag = keyword = machine = 0
+    link = tag = keyword = machine = other = 0
+    if above is not None:
+        cuts = 2 * (text.count("://") + lower.count("www.") + text.count("#") + text.count("<") + text.count("]("))
+        enough = (1 - above) * n + cuts
+    few_known = not unlisted(text)
     machines = {line: words(line.lower()) for line in repeated if _machine(line)}
-    # Words repeat as keywords only outside the lines of logs, traces and tables.
-    often = dict(singles)
-    for line, us in machines.items():
-        for w in us:
-            often[w] = often.get(w, 0) - repeated[line]
-    often = {w for w, c in often.items() if c >= REPEATED_WORD and w not in _LANGUAGES and not w.isdecimal()}
+    frequent: list[set[str]] = []
+
+    def often() -> set[str]:
+        """Words that repeat as keywords: outside the lines of logs, traces and tables, no function words."""
+        if not frequent:
+            count = dict(singles)
+            for line, us in machines.items():
+                for w in us:
+                    count[w] = count.get(w, 0) - repeated[line]
+            frequent.append({w for w, c in count.items() if c >= REPEATED_WORD and w not in _LANGUAGES and not w.isdecimal()})
+        return frequent[0]
+
     for line in lines:
+        if above is not None and other + machine >= enough:
+            return None
         if line in machines:
             machine += weight(machines[line])
             continue
@@ -158,29 +193,33 @@ def shares(text: str | None, thresholds: dict[str, float]) -> Shares:
             ended = bool(_ENDED.search(unit.strip()))
             size = len(us) if unit.isascii() else weight(us)
             counts = _function_counts(us, unit)
-            spoken = max(counts, key=lambda k: (counts[k], k == language, k)) if counts else language
-            share, few = counts.get(spoken, 0) / size, thresholds.get(spoken, FLOOR)
+            top = max(counts.values(), default=0)
+            most = [k for k, c in counts.items() if c == top]
+            spoken = most[0] if len(most) == 1 else language() if not most or language() in most else max(most)
+            # In a script without a list nothing is told from missing function words, only from repetition.
+            share, few = counts.get(spoken, 0) / size, thresholds.get(spoken, FLOOR) if few_known else -1.0
+            other += size
             if ended and share >= few and (not stuffed or share >= 0.5):
                 continue  # a sentence
             twos = list(zip(us, us[1:], strict=False))
             if stuffed and (share < 0.5 or not ended) and not stuffed.isdisjoint(twos):
-                keyword += size
+                keyword, other = keyword + size, other - size
                 continue
             if ended and share >= few:
                 continue
             if linked and share < few:
-                keyword += size
+                keyword, other = keyword + size, other - size
                 continue
             repeats = [pairs[p] >= 3 for p in twos]
             cover = (sum(a or b for a, b in zip(repeats, repeats[1:], strict=False)) + repeats[0] + repeats[-1]) / len(us) if repeats else 0.0
             parts = sum(1 for p in _PARTS.split(unit) if p and not p.isspace())
             listed = parts >= 3 and len(us) / parts <= 5
             if share < few and (cover >= 0.5 or listed and parts >= 5) or not ended and (cover >= 0.6 or listed and (cover >= 0.4 or share < few)):
-                keyword += size
-            elif share < few and (repeated[line] >= REPEATED_LINE or sum(u in often for u in us) >= REPEATED_COVER * len(us)):
-                keyword += size
+                keyword, other = keyword + size, other - size
+            elif (share < few or not few_known and not ended) and (repeated[line] >= REPEATED_LINE or sum(u in often() for u in us) >= REPEATED_COVER * len(us)):
+                keyword, other = keyword + size, other - size
     duplicate = sum(c for c in repeated.values() if c > 1) / len(lines) if lines else 0.0
-    return Shares(language, n, link, tag, keyword, machine, _function_counts(ws, lower).get(language, 0) / n, max(singles.values()) / n, max(pairs.values()) / n if pairs else 0.0, duplicate, len(_PARTS.findall(text)) / n)
+    return Shares(language(), n, link, tag, keyword, machine, _function_counts(ws, lower).get(language(), 0) / n, max(singles.values()) / n, max(pairs.values()) / n if pairs else 0.0, duplicate, len(_PARTS.findall(text)) / n)
 
 
 def _usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +263,24 @@ def page_shares(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return out.withColumn("spam_share", spam).withColumnRenamed("key", key)
 
 
-def stuffed_pages(texts: DataFrame, key: str, text: str = "text", share: float = 0.5, least_words: int = 8) -> DataFrame:
-    """Rows of `page_shares` whose spam_share exceeds `share`; keyword units count only in texts with `least_words` words or more, links and tags in all."""
-    marked = (F.col("link_words") + F.col("tag_words")) / F.when(F.col("n_words") > 0, F.col("n_words"))
-    return page_shares(texts, key, text).filter(((F.col("n_words") >= least_words) & (F.col("spam_share") > share)) | (marked > share))
+def _found(batches: Iterator[pa.RecordBatch], thresholds: dict[str, float], share: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = []
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            x = shares(text, thresholds, share)
+            if x and x.n_words and x.link_words + x.tag_words + x.keyword_words > share * x.n_words:
+                at.append(i)
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64()))], names=["key"])
+
+
+def stuffed_pages(texts: DataFrame, key: str, text: str = "text", share: float = 0.5) -> DataFrame:
+    """(key) of the rows whose spam_share by `page_shares` exceeds `share`, whatever their length.
+
+    A text is read only as far as its answer needs, which is the same as that of
+    the whole text. Rows with null, empty or blank texts are not found; repeated
+    rows give repeated rows.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+    rows = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    thresholds = calibrate(rows)
+    return rows.mapInArrow(lambda b: _found(b, thresholds, share), f"key {kind}").withColumnRenamed("key", key)
