@@ -131,7 +131,9 @@ def test_constant_scores_give_the_base_rate(spark):
 def test_retrieval(spark):
     ranked = spark.createDataFrame([("p", "q1", x, i) for i, x in enumerate("ABCDE", 1)] + [("p", "q2", x, i) for i, x in enumerate("XYAZW", 1)] + [("r", "q1", "A", 1)], "p string, q string, d string, k int")
     gold = spark.createDataFrame([("q1", "A"), ("q2", "A"), ("q2", "A"), ("q3", "A")], "q string, d string")
-    got = {(r.p, r.q): r for r in metrics.retrieval_by_query(ranked, gold, ["p"], "q", "d", "k", (1, 3)).collect()}
+    gold = gold.distinct()
+    hits, numbers = ranked.join(gold, ["q", "d"]), gold.groupBy("q").agg(F.count(F.lit(1)).alias("n_gold"))
+    got = {(r.p, r.q): r for r in metrics.retrieval_by_query(hits, numbers, ranked.select("p").distinct(), ["p"], "q", "k", (1, 3)).collect()}
     assert (got["p", "q1"].hit_1, got["p", "q2"].hit_1, got["p", "q2"].hit_3) == (True, False, True)
     assert got["p", "q2"].reciprocal_rank == pytest.approx(1 / 3) and got["r", "q2"].reciprocal_rank == 0.0
     assert len(got) == 6
