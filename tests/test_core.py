@@ -1,5 +1,6 @@
 """Skew, time joins, metrics, telemetry and state on small frames with known results."""
 
+import os
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof, metrics, rank, relations, search, skew, state, telemetry
 from tidemark.operators.components import connected_components
+from tidemark.plans import further
 from tidemark.plans import telemetry as telemetry_plans
 
 
@@ -370,3 +372,36 @@ def test_jaccard_top(spark, monkeypatch):
         monkeypatch.setattr(search, "FIRST_POSTINGS", first)
         got = search.jaccard_top(df, df, F.col("ws"), F.col("ws"), 2, 0.3, within="family", earlier=True)
         assert rows(got.select("left_id", "right_id", "score", "rank_no")) == sorted(want, key=str)
+
+
+def test_own_candidates_equal_brute(spark):
+    rnd = random.Random(7)
+    text = lambda n: " ".join(rnd.choice(["pool", "disk", "cache", "probe", "queue", f"w{rnd.randint(0, 9)}x"]) for _ in range(rnd.randint(0, n)))
+    docs = {f"d{i}": text(6) for i in range(12)}
+    asked = {f"q{i}": (text(8), text(2), i % 2 == 0) for i in range(40)} | {"none": (None, None, False)}
+    pairs = [(q, d) for q in asked for d in docs if rnd.random() < 0.4]
+    k, q = spark.createDataFrame(list(docs.items()), "d string, text string"), spark.createDataFrame([(i, *x) for i, x in asked.items()], "q string, a string, b string, even boolean")
+    words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a query's documents lie in several batches
+    try:
+        got = {(r.q, r.d): (r.even, r.score_0, r.score_1) for r in search.own_candidates(spark.createDataFrame(pairs, "q string, d string"), q, k, "q", "d", [words("a"), words("b")], words("text"), ["even"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for i, (a, b, even) in asked.items():
+        own = {d: docs[d].split() for p, d in pairs if p == i and docs[d]}
+        mean = sum(map(len, own.values())) / max(1, len(own))
+        for d, ws in own.items():
+            idf = {w: np.log((len(own) - n + 0.5) / (n + 0.5) + 1) for w in ws for n in [sum(w in x for x in own.values())]}
+            s = [sum(idf[w] * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for w in (t or "").split() if w in ws) if set((t or "").split()) & set(ws) else None for t in (a, b)]
+            if s != [None, None]:
+                want[i, d] = even, *[None if x is None else pytest.approx(x) for x in s]
+    assert len(want) > 50 and got == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_signature_takes_no_pair_apart(spark):
+    """The hits are read once for both scores, pairs stay rows of their own, and nothing that grows is broadcast."""
+    plan = further.r5_signature(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hits.parquet") == 1 and plan.count("Exchange ") <= 12
+    assert "Generate" not in plan and "BroadcastExchange" not in plan
