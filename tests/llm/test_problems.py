@@ -1,5 +1,6 @@
 """Operators of the training-data problems against brute force, and their edge cases."""
 
+import itertools
 import math
 import random
 from collections import defaultdict
@@ -235,6 +236,33 @@ def test_equal_segments_are_those_of_the_recursion():
         assert [a for a, _ in found] == runs.equal_segments(np.array(sig), first).tolist()
 
 
+def test_recursion_by_events_equals_segment():
+    rnd = random.Random(12)
+    for _ in range(300):
+        chain = [piece(i, rnd.choice([1, 1, 2, 3]), rnd.choice([1, 1, 2])) for i in range(rnd.randint(1, 25))]
+        penalty = rnd.choice([0.25, 0.4, 0.75, 1.5, 3.0])
+        recursion, half = runs.Recursion(penalty), rnd.randint(0, len(chain))
+        got = [*recursion.take(chain[:half]), *recursion.take(chain[half:]), *recursion.end()]
+        want = [(chain[a].at, chain[b - 1].t_last, sum(p.n for p in chain[a:b])) for a, b in runs.segment(chain, penalty)]
+        assert [(p.at, p.t_last, p.n) for p in got] == want
+
+
+def test_every_event_goes_through_the_recursion(monkeypatch):
+    """Without tokens too: runs of a block come from the recursion over its events, not from a comparison of neighbours."""
+    import pyarrow as pa
+
+    taken, take = [], runs.Recursion.take
+    monkeypatch.setattr(runs, "equal_segments", None)
+    monkeypatch.setattr(runs.Recursion, "take", lambda self, events: take(self, [taken.append(e[0]) or e for e in events]))
+    rnd = random.Random(13)
+    data = sorted((rnd.choice("ab"), rnd.randint(0, 2), i, rnd.choice([1, 1, 2])) for i in range(300))
+    table = pa.table({"id": [x[0] for x in data], "block": [x[1] for x in data], "long": [False] * 300, "pos": [x[2] for x in data], "at": [x[2] for x in data], "at2": [0] * 300, "t": [x[2] for x in data], "sig": [x[3] for x in data]})
+    got = [r for b in runs._collapse(iter(table.to_batches(max_chunksize=7)), ["id"], False, 0.25, 1) for r in b.to_pylist()]
+    want = [list(g) for _, g in itertools.groupby(data, key=lambda x: (x[0], x[1], x[3]))]
+    assert taken == [x[2] for x in data]
+    assert [(r["id"], r["block"], r["first_pos"], r["t_last"], r["n"]) for r in got] == [(*g[0][:3], g[-1][2], len(g)) for g in want]
+
+
 def test_blocks_by_rows(spark):
     """A sequence is cut into as many blocks as its rows need, dense stretches again."""
     data = [("hot", i) for i in range(3000)] + [("hot", 10**15 + i) for i in range(3000)] + [("short", i) for i in range(9)]
